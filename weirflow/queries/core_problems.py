@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.operators.change_apply import current_state
+from weirflow.operators.identifier_index import surplus_copies
 from weirflow.operators.record_parse import parse_records
 from weirflow.session import table
 
@@ -64,3 +66,76 @@ SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT line_id, reason FROM p1 WHERE reason IS NOT NULL",
     "p1_valid": _P1 + f"SELECT line_id, {_p1_text('txn_id')}, {_p1_text('account')}, cast(a AS double) AS amount, try_cast(d AS date) AS txn_date, {_p1_text('category')} FROM p1 WHERE reason IS NULL",
 }
+
+
+# --- 2: current rows from the change log ---------------------------------------------------------------------------
+
+
+def p2_state(spark: SparkSession, sf: str) -> DataFrame:
+    log = table(spark, sf, "change_log").select(F.col("asset_name").alias("asset"), "id", "op", "pk", F.col("after_data").alias("after"))
+    config = table(spark, sf, "asset_config").filter("source_table = 'change_log'")
+    return current_state(log, config.select(F.col("asset_name").alias("asset"), "unique_key"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_state(spark, sf).select(F.col("asset").alias("asset_name"), "record_key", "id")
+
+
+def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_state(spark, sf).select(F.col("asset").alias("asset_name"), "record_key", F.explode("fields").alias("field", "value"))
+
+
+_P2 = """
+WITH k AS (SELECT asset_name, string_split(unique_key, ',') AS keys FROM asset_config WHERE source_table = 'change_log'),
+c AS (SELECT asset_name, id, upper(left(trim(op), 1)) AS op, after_data, array_to_string(list_transform(keys, lambda x: json_extract_string(pk, '$.' || x)), '|') AS record_key
+      FROM change_log JOIN k USING (asset_name)),
+w AS (SELECT *, row_number() OVER (PARTITION BY asset_name, record_key ORDER BY id DESC) AS n FROM c),
+p2 AS (SELECT * FROM w WHERE n = 1 AND op <> 'D')
+"""
+QUERIES |= {"p2_found": p2_found, "p2_fields": p2_fields}
+SQL |= {
+    "p2_found": _P2 + "SELECT asset_name, record_key, id FROM p2",
+    "p2_fields": _P2 + "SELECT asset_name, record_key, unnest(json_keys(after_data)) AS field, json_extract_string(after_data, '$.' || unnest(json_keys(after_data))) AS value FROM p2",
+}
+
+
+# --- 3: messages delivered more than once --------------------------------------------------------------------------
+
+
+def folded(c: str) -> Column:
+    """Without regard to letter case and to blanks and tabs at either end."""
+    return F.upper(F.regexp_replace(F.col(c), r"^[ \t]+|[ \t]+$", ""))
+
+
+#: The unambiguous ways to write a day.
+DAY_PATTERNS = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "dd-MMM-yyyy", "dd MMM yyyy", "MMM dd, yyyy", "yyyy.MM.dd"]
+
+
+def calendar_day(c: str) -> Column:
+    text = F.regexp_replace(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""), r"(?<=\d)[T ]\d{2}:.*$", "")
+    return F.to_date(F.coalesce(*[F.try_to_timestamp(F.initcap(text) if "MMM" in p else text, F.lit(p)) for p in DAY_PATTERNS]))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "transactions")
+    a = table(spark, sf, "account_file")
+    day = F.date_format(calendar_day("date"), "yyyy-MM-dd")
+    messages = t.select(F.lit("transactions").alias("source"), folded("txn_id").alias("identifier"), F.col("ingested_at").alias("ord"), "row_id").unionByName(
+        a.select(F.lit("account_file").alias("source"), F.concat_ws("|", folded("account_cd"), day).alias("identifier"), F.col("ingested_at").alias("ord"), "row_id").filter(folded("account_cd").isNotNull() & day.isNotNull())
+    )
+    return surplus_copies(messages).select(F.col("source").alias("source_table"), "row_id")
+
+
+_FOLD = "upper(regexp_replace({}, '^[ \\t]+|[ \\t]+$', '', 'g'))"
+_P3 = f"""
+WITH m AS (
+  SELECT 'transactions' AS source_table, row_id, ingested_at, {_FOLD.format("txn_id")} AS k, 'x' AS d FROM transactions
+  UNION ALL
+  SELECT 'account_file', row_id, ingested_at, {_FOLD.format("account_cd")},
+    cast(coalesce(try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%Y/%m/%d'), try_strptime(s, '%Y%m%d'), try_strptime(s, '%d-%b-%Y')) AS date)::varchar
+  FROM (SELECT *, regexp_replace(trim(date, ' ' || chr(9)), 'T.*$', '') AS s FROM account_file)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_table, k, d ORDER BY ingested_at NULLS LAST, row_id) AS n FROM m WHERE k IS NOT NULL AND d IS NOT NULL)
+SELECT source_table, row_id FROM r WHERE n > 1
+"""
+QUERIES |= {"p3_found": p3_found}
+SQL |= {"p3_found": _P3}
