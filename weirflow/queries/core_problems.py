@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.operators.attribute_history import snapshot_history, update_history
 from weirflow.operators.change_apply import current_state
 from weirflow.operators.identifier_index import surplus_copies
 from weirflow.operators.record_parse import parse_records
+from weirflow.operators.snapshot_diff import snapshot_changes
 from weirflow.session import table
 
 TXN_COLUMNS = ["txn_id", "account", "amount", "txn_date", "category"]
@@ -139,3 +141,73 @@ SELECT source_table, row_id FROM r WHERE n > 1
 """
 QUERIES |= {"p3_found": p3_found}
 SQL |= {"p3_found": _P3}
+
+
+# --- 4 and 5: changes between snapshots, and the history of records ------------------------------------------------
+
+
+def settings(spark: SparkSession, sf: str, asset: str) -> dict:
+    """Settings of one asset, lists as lists."""
+    r = table(spark, sf, "asset_config").filter(F.col("asset_name") == asset).first().asDict()
+    return {k: [x.strip() for x in v.split(",")] if k in ("unique_key", "check_cols") and v else v for k, v in r.items()}
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = []
+    for asset, at in (("customers_dim", "snapshot_dt"), ("positions_dim", "as_of_date")):
+        c = settings(spark, sf, asset)
+        found = snapshot_changes(table(spark, sf, c["source_table"]), c["unique_key"], at, c["check_cols"], c["updated_at"])
+        parts.append(found.select(F.lit(asset).alias("asset_name"), F.date_format("snapshot_dt", "yyyy-MM-dd").alias("snapshot_dt"), "record_key", "change"))
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    c = settings(spark, sf, "customers_dim")
+    one = snapshot_history(table(spark, sf, c["source_table"]), c["unique_key"], "snapshot_dt", c["check_cols"], c["updated_at"])
+    b = settings(spark, sf, "cash_balance_dim")
+    two = update_history(table(spark, sf, b["source_table"]), b["unique_key"], b["updated_at"], b["check_cols"], "row_id")
+
+    def texts(df: DataFrame, asset: str, pattern: str) -> DataFrame:
+        return df.select(F.lit(asset).alias("asset_name"), "record_key", *[F.coalesce(F.date_format(x, pattern), F.lit("")).alias(x) for x in ("valid_from", "valid_to")])
+
+    return texts(one, "customers_dim", "yyyy-MM-dd").unionByName(texts(two, "cash_balance_dim", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _p4(asset: str, src: str, key: str, at: str, order: str, differs: str) -> str:
+    return f"""
+  SELECT '{asset}' AS asset_name, strftime(d.dt, '%Y-%m-%d') AS snapshot_dt, coalesce(n.k, o.k) AS record_key,
+    CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM (SELECT DISTINCT {at} AS dt, dense_rank() OVER (ORDER BY {at}) AS i FROM {src}) d
+  JOIN (SELECT * FROM (SELECT *, {key} AS k, dense_rank() OVER (ORDER BY {at}) AS i, row_number() OVER (PARTITION BY {key}, {at} ORDER BY {order}) AS r FROM {src}) WHERE r = 1) n ON n.i = d.i
+  FULL JOIN (SELECT * FROM (SELECT *, {key} AS k, dense_rank() OVER (ORDER BY {at}) AS i, row_number() OVER (PARTITION BY {key}, {at} ORDER BY {order}) AS r FROM {src}) WHERE r = 1) o
+    ON o.k = n.k AND o.i = n.i - 1
+  WHERE d.i > 1 AND n.k IS NOT NULL AND (o.k IS NULL OR {differs})
+  UNION ALL
+  SELECT '{asset}', strftime(d.dt, '%Y-%m-%d'), o.k, 'removed'
+  FROM (SELECT DISTINCT {key} AS k, dense_rank() OVER (ORDER BY {at}) AS i FROM {src}) o
+  JOIN (SELECT DISTINCT {at} AS dt, dense_rank() OVER (ORDER BY {at}) AS i FROM {src}) d ON d.i = o.i + 1
+  ANTI JOIN (SELECT DISTINCT {key} AS k, dense_rank() OVER (ORDER BY {at}) AS i FROM {src}) n ON n.k = o.k AND n.i = d.i
+"""
+
+
+_CUST, _PORT = _FOLD.format("customer_id"), f"{_FOLD.format('portfolio_id')} || '|' || {_FOLD.format('instrument')}"
+_P4 = (
+    _p4("customers_dim", "customer_snap", _CUST, "snapshot_dt", "updated_at DESC NULLS LAST", "(o.email, o.tier, o.region) IS DISTINCT FROM (n.email, n.tier, n.region)")
+    + " UNION ALL "
+    + _p4("positions_dim", "positions", _PORT, "as_of_date", "quantity", "(o.quantity, o.market_value) IS DISTINCT FROM (n.quantity, n.market_value)")
+)
+_P5 = f"""
+WITH s AS (SELECT *, {_CUST} AS k, dense_rank() OVER (ORDER BY snapshot_dt) AS i, row_number() OVER (PARTITION BY {_CUST}, snapshot_dt ORDER BY updated_at DESC NULLS LAST) AS r FROM customer_snap),
+u AS (SELECT k, snapshot_dt, i, coalesce('v' || email, '-') || chr(31) || coalesce('v' || tier, '-') || chr(31) || coalesce('v' || region, '-') AS h FROM s WHERE r = 1),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY k, h ORDER BY i) AS run FROM u),
+v AS (SELECT k, min(snapshot_dt) AS f, max(i) AS e FROM g GROUP BY k, h, run),
+d AS (SELECT DISTINCT snapshot_dt, i FROM s),
+b AS (SELECT {_FOLD.format("account_cd")} AS k, update_timestamp AS t, arg_max(coalesce(cast(amt AS varchar), '-') || '|' || coalesce(ccy, '-'), row_id) AS h
+      FROM cash_balance WHERE update_timestamp IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, lag(h) OVER (PARTITION BY k ORDER BY t) AS p FROM b),
+w AS (SELECT k, t, lead(t) OVER (PARTITION BY k ORDER BY t) AS n FROM c WHERE p IS NULL OR p <> h)
+SELECT 'customers_dim' AS asset_name, k AS record_key, strftime(f, '%Y-%m-%d') AS valid_from, coalesce(strftime(d.snapshot_dt, '%Y-%m-%d'), '') AS valid_to FROM v LEFT JOIN d ON d.i = v.e + 1
+UNION ALL SELECT 'cash_balance_dim', k, strftime(t, '%Y-%m-%d %H:%M:%S'), coalesce(strftime(n, '%Y-%m-%d %H:%M:%S'), '') FROM w
+"""
+QUERIES |= {"p4_found": p4_found, "p5_found": p5_found}
+SQL |= {"p4_found": _P4, "p5_found": _P5}
