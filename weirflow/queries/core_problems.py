@@ -11,8 +11,9 @@ from weirflow.operators.attribute_history import snapshot_history, update_histor
 from weirflow.operators.change_apply import current_state
 from weirflow.operators.identifier_index import surplus_copies
 from weirflow.operators.record_parse import parse_records
+from weirflow.operators.schema_drift import drift_changes, file_types, path_values, typed_table
 from weirflow.operators.snapshot_diff import snapshot_changes
-from weirflow.session import table
+from weirflow.session import cut, table
 
 TXN_COLUMNS = ["txn_id", "account", "amount", "txn_date", "category"]
 
@@ -211,3 +212,59 @@ UNION ALL SELECT 'cash_balance_dim', k, strftime(t, '%Y-%m-%d %H:%M:%S'), coales
 """
 QUERIES |= {"p4_found": p4_found, "p5_found": p5_found}
 SQL |= {"p4_found": _P4, "p5_found": _P5}
+
+
+# --- 6: schemas that drift between files ---------------------------------------------------------------------------
+
+
+def p6_records(spark: SparkSession, sf: str) -> DataFrame:
+    return path_values(table(spark, sf, "order_feed"), "payload", {"feed": "feed", "file_no": "file_no"})
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return drift_changes(cut(p6_records(spark, sf), "paths"), "order_id")
+
+
+def p6_types(spark: SparkSession, sf: str) -> DataFrame:
+    return file_types(p6_records(spark, sf))
+
+
+def p6_table(spark: SparkSession, sf: str) -> DataFrame:
+    policy = settings(spark, sf, "orders_raw")["on_schema_change"]
+    out = typed_table(table(spark, sf, "order_feed"), "payload", "rec_id", "feed", "file_no", "order_id", policy)
+    return out.withColumn("failed", F.array_join("failed", ","))
+
+
+_P6 = """
+WITH c AS (SELECT feed, file_no, payload, unnest(json_keys(payload)) AS field FROM order_feed),
+e AS (SELECT feed, file_no, field, json_extract_string(payload, '$.order_id') AS ord, json_type(payload, '$."' || field || '"') AS j, json_extract_string(payload, '$."' || field || '"') AS text,
+        json_extract(payload, '$."' || field || '"')::varchar AS raw FROM c),
+k AS (SELECT feed, file_no, field, ord, text, CASE
+        WHEN j = 'NULL' THEN NULL WHEN j = 'BOOLEAN' THEN 'boolean' WHEN j = 'OBJECT' THEN 'object' WHEN j = 'ARRAY' THEN 'array'
+        WHEN j <> 'VARCHAR' THEN CASE WHEN regexp_matches(raw, '[.eE]') THEN 'decimal' ELSE 'whole' END
+        WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date'
+        WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}') THEN 'datetime' ELSE 'text' END AS kind FROM e),
+t AS (SELECT feed, file_no, field, CASE WHEN count(DISTINCT kind) < 2 THEN max(kind) WHEN bool_and(kind IN ('whole', 'decimal')) THEN 'decimal' ELSE 'text' END AS type,
+        count(*) AS records, count(*) - count(kind) AS nulls FROM k GROUP BY ALL)
+"""
+_P6_FOUND = (
+    _P6
+    + """,
+f AS (SELECT DISTINCT feed, file_no FROM t),
+n AS (SELECT t.* FROM t JOIN f ON f.feed = t.feed AND f.file_no = t.file_no - 1 ANTI JOIN t o ON o.feed = t.feed AND o.file_no = t.file_no - 1 AND o.field = t.field),
+g AS (SELECT t.feed, t.file_no + 1 AS file_no, t.field FROM t JOIN f ON f.feed = t.feed AND f.file_no = t.file_no + 1 ANTI JOIN t o ON o.feed = t.feed AND o.file_no = t.file_no + 1 AND o.field = t.field),
+r AS (SELECT n.feed, n.file_no, n.field, g.field AS old_field FROM n JOIN g USING (feed, file_no)
+      JOIN k a ON a.feed = n.feed AND a.file_no = n.file_no AND a.field = n.field AND a.text IS NOT NULL
+      JOIN k b ON b.feed = g.feed AND b.file_no = g.file_no - 1 AND b.field = g.field AND b.ord = a.ord AND b.text IS NOT NULL
+      GROUP BY ALL HAVING bool_and(a.text = b.text)),
+held AS (SELECT t.*, (SELECT arg_max(p.type, p.file_no) FROM t p WHERE p.feed = t.feed AND p.field = t.field AND p.file_no <= t.file_no AND p.type IS NOT NULL
+        AND (SELECT count(*) FROM t q WHERE q.feed = t.feed AND q.field = t.field AND q.file_no BETWEEN p.file_no AND t.file_no) = t.file_no - p.file_no + 1) AS h FROM t)
+SELECT feed, file_no, 'added' AS change, field, '' AS old_field FROM n ANTI JOIN r USING (feed, file_no, field)
+UNION ALL SELECT g.feed, g.file_no, 'removed', g.field, '' FROM g ANTI JOIN r ON r.feed = g.feed AND r.file_no = g.file_no AND r.old_field = g.field
+UNION ALL SELECT feed, file_no, 'renamed', field, old_field FROM r
+UNION ALL SELECT t.feed, t.file_no, 'retyped', t.field, '' FROM t JOIN held h ON h.feed = t.feed AND h.file_no = t.file_no - 1 AND h.field = t.field WHERE t.type <> h.h
+UNION ALL SELECT DISTINCT r.feed, r.file_no, 'retyped', r.field, '' FROM r JOIN t USING (feed, file_no, field) JOIN held h ON h.feed = r.feed AND h.file_no = r.file_no - 1 AND h.field = r.old_field WHERE t.type <> h.h
+"""
+)
+QUERIES |= {"p6_found": p6_found, "p6_types": p6_types, "p6_table": p6_table}
+SQL |= {"p6_found": _P6_FOUND, "p6_types": _P6 + "SELECT * FROM t"}
