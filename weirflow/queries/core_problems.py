@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weirflow.operators.attribute_history import snapshot_history, update_history
 from weirflow.operators.change_apply import current_state
 from weirflow.operators.identifier_index import surplus_copies
+from weirflow.operators.load_profile import Watched, findings, induced, load_dates, profile, value_counts
 from weirflow.operators.record_parse import parse_records
 from weirflow.operators.schema_drift import drift_changes, file_types, path_values, typed_table
 from weirflow.operators.snapshot_diff import snapshot_changes
@@ -268,3 +269,72 @@ UNION ALL SELECT DISTINCT r.feed, r.file_no, 'retyped', r.field, '' FROM r JOIN
 )
 QUERIES |= {"p6_found": p6_found, "p6_types": p6_types, "p6_table": p6_table}
 SQL |= {"p6_found": _P6_FOUND, "p6_types": _P6 + "SELECT * FROM t"}
+
+
+# --- 7: column profiles of loads -----------------------------------------------------------------------------------
+
+LOAD_NAME = "^transactions_(.+)_([0-9]{4}-[0-9]{2}-[0-9]{2})[.]csv$"
+WATCHED = [
+    Watched("amount", "number", 0, 1_000_000),
+    Watched("txn_date", "day", 0, 60),
+    Watched("category", "text", alphabet="a_", rule="[a-z_]+"),
+]
+
+
+def p7_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, list[Watched]]:
+    counts = cut(value_counts(table(spark, sf, "transactions"), "file_name", WATCHED), "counts")
+    loads = load_dates(counts, LOAD_NAME)
+    columns = induced(counts, WATCHED)
+    return counts, loads, cut(profile(counts, loads, columns), "profile"), columns
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    counts, loads, stats, columns = p7_parts(spark, sf)
+    return findings(counts, loads, stats, columns).select(F.col("load").alias("file_name"), F.col("column").alias("column_name"), "finding")
+
+
+def p7_profile(spark: SparkSession, sf: str) -> DataFrame:
+    stats = p7_parts(spark, sf)[2]
+    return stats.select(F.col("load").alias("file_name"), F.col("column").alias("column_name"), "n", "nulls", F.col("distinct").alias("n_distinct"), "out_of_range", "broken", "low", "high", "median")
+
+
+def p7_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    counts = value_counts(table(spark, sf, "transactions"), "file_name", WATCHED)
+    found = [(w.name, e.pattern, e.values, e.bits) for w in induced(counts, WATCHED) for e in w.expressions]
+    return spark.createDataFrame(found, "column_name string, expression string, distinct_values bigint, bits double")
+
+
+_P7 = """
+WITH t AS (SELECT file_name AS f, regexp_extract(file_name, '^transactions_(.+)_([0-9-]{10})[.]csv$', 1) AS branch, cast(regexp_extract(file_name, '^transactions_(.+)_([0-9-]{10})[.]csv$', 2) AS date) AS d, amount, txn_date, category FROM transactions),
+s AS (
+  SELECT f, 'amount' AS c, count(*) AS n, count(*) - count(amount) AS nulls, count(DISTINCT amount) AS dist, count(*) FILTER (amount < 0 OR amount > 1000000) AS oor, 0 AS broken,
+    min(amount) AS low, max(amount) AS high, median(amount) AS med FROM t GROUP BY f
+  UNION ALL
+  SELECT f, 'txn_date', count(*), count(*) - count(txn_date), count(DISTINCT txn_date), count(*) FILTER (d - txn_date < 0 OR d - txn_date > 60), 0,
+    min(cast(d - txn_date AS double)), max(cast(d - txn_date AS double)), median(d - txn_date) FROM t GROUP BY f
+  UNION ALL
+  SELECT f, 'category', count(*), count(*) - count(category), count(DISTINCT category), 0, count(*) FILTER (NOT regexp_full_match(category, '[a-z_]+')), NULL, NULL, NULL FROM t GROUP BY f),
+l AS (SELECT f, lag(f) OVER (PARTITION BY branch ORDER BY d) AS p FROM (SELECT DISTINCT f, branch, d FROM t)),
+x AS (SELECT s.*, b.n AS pn, b.nulls AS pnulls, b.dist AS pdist, b.med AS pmed FROM s JOIN l USING (f) LEFT JOIN s b ON b.f = l.p AND b.c = s.c),
+v AS (SELECT f, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY f) AS total FROM t WHERE category IS NOT NULL GROUP BY f, category),
+tv AS (SELECT f, sum(abs(q)) / 2.0 AS d FROM (
+    SELECT f, category, sum(q) AS q FROM (
+      SELECT v.f, category, cast(n AS double) / total AS q FROM v JOIN l ON l.f = v.f AND l.p IN (SELECT f FROM v)
+      UNION ALL SELECT l.f, category, -cast(n AS double) / total FROM v JOIN l ON l.p = v.f AND l.f IN (SELECT f FROM v)) GROUP BY ALL) GROUP BY f)
+"""
+_P7_FOUND = (
+    _P7
+    + """
+SELECT f AS file_name, c AS column_name, 'range' AS finding FROM s WHERE oor > 0.04 * (n - nulls)
+UNION ALL SELECT f, c, 'pattern' FROM s WHERE broken > 0.04 * (n - nulls)
+UNION ALL SELECT f, c, 'null_rate' FROM x WHERE abs(nulls / n - pnulls / pn) > 0.12
+UNION ALL SELECT f, c, 'distinct' FROM x WHERE dist > 2 * pdist OR pdist > 2 * dist
+UNION ALL SELECT f, c, 'shift' FROM x WHERE (c = 'amount' AND (med > 3 * pmed OR pmed > 3 * med)) OR (c = 'txn_date' AND abs(med - pmed) > 5)
+UNION ALL SELECT f, 'category', 'shift' FROM tv WHERE d > 0.35
+"""
+)
+QUERIES |= {"p7_found": p7_found, "p7_profile": p7_profile, "p7_expressions": p7_expressions}
+SQL |= {
+    "p7_found": _P7_FOUND,
+    "p7_profile": _P7 + "SELECT f AS file_name, c AS column_name, n, nulls, dist AS n_distinct, oor AS out_of_range, broken, cast(low AS double) AS low, cast(high AS double) AS high, cast(med AS double) AS median FROM s",
+}
