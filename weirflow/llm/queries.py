@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.overlap import shared_runs
 from weirflow.llm.packing import pack, token_counts
+from weirflow.llm.prose import STATISTICS, outliers
 from weirflow.session import table
 
 
@@ -33,5 +34,24 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_spans(spark, sf).select("doc_id", "eval_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans}
+def p10_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    common: dict[str, set] = {}
+    for r in table(spark, sf, "common_words").filter("lang IS NOT NULL AND word IS NOT NULL").collect():  # a fixed list of some hundred words
+        common.setdefault(r["lang"], set()).add(r["word"].lower())
+    return outliers(table(spark, sf, "documents"), {k: frozenset(v) for k, v in common.items()})
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_outliers(spark, sf).filter("kind IS NOT NULL").select(F.col("key").alias("doc_id"), "kind")
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text's statistics, its distance from prose, and what each statistic adds to it."""
+    d = p10_outliers(spark, sf)
+    names = [F.col("stats")[i].alias(n) for i, n in enumerate(STATISTICS)]
+    parts = [F.col("shares")[i].alias(f"{n}_part") for i, n in enumerate(STATISTICS)]
+    return d.select(F.col("key").alias("doc_id"), F.col("told").alias("lang"), "lines", *names, "distance", *parts, "kind")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
