@@ -249,7 +249,8 @@ def robust_prose(measured: DataFrame, rounds: int = 2, shrink: float = 50) -> di
                     own = own[now[g].contributions(own).sum(axis=1) <= TRIM]
                     one = np.hstack([np.ones((len(own), 1)), own])
                     total[g] = total.get(g, 0) + one.T @ one
-            yield pd.DataFrame({"told": list(total), "m": [m.ravel().tolist() for m in total.values()]})
+            if total:
+                yield pd.DataFrame({"told": list(total), "m": [m.ravel().tolist() for m in total.values()]})
 
         parts = held.select("told", "stats").mapInPandas(sums, "told string, m array<double>")
         width = (d + 1) ** 2
