@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.session import cut
+
 _KIND = """CASE
   WHEN type = 'VOID' THEN NULL
   WHEN type = 'BOOLEAN' THEN 'boolean'
@@ -82,10 +84,10 @@ def renames(records: DataFrame, new: DataFrame, gone: DataFrame, order: str, sal
 
 def drift_changes(records: DataFrame, order: str) -> DataFrame:
     """feed, file_no, change (added, removed, renamed, retyped), field, old_field ('' but for renamed)."""
-    t = _neighbours(records, file_types(records))
+    t = cut(_neighbours(records, file_types(records)), "types")
     new = t.filter("has_before AND NOT goes_on").select("feed", "file_no", "field", "type")
     gone = t.filter("has_behind AND NOT stays").select("feed", (F.col("file_no") + 1).alias("file_no"), "field", "held")
-    renamed = renames(records, new, gone, order)
+    renamed = cut(renames(records, new, gone, order), "renames")
     none = F.lit("")
     added = new.join(renamed, ["feed", "file_no", "field"], "left_anti").select("feed", "file_no", F.lit("added").alias("change"), "field", none.alias("old_field"))
     removed = gone.join(renamed.select("feed", "file_no", F.col("old_field").alias("field")), ["feed", "file_no", "field"], "left_anti").select("feed", "file_no", F.lit("removed").alias("change"), "field", none.alias("old_field"))
