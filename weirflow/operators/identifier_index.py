@@ -173,7 +173,7 @@ def surplus_copies(messages: DataFrame, batches: int = 6, merge_at: int = 3, row
         return spark.createDataFrame([], "source string, row_id bigint")
     bits = max(3, int(np.ceil(np.log2(max(1, n / batches / rows_per_group)))))
     index = IdentifierIndex(spark, bits, merge_at)
-    edges = [None, *sorted(set(bounds)), None]
+    edges = [None, *sorted(set(bounds or [])), None]
     for lo, hi in zip(edges, edges[1:]):
         part = rows if lo is None else rows.filter(F.col("ord") > lo)
         index.absorb(part if hi is None else part.filter(F.col("ord") <= hi))
