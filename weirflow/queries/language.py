@@ -219,7 +219,7 @@ for _how, _sql in {
     @query(f"join_{_how}", _sql)
     def _join(spark: SparkSession, sf: str, how: str = _how) -> DataFrame:
         c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_name")
-        o = table(spark, sf, "orders").filter("o_totalprice > 0").select(F.col("o_custkey").alias("k"), "o_orderkey")
+        o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
         return Frame(c).join(Frame(o), "k", how).data
 
 
