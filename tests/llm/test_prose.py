@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from weirflow.llm.prose import GATE, STATISTICS, Prose, cells, line_kinds, outliers, repeated_share
+from weirflow.llm.prose import GATE, STATISTICS, Measure, Prose, bit_table, cells, line_kinds, outliers, pair_counts, repeated_share, slices
 
 COMMON = {"en": frozenset("the a is it and of to was in for with this that my on not so but very".split())}
 NOUNS = "kettle lamp zip motor cable lid screen handle base strap".split()
@@ -27,9 +27,21 @@ def test_line_kinds():
 
 
 def test_repeated_share():
-    assert repeated_share(["a"] * 20, "a " * 20) == 1
-    assert repeated_share(["x"], "x" * 50) == 1
-    assert repeated_share("every word here is another one".split(), "every word here is another one") < 0.2
+    assert repeated_share(["a"] * 20) == 1
+    assert repeated_share(["well", "made"] * 20) == 1
+    assert repeated_share("every word here is another one".split()) < 0.2
+
+
+def test_letters_of_a_batch_are_those_of_each_text():
+    texts = ["The café is OK", "zzz 12", "", None, "ÀÉ ÿ 漢字 😀"]
+    bits = bit_table(pair_counts([t for t in texts if t] * 3))
+    m = Measure(bits, COMMON)
+    whole = m.batch(texts, ["en"] * 5)
+    assert whole == [m.batch([t], ["en"])[0] for t in texts]
+    assert whole[2] is None and whole[3] is None
+    s = dict(zip(STATISTICS, whole[0][2]))
+    assert s["letters"] == 1 and s["uppercase"] == 3 / 11 and s["digits"] == 0
+    assert [hi - lo for lo, hi in slices(["a" * 10, "b" * 3, "c" * 3, "d"], 6)] == [1, 2, 1]
 
 
 def test_contributions_add_up_to_the_distance():

@@ -20,7 +20,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ FLOOR = np.array([0.5, 0.4, 0.04, 0.03, 0.04, 0.1, 0.2, 0.08, 0.4, 0.1, 0.15, 0.
 #: Quantiles 0.95 and 0.999 of the chi-square distribution with sixteen degrees of freedom (fixed values): outliers
 #: lie beyond the first, and texts within the second go into mean and covariance.
 GATE, TRIM = 26.3, 39.25
-LETTERS = " abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßð" + "'’"
+LETTERS = " abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßð"
 CODE = {c: i for i, c in enumerate(LETTERS)}
 OTHER = len(LETTERS)
 WIDTH = OTHER + 1
@@ -53,11 +55,60 @@ SPLITS = [(re.compile(r"\t+"), 3), (re.compile(r"\|"), 2), (re.compile(r";"), 3)
 SENTENCE_END = ".!?…\"”»)’"
 
 
+class _Formats(dict):
+    """Table for str.translate that drops format characters, filled as characters come."""
+
+    def __missing__(self, c: int):  # noqa: ANN204
+        self[c] = None if unicodedata.category(chr(c)) == "Cf" else c
+        return self[c]
+
+
+_formats = _Formats()
+
+
 def clean(text: str) -> str:
     """Compatible forms of characters, without format characters."""
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    return text if text.isascii() else unicodedata.normalize("NFKC", text).translate(_formats)
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each character of the basic plane: its code in the alphabet (0: no letter), and flags letter 1, digit 2, uppercase 4, space 8."""
+    code, flags = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 16, dtype=np.uint8)
+    for i in range(1 << 16):
+        c = chr(i)
+        flags[i] = c.isalpha() | c.isdigit() << 1 | c.isupper() << 2 | c.isspace() << 3
+        if c.isalpha():
+            code[i] = CODE.get(c.lower()[0], OTHER)
+    return code, flags
+
+
+def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all texts behind each other (beyond the basic plane as one symbol), and where each text begins."""
+    starts = np.cumsum([0, *map(len, texts)])
+    p = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(p < 1 << 16, p, 0x2BFF).astype(np.uint16), starts
+
+
+def letter_pairs(p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of letters, and for each the index of the pair with the character before it (0 before a word)."""
+    code = _characters()[0][p]
+    before = np.zeros_like(code)
+    before[1:] = code[:-1]
+    before[starts[:-1][starts[:-1] < len(code)]] = 0
+    at = np.flatnonzero(code)
+    return at, before[at].astype(np.int32) * WIDTH + code[at]
+
+
+def slices(texts: list[str], most: int = 4_000_000) -> list[tuple[int, int]]:
+    """Ranges of texts of together about so many characters (one text at least)."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            out.append((lo, i))
+            lo, size = i, 0
+        size += len(t)
+    return [*out, (lo, len(texts))] if texts else []
 
 
 def cells(line: str) -> list[str]:
@@ -77,93 +128,122 @@ def line_kinds(lines: list[str], common: frozenset[str]) -> tuple[int, int]:
     rows = items = 0
     for line in lines:
         body = BULLET.sub("", line).strip()
-        found = [w.lower() for w in WORD.findall(body)]
-        plain = sum(w in common for w in found) / max(1, len(found))
+        closed = body.endswith((".", "!", "?"))
+        marked = "<" in line and ROW_MARK.search(line) or RULER.fullmatch(line)
+        if closed and not marked:
+            continue
+        found = WORD.findall(body.lower())
+        if not marked and sum(w in common for w in found) >= 0.4 * max(1, len(found)):
+            continue
         c = cells(line)
-        marked = bool(ROW_MARK.search(line) or RULER.fullmatch(line))
-        short = sum(len(x.split()) for x in c) <= 4 * max(1, len(c))
-        if marked or (c and plain < 0.4 and short and not body.endswith((".", "!", "?"))):
+        if marked or (c and sum(len(x.split()) for x in c) <= 4 * len(c)):
             rows += 1
-        elif len(body.split()) <= 7 and len(body) < 60 and plain < 0.4 and not body.endswith((".", "!", "?", "…")):
+        elif len(body) < 60 and len(body.split()) <= 7 and not body.endswith("…"):
             items += 1
     return rows, items
 
 
-def repeated_share(tokens: list[str], text: str) -> float:
-    """The share of the text that repeats what stands just before it: words with a period of up to six, or one sign."""
+def repeated_share(tokens: list[str]) -> float:
+    """The share of tokens that repeat those just before them, with a period of up to six."""
     n, best = len(tokens), 0.0
-    for p in range(1, 7):
-        if n > 3 * p:
-            best = max(best, sum(a == b for a, b in zip(tokens, tokens[p:])) / (n - p))
-    if len(text) >= 12:
-        best = max(best, sum(a == b for a, b in zip(text, text[1:])) / (len(text) - 1))
+    for period in range(1, 7):
+        if n > 3 * period:
+            best = max(best, sum(map(eq, tokens, tokens[period:])) / (n - period))
     return best
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
-    counts: Counter = Counter()
-    for t in texts:
-        for w in WORD.findall(clean(t).lower()):
-            w = f" {w}"
-            counts.update(zip(w, w[1:]))
-    out = np.zeros(WIDTH * WIDTH, dtype=np.int64)
-    for (a, b), n in counts.items():
-        out[CODE.get(a, OTHER) * WIDTH + CODE.get(b, OTHER)] += n
-    return out
-
-
-def bit_table(counts: np.ndarray) -> dict[tuple[str, str], float]:
-    """Bits of a letter after another. Letters outside of the alphabet cost as their class does."""
+    counts = np.zeros(WIDTH * WIDTH, dtype=np.int64)
+    for lo, hi in slices(texts):
+        counts += np.bincount(letter_pairs(*points([clean(t) for t in texts[lo:hi]]))[1], minlength=WIDTH * WIDTH)
+    return counts
+
+
+def bit_table(counts: np.ndarray) -> np.ndarray:
+    """Bits of a letter after another, by pair. Letters outside of the alphabet cost twelve at least."""
     m = counts.reshape(WIDTH, WIDTH) + 0.01
-    bits = -np.log2(m / m.sum(axis=1, keepdims=True))
+    bits = np.minimum(-np.log2(m / m.sum(axis=1, keepdims=True)), 20)
     bits[:, OTHER] = np.maximum(bits[:, OTHER], 12)
-    return {(a, b): float(bits[i, j]) for a, i in CODE.items() for b, j in CODE.items()}
+    bits[OTHER, :] = np.maximum(bits[OTHER, :], 12)
+    return bits.ravel()
 
 
 @dataclass
 class Measure:
-    """What one text needs besides itself: bits of letter pairs, and common words by language."""
+    """What texts need besides themselves: bits of letter pairs, and common words by language."""
 
-    bits: dict[tuple[str, str], float]
+    bits: np.ndarray
     common: dict[str, frozenset[str]]
-    every: frozenset[str] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.every = frozenset().union(*self.common.values())
-
-    def __call__(self, text: str | None, lang: str | None) -> tuple[str, list[float]] | None:
-        if not text or not text.strip():
-            return None
-        t = clean(text)
-        lines = [x for x in t.split("\n") if x.strip()]
-        tokens = t.split()
-        raw = WORD.findall(t)
-        found = [w.lower() for w in raw]
-        solid = max(1, sum(map(len, tokens)))
+        self.langs = sorted(self.common)
+        self.spoken: dict[str, list[str]] = {}
+        for g in self.langs:
+            for w in self.common[g]:
+                self.spoken.setdefault(w, []).append(g)
+        self.every = frozenset(self.spoken)
+
+    def batch(self, texts: list[str | None], langs: list[str | None]) -> list[tuple[str, int, list[float]] | None]:
+        """Language, number of lines and statistics of each text; None for blank ones."""
+        out: list = []
+        held = [clean(t) if t else "" for t in texts]
+        for lo, hi in slices(held):
+            out += self._slice(held[lo:hi], langs[lo:hi])
+        return out
+
+    def _slice(self, texts: list[str], langs: list[str | None]) -> list[tuple[str, int, list[float]] | None]:
+        p, starts = points(texts)
+        n = len(texts)
+        owner = np.repeat(np.arange(n), np.diff(starts))
+        flags = _characters()[1][p]
+
+        def per_text(mask: np.ndarray) -> np.ndarray:
+            return np.bincount(owner[mask], minlength=n)
+
+        letters, digits, upper, solid = (per_text((flags & k) > 0) for k in (1, 2, 4, 8))
+        solid = np.diff(starts) - solid
+        same = np.zeros(len(p), dtype=bool)
+        same[1:] = (p[1:] == p[:-1]) & (owner[1:] == owner[:-1])
+        same = per_text(same)
+        at, pair = letter_pairs(p, starts)
+        cost = self.bits[pair]
+        total = np.bincount(owner[at], weights=cost, minlength=n)
+        begins = np.flatnonzero(pair < WIDTH)
+        if len(begins):
+            size = np.diff(np.append(begins, len(pair)))
+            fine = np.add.reduceat(cost, begins) <= WORD_BITS * size
+            readable = np.bincount(owner[at[begins[fine]]], weights=size[fine], minlength=n)
+        else:
+            readable = np.zeros(n)
+        return [
+            self._one(t, g, *v) if t.strip() else None
+            for t, g, *v in zip(texts, langs, letters.tolist(), digits.tolist(), upper.tolist(), solid.tolist(), same.tolist(), total.tolist(), readable.tolist())
+        ]
+
+    def _one(self, text: str, lang: str | None, letters: int, digits: int, upper: int, solid: int, same: int, cost: float, readable: float) -> tuple[str, int, list[float]]:
+        lines = [x for x in text.split("\n") if x.strip()]
+        tokens = text.split()
+        found = WORD.findall(text.lower())
+        n, m = max(1, len(found)), max(1, len(lines))
         seen = Counter(found)
-        votes = {k: sum(seen[w] for w in v if w in seen) for k, v in self.common.items()}
+        votes = dict.fromkeys(self.langs, 0)
+        plain = 0
+        for w in seen.keys() & self.every:
+            plain += seen[w]
+            for g in self.spoken[w]:
+                votes[g] += seen[w]
         declared = (lang or "").strip().lower()[:2]
-        told = max(sorted(votes), key=lambda k: (votes[k], k == declared)) if votes else ""
-        n = len(found)
-        cost, dear, readable = 0.0, 0, 0
-        for w, k in seen.items():
-            b = sum(self.bits.get(p, 12.0) for p in zip(" " + w, w))
-            cost += b * k
-            dear += len(w) * k
-            if b <= WORD_BITS * len(w):
-                readable += len(w) * k
-        # addresses are no reading matter, whatever their letters
-        readable -= sum(min(len(x), solid) for x in tokens if "://" in x or x.startswith("www."))
-        digits = sum(c.isdigit() for c in t)
-        letters = sum(c.isalpha() for c in t)
-        upper = sum(c.isupper() for c in t)
+        told = max(self.langs, key=lambda g: (votes[g], g == declared)) if votes else ""
+        if "://" in text or "www." in text:
+            # addresses are no reading matter, whatever their letters
+            readable -= sum(len(x) for x in tokens if "://" in x or x.startswith("www."))
         rows, items = line_kinds(lines, self.every)
-        longest = max(map(len, tokens))
-        return told, [
-            math.log1p(n), dear / max(1, n), letters / solid, digits / solid, max(0.0, 1 - (letters + digits) / solid), upper / max(1, letters),
-            sum(x.rstrip()[-1:] in SENTENCE_END for x in lines) / max(1, len(lines)), sum(w in self.every for w in found) / max(1, n),
-            math.log1p(n / max(1, len(lines))), rows / max(1, len(lines)), items / max(1, len(lines)), min(1.0, len(seen) / max(1, n) * math.sqrt(max(1, n) / 30) if n > 30 else len(seen) / max(1, n)),
-            cost / dear if dear else 12.0, max(0.0, readable / solid), repeated_share(tokens, t), math.log1p(longest),
+        repeated = max(repeated_share(tokens), same / (len(text) - 1) if len(text) >= 12 else 0.0)
+        distinct = len(seen) / n
+        return told, len(lines), [
+            math.log1p(len(found)), letters / n, letters / solid, digits / solid, max(0.0, 1 - (letters + digits) / solid), upper / max(1, letters),
+            sum(x.rstrip()[-1:] in SENTENCE_END for x in lines) / m, plain / n, math.log1p(len(found) / m), rows / m, items / m,
+            min(1.0, distinct * math.sqrt(n / 30)) if n > 30 else distinct, cost / letters if letters else 12.0, max(0.0, readable / solid), repeated, math.log1p(max(map(len, tokens))),
         ]
 
 
@@ -202,9 +282,8 @@ def statistics(docs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            out = [measure(t, g) for t, g in zip(b["text"], b["lang"])]
-            lines = [sum(bool(x.strip()) for x in t.split("\n")) if t else 0 for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "told": [o[0] if o else None for o in out], "lines": lines, "stats": [o[1] if o else None for o in out]})
+            out = measure.batch([t if isinstance(t, str) else None for t in b["text"]], [g if isinstance(g, str) else None for g in b["lang"]])
+            yield pd.DataFrame({"key": b["key"], "told": [o[0] if o else None for o in out], "lines": [o[1] if o else 0 for o in out], "stats": [o[2] if o else None for o in out]})
 
     kind = docs.schema["key"].dataType.simpleString()
     return docs.select("key", "lang", "text").mapInPandas(run, f"key {kind}, told string, lines int, stats array<double>")
