@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 
 from weirflow.session import cut
 
+#: Kind of a cell c (type: of the JSON token, text: as it stands there). Lengths come first, expressions only where they can match.
 _KIND = """CASE
-  WHEN type = 'VOID' THEN NULL
-  WHEN type = 'BOOLEAN' THEN 'boolean'
-  WHEN type LIKE 'OBJECT%' THEN 'object'
-  WHEN type LIKE 'ARRAY%' THEN 'array'
-  WHEN type <> 'STRING' THEN if(text RLIKE '[.eE]', 'decimal', 'whole')
-  WHEN text RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' THEN 'date'
-  WHEN text RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$' THEN 'datetime'
-  ELSE 'text' END"""
+  WHEN c.type = 'VOID' THEN NULL
+  WHEN c.type = 'STRING' THEN CASE
+    WHEN length(c.text) = 10 AND c.text RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' THEN 'date'
+    WHEN length(c.text) = 19 AND c.text RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$' THEN 'datetime'
+    ELSE 'text' END
+  WHEN c.type = 'BOOLEAN' THEN 'boolean'
+  WHEN startswith(c.type, 'OBJECT') THEN 'object'
+  WHEN startswith(c.type, 'ARRAY') THEN 'array'
+  WHEN contains(c.text, '.') OR contains(c.text, 'e') OR contains(c.text, 'E') THEN 'decimal'
+  ELSE 'whole' END"""
 
 #: More distinct field names than this is no drift of a schema, and the driver won't hold them.
 MAX_FIELDS = 20_000
@@ -38,9 +41,11 @@ MAX_FIELDS = 20_000
 def path_values(rows: DataFrame, payload: str, keep: dict[str, str]) -> DataFrame:
     """The kept columns under new names, and fields: map of field -> struct(kind, text); null if the payload is no object."""
     kept = [F.col(c).alias(n) for n, c in keep.items()]
-    kind = _KIND.replace("type", "schema_of_variant(v)").replace("text RLIKE", "raw[k] RLIKE")
-    read = rows.select(*kept, F.expr(f"try_cast(try_parse_json(`{payload}`) AS map<string,variant>)").alias("variants"), F.from_json(F.col(payload), "map<string,string>").alias("raw"))
-    return read.select(*keep, F.expr(f"transform_values(variants, (k, v) -> named_struct('kind', {kind}, 'text', raw[k]))").alias("fields"))
+    # the record is bound as the one element of an array: else both parses would be inlined and run once per field
+    bound = f"array(named_struct('v', try_cast(try_parse_json(`{payload}`) AS map<string,variant>), 'r', from_json(`{payload}`, 'map<string,string>')))"
+    cells = "transform(map_entries(b.r), e -> named_struct('name', e.key, 'type', schema_of_variant(b.v[e.key]), 'text', e.value))"
+    fields = f"map_from_entries(transform({cells}, c -> struct(c.name, named_struct('kind', {_KIND}, 'text', c.text))))"
+    return rows.select(*kept, F.expr(f"transform({bound}, b -> CASE WHEN b.v IS NOT NULL THEN {fields} END)[0]").alias("fields"))
 
 
 def file_types(records: DataFrame) -> DataFrame:
