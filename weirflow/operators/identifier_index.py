@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.session import cut, scratch
+from weirflow.session import cut, opened, scratch
 
 LAST = (1 << 63) - 1
 RUN_SCHEMA = "source string, row_id bigint, seq int, ids binary, batch int, kind string, part int"
@@ -65,7 +65,7 @@ def _arrays(run: str, part: int) -> list[np.ndarray]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    place, inner = fs.FileSystem.from_uri(run) if "://" in run else (fs.LocalFileSystem(), run)
+    place, inner = opened(run)
     found = place.get_file_info(fs.FileSelector(f"{inner}/kind=novel/part={part}", allow_not_found=True))
     out = []
     for f in found:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.session import opened
+
 # states
 START, PLAIN, QUOTED, AFTER_QUOTE, BROKEN = range(5)
 # input classes
@@ -222,9 +224,7 @@ def _token_schema(rows: DataFrame) -> str:
 
 
 def _read_range(path: str, offset: int, length: int) -> bytes:
-    from pyarrow import fs
-
-    place, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    place, inner = opened(path)
     with place.open_input_file(inner) as f:
         return f.read_at(length, offset)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="weirflow-shared-")
+        folder = tempfile.mkdtemp(prefix="weirflow-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -55,3 +59,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     to = scratch(spark, label)
     df.write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)
+
+
+def opened(uri: str):  # noqa: ANN201
+    """File system and inner path of a place in the shared folder, for readers outside of the JVM."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
