@@ -147,3 +147,24 @@ def test_api_and_events(spark):
             return [{"event_type": event_type, "n": 1}] if event_type == "click" else []
 
     assert event_rows(spark, Queue(), "click").count() == 1 and event_rows(spark, Queue(), "none").count() == 0
+
+
+def test_connections(spark, tmp_path, monkeypatch):
+    from weirflow.operators.tables import TableStore
+    from weirflow.plans.pipeline import Runner
+    from weirflow.plans.spec import build
+    from weirflow.sources.connections import chunk_rows
+
+    (tmp_path / "c.yaml").write_text("a: [1]")
+    monkeypatch.setenv("S_KEY", "k")
+    made = {"api": {"base_url": "http://h", "odd": 1}, "http": {"base_url": "http://h"}, "postgres": {"host": "db", "database": "d", "user": "u", "odd": 1}, "snowflake": {"account": "acc", "warehouse": "w"}, "config": {"path": str(tmp_path / "c.yaml")}, "logger": {"level": "warning"}, "vault": {"prefix": "S_"}, "ftp": {}}
+    r = Runner(spark, build({"resources": [{"name": k, "type": k, "config": c} for k, c in made.items()]}), TableStore(spark, str(tmp_path)))
+    assert r.connection("api").base_url == "http://h" and r.connection("http") is r.connection("http")
+    assert r.connection("postgres").url == "jdbc:postgresql://db:5432/d" and r.connection("snowflake").properties["warehouse"] == "w"
+    assert r.connection("config") == {"a": [1]} and r.connection("logger").level == 30 and r.connection("vault")("KEY") == "k"
+    with pytest.raises(KeyError):
+        r.connection("vault")("NONE")
+    for bad in ("ftp", "absent"):
+        with pytest.raises(ValueError):
+            r.connection(bad)
+    assert [chunk_rows(*x) for x in ((10, 3), (200_000, 60), (6_000_000, 3), (200_000, 3))] == [10, 25_000, 250_000, 100_000]

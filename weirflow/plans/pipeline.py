@@ -15,8 +15,9 @@ from weirflow.operators.tables import Model, TableStore
 from weirflow.plans.flow import lineage
 from weirflow.plans.projection import Declared, Run, project
 from weirflow.plans.spec import Asset, Pipeline
-from weirflow.registry import sources
-from weirflow.sources.feeds import Api, event_rows
+from weirflow.registry import connections, sources
+from weirflow.sources import connections as _connections  # noqa: F401 - registers the kinds
+from weirflow.sources.feeds import event_rows
 from weirflow.sources.files import read_file
 from weirflow.sources.templates import render
 
@@ -49,10 +50,11 @@ class Runner:
             r = self.pipeline.resources.get(name)
             if r is None:
                 raise ValueError(f"no resource '{name}'")
-            if r.type not in ("api", "http"):
+            if r.type not in connections:
                 raise ValueError(f"resource '{name}' of type '{r.type}' must be given to the runner")
-            c = {k: v for k, v in r.config.items() if k in ("base_url", "timeout", "headers")}
-            self.connections[name] = Api(**c)
+            make = connections.get(r.type)
+            known = getattr(make, "__dataclass_fields__", None)
+            self.connections[name] = make(**{k: v for k, v in r.config.items() if known is None or k in known})
         return self.connections[name]
 
     def _upstream(self, asset: Asset, needs: list[str], have: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:

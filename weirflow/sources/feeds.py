@@ -47,6 +47,9 @@ class Api:
             return False
 
 
+connections.register("http")(Api)
+
+
 def event_rows(spark: SparkSession, queue: Any, event_type: str | None = None) -> DataFrame:
     """What a queue's ``consume(event_type=...)`` gives; nothing gives an empty frame."""
     found = queue.consume(event_type=event_type)
