@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from weirflow.llm.overlap import Hashes, fingerprints, run_around, shared_runs, word_hashes, words
+from weirflow.llm.overlap import Hashes, fingerprints, joint_fingerprints, parts, run_around, shared_runs, word_hashes, words
 
 
 def brute(texts, items, least=12):
@@ -36,6 +36,19 @@ def test_every_run_of_twelve_shares_a_fingerprint(seed):
     assert set(x.tolist()) & set(y.tolist())
 
 
+def test_fingerprints_of_many_texts_hold_those_of_each():
+    r = random.Random(4)
+    c = Hashes()
+    texts = [word_hashes(" ".join(r.choice("abcdefgh") for _ in range(r.choice([0, 3, 11, 12, 40]))), c) for _ in range(60)]
+    g, owner, pos = joint_fingerprints(texts)
+    got = set(zip(owner.tolist(), pos.tolist(), g.tolist()))
+    for i, h in enumerate(texts):
+        assert {(i, int(p), int(x)) for x, p in zip(*fingerprints(h))} <= got
+    assert all(p + 6 <= len(texts[o]) for o, p, _ in got)
+    assert [len(x) for x in joint_fingerprints([])] == [0, 0, 0]
+    assert parts(["a" * 5, "b", "c" * 9, "d"], 6) == [(0, 2), (2, 3), (3, 4)]
+
+
 def test_run_around():
     a, b = np.arange(20, dtype=np.uint64), np.arange(5, 15, dtype=np.uint64)
     assert run_around(a, 7, b, 2) == (5, 10)

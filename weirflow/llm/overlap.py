@@ -61,6 +61,8 @@ def words(text: str | None) -> list[str]:
 
 
 class Hashes(dict):
+    """Word -> hash, for the words met lately."""
+
     def __missing__(self, w: str) -> int:
         if len(self) > 200_000:
             self.clear()
@@ -69,25 +71,65 @@ class Hashes(dict):
 
 
 def word_hashes(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    return np.array([cache[w] for w in words(text)], dtype=np.uint64)
+    found = words(text)
+    return np.fromiter(map(cache.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
-def fingerprints(h: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen k-gram hashes and their positions."""
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Mixed hashes of all k-grams of word hashes."""
     n = len(h) - k + 1
-    if n < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     g = np.zeros(n, np.uint64)
     for i in range(k):
         g += h[i : i + n] * _FACTOR[i]
     g ^= g >> np.uint64(29)
     g *= np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(32)
+    return g
+
+
+def fingerprints(h: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen k-gram hashes of one text and their positions."""
+    n = len(h) - k + 1
+    if n < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    g = _grams(h, k)
     views = np.lib.stride_tricks.sliding_window_view(g, window)
     at = np.unique(np.arange(len(views)) + views.argmin(axis=1))
     return g[at], at
 
 
+def parts(texts: list[str], most: int = 4_000_000) -> list[tuple[int, int]]:
+    """Ranges of texts of together about so many characters (one text at least)."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            out.append((lo, i))
+            lo, size = i, 0
+        size += len(t)
+    return [*out, (lo, len(texts))] if texts else []
+
+
+def joint_fingerprints(texts: list[np.ndarray], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of many texts at once: hashes, number of the text, position in it.
+
+    k-grams that reach over a border are no candidates. Windows that do may add fingerprints to those of the single texts, never lose one.
+    """
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    none = np.zeros(0, np.int64)
+    h = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    n = len(h) - k + 1
+    if n < window:
+        return np.zeros(0, np.uint64), none, none
+    owner = np.repeat(np.arange(len(texts)), size)
+    g = _grams(h, k)
+    whole = owner[:n] == owner[k - 1 :]
+    g[~whole] = np.iinfo(np.uint64).max
+    at = np.unique(np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(g, window).argmin(axis=1))
+    at = at[whole[at]]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    return g[at], owner[at], at - starts[owner[at]]
+
+
 def run_around(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
     """Start in a and length of the run of equal words that holds a[i] and b[j]."""
     if a[i] != b[j]:
@@ -123,10 +165,11 @@ def _prints(texts: DataFrame) -> DataFrame:
 
         cache = Hashes()
         for b in batches:
-            out = [(k, *fingerprints(word_hashes(t, cache))) for k, t in zip(b["key"], b["text"])]
-            out = [x for x in out if len(x[1])]
-            if out:
-                yield pd.DataFrame({"key": np.repeat([k for k, _, _ in out], [len(g) for _, g, _ in out]), "print": np.concatenate([g for _, g, _ in out]).view(np.int64), "pos": np.concatenate([p for _, _, p in out])})
+            keys, held = b["key"].to_numpy(), b["text"].tolist()
+            for lo, hi in parts(held):
+                g, owner, pos = joint_fingerprints([word_hashes(t, cache) for t in held[lo:hi]])
+                if len(g):
+                    yield pd.DataFrame({"key": keys[lo:hi][owner], "print": g.view(np.int64), "pos": pos})
 
     return texts.mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, print bigint, pos bigint")
 
@@ -145,17 +188,18 @@ def _lookup(texts: DataFrame, items: list[tuple[object, str]], least: int, item_
                 index[int(g)].append((k, int(p)))
         known = np.array(sorted(index), dtype=np.uint64)
         for b in batches:
-            rows = []
-            for key, text in zip(b["key"], b["text"]):
-                h = word_hashes(text, cache)
-                g, at = fingerprints(h)
-                if not len(g) or not len(known):
+            keys, rows, texts_ = b["key"].tolist(), [], b["text"].tolist()
+            for lo, hi in parts(texts_) if len(known) else []:
+                hashes = [word_hashes(t, cache) for t in texts_[lo:hi]]
+                g, owner, pos = joint_fingerprints(hashes)
+                if not len(g):
                     continue
                 spot = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                hit = np.flatnonzero(known[spot] == g)
-                if len(hit):
-                    best = _longest(h, [(int(at[x]), k, p) for x in hit for k, p in index[int(g[x])]], held, least)
-                    rows += [(key, k, s, n) for k, (s, n) in best.items()]
+                hits: dict[int, list] = defaultdict(list)
+                for x in np.flatnonzero(known[spot] == g).tolist():
+                    hits[int(owner[x])] += [(int(pos[x]), k, p) for k, p in index[int(g[x])]]
+                for i, found in hits.items():
+                    rows += [(keys[lo + i], k, s, n) for k, (s, n) in _longest(hashes[i], found, held, least).items()]
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "item", "start", "length"])
 
