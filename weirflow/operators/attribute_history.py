@@ -37,31 +37,41 @@ def bitmaps(points: DataFrame, group: list[str]) -> DataFrame:
     return points.groupBy(*group, "hash", F.expr(f"pos div {WORD}").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")).alias("bits"), F.map_from_entries(F.collect_list(F.struct(F.expr(f"cast(pos % {WORD} as int)"), "at"))).alias("at"))
 
 
-def runs(words: DataFrame, group: list[str]) -> DataFrame:
-    """Starts and ends of runs of consecutive bits: group, hash, start, stop (positions), at (time of the start)."""
-    w = Window.partitionBy(*group, "hash").orderBy("word")
-    top = WORD - 1
-    before = F.when(F.lag("word").over(w) == F.col("word") - 1, F.expr(f"shiftright(lag(bits) over (partition by {', '.join([*group, 'hash'])} order by word), {top}) & 1")).otherwise(F.lit(0).cast("bigint"))
-    after = F.when(F.lead("word").over(w) == F.col("word") + 1, F.expr(f"lead(bits) over (partition by {', '.join([*group, 'hash'])} order by word) & 1")).otherwise(F.lit(0).cast("bigint"))
-    mask = (1 << WORD) - 1
-    edged = words.withColumns({"before": before, "after": after}).withColumns(
+def borders(words: DataFrame, group: list[str], stops: bool) -> DataFrame:
+    """Where runs of consecutive bits start (and stop): group, hash, pos, at (time of the position), opens (start or stop)."""
+    top, mask = WORD - 1, (1 << WORD) - 1
+    w = f"(partition by {', '.join([*group, 'hash'])} order by word)"
+    edged = words.withColumns(
+        {
+            "before": F.expr(f"if(lag(word) over {w} = word - 1, shiftright(lag(bits) over {w}, {top}) & 1L, 0L)"),
+            "after": F.expr(f"if(lead(word) over {w} = word + 1, lead(bits) over {w} & 1L, 0L)") if stops else F.lit(0).cast("bigint"),
+        }
+    ).withColumns(
         {
-            "starts": F.expr(f"bits & ~((shiftleft(bits, 1) & {mask}L) | before)"),
-            "stops": F.expr(f"bits & ~(shiftright(bits, 1) | shiftleft(after, {top}))"),
+            "starts": F.expr(f"bits & ~((shiftleft(bits, 1) & {mask}L) | coalesce(before, 0L))"),
+            "ends": F.expr(f"bits & ~(shiftright(bits, 1) | shiftleft(coalesce(after, 0L), {top}))") if stops else F.lit(0).cast("bigint"),
         }
     )
 
-    def positions(c: str) -> Column:
-        return F.expr(f"filter(sequence(0, {top}), i -> (shiftright({c}, i) & 1) = 1)")
+    def marks(c: str, opens: bool) -> str:
+        return f"transform(filter(sequence(0, {top}), i -> (shiftright({c}, i) & 1) = 1), i -> named_struct('bit', i, 'opens', {str(opens).lower()}))"
+
+    every = f"concat({marks('starts', True)}, {marks('ends', False)})" if stops else marks("starts", True)
+    found = edged.filter("starts <> 0 OR ends <> 0").select(*group, "hash", "word", "at", F.explode(F.expr(every)).alias("m"))
+    return found.select(*group, "hash", F.expr(f"word * {WORD} + m.bit").alias("pos"), F.expr("element_at(at, m.bit)").alias("at"), F.col("m.opens").alias("opens"))
+
+
+def runs(words: DataFrame, group: list[str]) -> DataFrame:
+    """Runs of consecutive bits: group, hash, start, stop (positions), start_at (time of the start)."""
+    # in the order of positions, each start is followed by its stop
+    order = Window.partitionBy(*group, "hash").orderBy("pos", F.col("opens").desc())
+    paired = borders(words, group, True).withColumn("stop", F.lead("pos").over(order))
+    return paired.filter("opens").select(*group, "hash", F.col("pos").alias("start"), F.col("at").alias("start_at"), "stop")
 
-    def listed(c: str, name: str) -> DataFrame:
-        return edged.filter(F.col(c) != 0).select(*group, "hash", "word", "at", F.explode(positions(c)).alias("bit")).select(*group, "hash", (F.col("word") * WORD + F.col("bit")).alias(name), F.expr("element_at(at, bit)").alias(f"{name}_at"))
 
-    # the n-th start of a pair belongs to its n-th stop
-    edges = listed("starts", "start").select(*group, "hash", "start", "start_at", F.lit(None).cast("bigint").alias("stop")).unionByName(listed("stops", "stop").select(*group, "hash", F.lit(None).cast("bigint").alias("start"), F.lit(None).alias("start_at"), "stop"))
-    order = Window.partitionBy(*group, "hash").orderBy(F.coalesce("start", "stop"), F.col("start").isNull())
-    paired = edges.withColumn("end", F.lead("stop").over(order))
-    return paired.filter(F.col("start").isNotNull()).select(*group, "hash", "start", "start_at", F.col("end").alias("stop"))
+def run_starts(words: DataFrame, group: list[str]) -> DataFrame:
+    """The same without stops: group, hash, start, start_at."""
+    return borders(words, group, False).select(*group, "hash", F.col("pos").alias("start"), F.col("at").alias("start_at"))
 
 
 def snapshot_history(rows: DataFrame, keys: list[str], snapshot: str, checked: list[str], updated_at: str | None = None) -> DataFrame:
@@ -92,7 +102,7 @@ def update_history(rows: DataFrame, keys: list[str], time: str, checked: list[st
     group = ["key", "bucket"]
     points = single.select("key", bucket.alias("bucket"), "at", attribute_hash(F.col("row.checked")).alias("hash"))
     points = points.withColumn("pos", (F.row_number().over(Window.partitionBy(*group).orderBy("at")) - 1).cast("bigint"))
-    found = runs(bitmaps(points, group), group)
+    found = run_starts(bitmaps(points, group), group)
     # inside a bucket every run starts a version, but for the first if the bucket before ended with the same hash
     edge = found.groupBy(*group).agg(
         F.min_by("hash", "start").alias("first_hash"),
