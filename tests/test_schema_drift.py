@@ -71,6 +71,15 @@ def test_typed_table_reports_what_does_not_cast(spark):
     assert all(got[k]["failed"] == ["*"] for k in (4, 5, 6, 7))
 
 
+def test_names_that_clash(spark, tmp_path):
+    files = [("f", 1, [{"order_id": "1", "feed": "x", "Qty": 1, "failed": 2}]), ("f", 2, [{"order_id": "2", "qty": 5, "rec_id": 3}])]
+    df = typed_table(frame(spark, files), "payload", "rec_id", "feed", "file_no", "order_id")
+    df.write.parquet(str(tmp_path / "t"))
+    got = {r["rec_id"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert set(got[1]) == {"rec_id", "feed", "file_no", "order_id", "feed_", "failed_", "Qty", "qty_", "rec_id_", "failed"}
+    assert (got[1]["feed"], got[1]["feed_"], got[1]["Qty"], got[2]["qty_"], got[2]["rec_id_"]) == ("f", "x", 1, 5, 3)
+
+
 def test_policies(spark):
     df = frame(spark, FILES)
     assert "day" not in typed_table(df, "payload", "rec_id", "feed", "file_no", "order_id", "ignore").columns

@@ -133,6 +133,8 @@ _SQL_TYPE = {"whole": "bigint", "decimal": "double", "boolean": "boolean", "date
 def typed_table(rows: DataFrame, payload: str, key: str, feed: str, file_no: str, order: str, policy: str = "sync_all_columns") -> DataFrame:
     """key, feed, file_no, one typed column per field (its most frequent name), and failed: the fields that didn't cast.
 
+    A field whose name is taken, if only in another case, gets a trailing underscore.
+
     policy: "ignore" keeps only fields of the lowest file number, "fail" raises if anything changed, the others keep all.
     """
     records = path_values(rows, payload, {"feed": feed, "file_no": file_no})
@@ -150,7 +152,16 @@ def typed_table(rows: DataFrame, payload: str, key: str, feed: str, file_no: str
         if r["field"] in names:
             v = votes.setdefault(names[r["field"]], {})
             v[r["type"]] = v.get(r["type"], 0) + r["n"]
-    columns, failed = [], []
+    columns, failed, taken = [], [], {key.lower(), "feed", "file_no", "failed"}
+
+    def named(c: str) -> str:
+        """A name of its own: Spark's tables don't tell upper from lower case, and some names are taken."""
+        out = c
+        while out.lower() in taken:
+            out += "_"
+        taken.add(out.lower())
+        return out
+
     cells = path_values(rows, payload, {"_key": key, "_feed": feed, "_no": file_no})
     for c in sorted(set(names.values())):
         v = votes.get(c, {})
@@ -159,8 +170,8 @@ def typed_table(rows: DataFrame, payload: str, key: str, feed: str, file_no: str
         kind = ("decimal" if v.get("decimal") else "whole") if number > max([0, *rest.values()]) else max(rest, key=lambda k: (rest[k], k), default="text")
         text = F.coalesce(*[F.col("fields")[f]["text"] for f in sorted(names, key=lambda f: (f != c, f)) if names[f] == c])
         value = text.try_cast(_SQL_TYPE[kind]) if kind in _SQL_TYPE else text
-        columns.append(value.alias(c))
-        failed.append(F.when(text.isNotNull() & value.isNull(), F.lit(c)))
+        columns.append(value.alias(name := named(c)))
+        failed.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
     lost = F.when(F.col("fields").isNull(), F.array(F.lit("*"))).otherwise(F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
     return cells.select(F.col("_key").alias(f"{key}"), F.col("_feed").alias("feed"), F.col("_no").alias("file_no"), *columns, lost.alias("failed"))
 
