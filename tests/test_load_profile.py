@@ -5,7 +5,7 @@ import statistics
 
 import pytest
 from weirflow.operators.expressions_mdl import induce, skeletons
-from weirflow.operators.load_profile import Watched, findings, induced, load_dates, medians, profile, value_counts
+from weirflow.operators.load_profile import Watched, coverage, findings, induced, load_dates, medians, profile, value_counts
 
 W = [Watched("amount", "number", 0, 1_000_000), Watched("day", "day", 0, 60), Watched("cat", "text", alphabet="a_", rule="[a-z_]+")]
 SCHEMA = "file string, amount double, day date, cat string, value string, load string, n int"
@@ -32,7 +32,10 @@ def test_findings(spark):
     rows += load(name(4), d[4], amount=lambda i: None if i < 13 else 10.0 + i) + load(name(5), d[5], amount=lambda i: 10.0 + i % 30)
     rows += load(name(6), d[6], amount=lambda i: 10_000.0 + i % 30) + load(name(7), d[7], amount=lambda i: 10_000.0 + i % 30, cat=lambda i: "fees")
     rows += load("no date.csv", d[0]) + load(None, d[0])
-    _, _, f = run(spark, rows)
+    _, stats, f = run(spark, rows)
+    counts = value_counts(spark.createDataFrame(rows, SCHEMA), "file", W)
+    covered = {r["load"]: (r["covered"], r["covered_before"]) for r in coverage(stats, load_dates(counts, NAME)).filter("column = 'cat'").collect()}
+    assert covered[name(0)] == (1.0, None) and covered[name(3)] == (0.95, 1.0) and covered[name(4)] == (1.0, 0.95)
     assert {tuple(r) for r in f.collect()} == {
         (name(1), "amount", "range"), (name(2), "day", "range"), (name(3), "cat", "pattern"), (name(4), "amount", "null_rate"),
         (name(5), "amount", "null_rate"), (name(5), "amount", "distinct"), (name(6), "amount", "shift"), (name(7), "cat", "distinct"), (name(7), "cat", "shift"),

@@ -122,6 +122,15 @@ def profile(counts: DataFrame, loads: DataFrame, columns: list[Watched]) -> Data
     return stats.withColumn("load_", F.coalesce("load", F.lit(""))).join(middle, ["load_", "column"], "left").drop("load_")
 
 
+def coverage(stats: DataFrame, loads: DataFrame) -> DataFrame:
+    """load, column, covered (share of values within the induced expressions), covered_before (in the load before), change."""
+    share = F.try_divide(F.col("n") - F.col("nulls") - F.col("uncovered"), F.col("n") - F.col("nulls"))
+    own = stats.select("load", "column", share.alias("covered"))
+    before = own.select(F.col("load").alias("previous"), "column", F.col("covered").alias("covered_before"))
+    out = own.join(loads.select("load", "previous"), "load").join(before, ["previous", "column"], "left")
+    return out.select("load", "column", "covered", "covered_before", (F.col("covered") - F.col("covered_before")).alias("change"))
+
+
 def distances(counts: DataFrame, loads: DataFrame, stats: DataFrame, columns: list[Watched]) -> DataFrame:
     """load, column, apart, whole: the sum of absolute differences of the value shares of a load and the one before is apart / whole."""
     texts = [w.name for w in columns if w.kind == "text"]

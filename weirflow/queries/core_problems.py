@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weirflow.operators.attribute_history import snapshot_history, update_history
 from weirflow.operators.change_apply import current_state
 from weirflow.operators.identifier_index import surplus_copies
-from weirflow.operators.load_profile import Watched, findings, induced, load_dates, profile, value_counts
+from weirflow.operators.load_profile import Watched, coverage, findings, induced, load_dates, profile, value_counts
 from weirflow.operators.record_parse import parse_records
 from weirflow.operators.schema_drift import drift_changes, file_types, path_values, typed_table
 from weirflow.operators.snapshot_diff import snapshot_changes
@@ -298,6 +298,12 @@ def p7_profile(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select(F.col("load").alias("file_name"), F.col("column").alias("column_name"), "n", "nulls", F.col("distinct").alias("n_distinct"), "out_of_range", "broken", "low", "high", "median")
 
 
+def p7_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each load the induced expressions cover, against the load before."""
+    _, loads, stats, _ = p7_parts(spark, sf)
+    return coverage(stats, loads).withColumnsRenamed({"load": "file_name", "column": "column_name"})
+
+
 def p7_expressions(spark: SparkSession, sf: str) -> DataFrame:
     counts = value_counts(table(spark, sf, "transactions"), "file_name", WATCHED)
     found = [(w.name, e.pattern, e.values, e.bits) for w in induced(counts, WATCHED) for e in w.expressions]
@@ -333,7 +339,7 @@ UNION ALL SELECT f, c, 'shift' FROM x WHERE (c = 'amount' AND (med > 3 * pmed OR
 UNION ALL SELECT f, 'category', 'shift' FROM tv WHERE d > 0.35
 """
 )
-QUERIES |= {"p7_found": p7_found, "p7_profile": p7_profile, "p7_expressions": p7_expressions}
+QUERIES |= {"p7_found": p7_found, "p7_profile": p7_profile, "p7_coverage": p7_coverage, "p7_expressions": p7_expressions}
 SQL |= {
     "p7_found": _P7_FOUND,
     "p7_profile": _P7 + "SELECT f AS file_name, c AS column_name, n, nulls, dist AS n_distinct, oor AS out_of_range, broken, cast(low AS double) AS low, cast(high AS double) AS high, cast(med AS double) AS median FROM s",
