@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -27,8 +28,9 @@ def t(spark):
 
 
 def one(t, expr, run=None):
-    term = compile_column(expr, Scope(t, run))
-    return [r[0] for r in t.select(term.column.alias("v"), "id").orderBy("id").collect()]
+    scope = Scope(t, run)
+    term = compile_column(expr, scope)
+    return [r[0] for r in scope.frame().select(term.column.alias("v"), "id").orderBy("id").collect()]
 
 
 @pytest.mark.parametrize(
@@ -110,12 +112,20 @@ def test_keys(t):
     assert isinstance(one(t, "pd.Timestamp.utcnow().date()")[0], dt.date)
 
 
-@pytest.mark.parametrize("bad", ["__import__('os')", 'ref("id").column', 'ref("id").__class__', "open('x')", "[x for x in [1]]", "lambda: 1", 'ref("id") if True else 1', "ref(", "upper(*[1])", "pd.read_csv('x')", "1 @ 2", "b'x'", "context.at"])
+@pytest.mark.parametrize("bad", ["__import__('os')", 'ref("id").column', 'ref("id").__class__', "open('x')", "[x for x in [1]]", "lambda: 1", 'ref("id") if True else 1', "ref(", "upper(*[1])", "pd.read_csv('x')", "1 @ 2", "b'x'", "context.at", "9 ** 9 ** 9", "'a' * 10 ** 9"])
 def test_refused(t, bad):
     with pytest.raises(Refused):
         one(t, bad)
 
 
+def test_whole_frame_aggregates_share_a_scan(t):
+    columns = [Declared("a", "float", 'ref("x") - mean_of(ref("x"))'), Declared("b", "int", 'sum_of(ref("id")) + count_of(ref("g")) * max_of(ref("id"))')]
+    out = project(t, columns)
+    assert [r["b"] for r in out.data.collect()] == [10 + 3 * 4] * 4
+    plan = out.data._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"subquery#(\d+)", plan))) == 1
+
+
 def test_missing_field(t):
     with pytest.raises(KeyError, match="nope"):
         one(t, 'ref("nope")')

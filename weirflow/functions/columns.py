@@ -290,36 +290,32 @@ def uuid_key(scope: Scope) -> Column:
     return F.uuid()
 
 
-# --- aggregates of the whole frame, as scalar subqueries: one row, no window over everything -------------------------
-
-
-def _whole(scope: Scope, agg: Column) -> Column:
-    return scope.df.agg(agg.alias("v")).scalar()
+# --- aggregates of the whole frame: no window over everything, one subquery for all of them -------------------------
 
 
 @column_function("sum_of")
 def sum_of(scope: Scope, x: Any) -> Column:
-    return _whole(scope, F.coalesce(F.sum(column_of(x)), F.lit(0)))
+    return scope.whole(F.coalesce(F.sum(column_of(x)), F.lit(0)))
 
 
 @column_function("mean_of")
 def mean_of(scope: Scope, x: Any) -> Column:
-    return _whole(scope, F.avg(column_of(x)))
+    return scope.whole(F.avg(column_of(x)))
 
 
 @column_function("min_of")
 def min_of(scope: Scope, x: Any) -> Column:
-    return _whole(scope, F.min(column_of(x)))
+    return scope.whole(F.min(column_of(x)))
 
 
 @column_function("max_of")
 def max_of(scope: Scope, x: Any) -> Column:
-    return _whole(scope, F.max(column_of(x)))
+    return scope.whole(F.max(column_of(x)))
 
 
 @column_function("count_of")
 def count_of(scope: Scope, x: Any) -> Column:
-    return _whole(scope, F.count(column_of(x)))
+    return scope.whole(F.count(column_of(x)))
 
 
 # --- windows -------------------------------------------------------------------------------------------------------

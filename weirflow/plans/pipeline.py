@@ -96,7 +96,7 @@ class Runner:
         table = self.store.table(asset.source.get("table", asset.name))
         data = out.persist()
         try:
-            written = table.materialize(data, asset.model or Model(), columns, now=run.at.replace(tzinfo=None), asset=asset.name, run_id=run.run_id, track=asset.change_tracking)
+            written = table.materialize(data, asset.model or Model(), columns, now=run.at, asset=asset.name, run_id=run.run_id, track=asset.change_tracking)
             checks = validate(data, [*implied(columns), *asset.checks], columns)
         finally:
             data.unpersist()

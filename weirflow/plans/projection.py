@@ -164,7 +164,7 @@ def project(df: DataFrame, columns: list[Declared], pre: str | None = None, post
         df = transform(df, pre).data
     scope = Scope(df, run)
     terms = {c.name: compile_column(c.expr or f"ref({c.name!r})", scope) for c in columns}
-    out = df.select(*[t.column.alias(n) for n, t in terms.items()])
+    out = scope.frame().select(*[t.column.alias(n) for n, t in terms.items()])
     lineage = {n: t.refs for n, t in terms.items()}
     order = None
     if post:

@@ -60,7 +60,12 @@ class Interpreter:
         f = _BINARY.get(type(node.op))
         if f is None:
             raise Refused(f"operator {type(node.op).__name__} isn't part of the language")
-        return f(self.visit(node.left), self.visit(node.right))
+        left, right = self.visit(node.left), self.visit(node.right)
+        plain = (str, int, float, list, tuple)
+        if isinstance(left, plain) and isinstance(right, plain):
+            if f is operator.pow and abs(right) > 64 or f is operator.mul and not (isinstance(left, (int, float)) and isinstance(right, (int, float))):
+                raise Refused("constants this large aren't part of the language")
+        return f(left, right)
 
     def on_unaryop(self, node: ast.UnaryOp) -> Any:
         x = self.visit(node.operand)

@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+WHOLE = "_wf_whole"
+
+
 class Scope:
     """The frame that expressions read, and the run they belong to."""
 
     def __init__(self, df: DataFrame, run: Any = None) -> None:
         self.df, self.run = df, run
+        self.wholes: list[Column] = []
+
+    def whole(self, aggregate: Column) -> Column:
+        """An aggregate of all rows, as a value of every row. All of a scope are computed by one subquery, in one scan."""
+        self.wholes.append(aggregate.alias(f"a{len(self.wholes)}"))
+        return F.col(WHOLE)[f"a{len(self.wholes) - 1}"]
+
+    def frame(self) -> DataFrame:
+        """The frame that compiled columns are selected from."""
+        return self.df.withColumn(WHOLE, self.df.agg(F.struct(*self.wholes)).scalar()) if self.wholes else self.df
 
     def type_of(self, c: Column) -> T.DataType:
-        return self.df.select(c.alias("c")).schema["c"].dataType
+        return self.frame().select(c.alias("c")).schema["c"].dataType
 
     def field(self, name: str) -> Term:
         if name not in self.df.columns:

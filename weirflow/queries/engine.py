@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from weirflow.streaming.ingest import file_stream, ingest
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-NOW, LATER = datetime(2026, 1, 1), datetime(2026, 2, 1)
+NOW, LATER = datetime(2026, 1, 1, tzinfo=timezone.utc), datetime(2026, 2, 1, tzinfo=timezone.utc)
 T1, T2 = "TIMESTAMP '2026-01-01'", "TIMESTAMP '2026-02-01'"
 
 
@@ -126,10 +126,10 @@ _V2 = """SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 5 THEN 'MOVED' E
 
 def _customers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf, "customer").select(*CUSTOMER)
-    at = F.lit(datetime(2025, 1, 1))
+    at = F.lit("2025-01-01").cast("timestamp_ntz")
     v1 = c.filter("c_mktsegment <> 'BUILDING'").withColumn("at", at)
     v2 = c.filter("c_mktsegment <> 'MACHINERY'").withColumn("c_mktsegment", F.when(F.col("c_nationkey") < 5, "MOVED").otherwise(F.col("c_mktsegment")))
-    return v1, v2.withColumn("at", F.when(F.col("c_nationkey").between(3, 8), F.lit(datetime(2025, 6, 1))).otherwise(at))
+    return v1, v2.withColumn("at", F.when(F.col("c_nationkey").between(3, 8), F.lit("2025-06-01").cast("timestamp_ntz")).otherwise(at))
 
 
 def _history_sql(differs: str, gone_closes: bool, marks: bool) -> str:
