@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import json
 import os
 
@@ -85,6 +86,24 @@ def test_csv(spark, tmp_path):
         Format("f", "avro")
 
 
+def test_encoding_is_each_files_own_and_of_all_its_bytes(spark, tmp_path):
+    folder = tmp_path / "in.csv"
+    folder.mkdir()
+    filler = "".join(f"{i},{'x' * 100}\n" for i in range(12_000))  # over 1 MB of ASCII
+    (folder / "a late.csv").write_bytes(("k,größe\n" + filler + "-1,été\n").encode("latin-1"))
+    (folder / "b.csv").write_bytes("k,größe\n-2,été\n".encode())
+    (folder / "c.csv").write_bytes("k,größe\n-3,ascii\n".encode("latin-1"))
+    df = read_file(spark, str(folder))
+    assert df.columns == ["k", "größe", "file_name"] and df.count() == 12_003
+    assert [tuple(r)[:2] for r in df.filter("k < 0").orderBy("k").collect()] == [(-3, "ascii"), (-2, "été"), (-1, "été")]
+    (tmp_path / "h.csv").write_bytes(("k,v\n" + filler + "-1,été\n").encode("latin-1"))
+    assert read_file(spark, str(tmp_path / "h.csv")).filter("k < 0").first()["v"] == "été"
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress("k,v\n1,été\n".encode()))
+    assert read_file(spark, str(tmp_path / "z.csv.gz")).first()["v"] == "été"
+    (tmp_path / "s.txt").write_bytes("top\nk,v\n1,été\n".encode("latin-1"))
+    assert read_file(spark, str(tmp_path / "s.txt"), Format("f", "csv", {"skip_header": 1})).first()["v"] == "été"
+
+
 def test_json_and_parquet(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"k": 1}, {"k": 2}]))
     assert [tuple(r) for r in read_file(spark, str(tmp_path / "a.json")).orderBy("k").collect()] == [(1, "a.json"), (2, "a.json")]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,19 +39,29 @@ def kind_of(path: str) -> str:
     raise ValueError(f"unsupported file type: {path}")
 
 
-def encoding_of(spark: SparkSession, path: str, wanted: str = "utf-8", probe: int = 1 << 20) -> str:
-    """The wanted encoding, or latin-1 where the file's beginning isn't UTF-8."""
+_SELECTING = {"pathglobfilter", "recursivefilelookup", "modifiedbefore", "modifiedafter", "basepath"}
+
+
+def encodings_of(spark: SparkSession, path: str, wanted: str = "utf-8", options: dict[str, Any] | None = None) -> list[tuple[str, list[str], dict[str, str]]]:
+    """Encoding, paths and options for each group of files: the wanted encoding, or latin-1 for every file that isn't UTF-8 throughout.
+
+    No byte of a longer sequence is a line break, so a file is UTF-8 if each of its lines is: one pass over all lines, split and unpacked as the reader does it.
+    """
     if wanted.lower().replace("-", "") != "utf8":
-        return wanted
-    head = spark.read.format("binaryFile").load(path).limit(1).select(F.substring(F.col("content"), 1, probe)).first()
-    if head is None:
-        return "UTF-8"
-    data = bytes(head[0])
-    try:
-        data.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return "UTF-8" if e.end >= len(data) - 1 and len(data) == probe else "ISO-8859-1"
-    return "UTF-8"
+        return [(wanted, [path], {})]
+    selecting = {k: str(v) for k, v in (options or {}).items() if k.lower() in _SELECTING}
+    lines = spark.read.options(**selecting).text(path)
+    files = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect()
+    groups = {e: sorted(_literal(r["file"]) for r in files if r["utf8"] == (e == "UTF-8")) for e in ("UTF-8", "ISO-8859-1")}
+    if not all(groups.values()):
+        return [("ISO-8859-1" if groups["ISO-8859-1"] else "UTF-8", [path], {})]
+    base = {} if re.search(r"[{}\[\]*?\\]", path) or "basepath" in map(str.lower, selecting) else {"basePath": path}
+    return [(e, paths, base) for e, paths in groups.items()]
+
+
+def _literal(uri: str) -> str:
+    """The path of a file's URI, without meaning to the globs of a reader."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
 
 
 def _nulled(df: DataFrame, tokens: list[str]) -> DataFrame:
@@ -77,34 +89,43 @@ def read_csv(spark: SparkSession, path: str, config: dict[str, Any] | None = Non
     """Options by the names of formats: delimiter, skip_header (lines before the header), encoding, null_if, quote_char, escape_char, header."""
     c = dict(config or {})
     options = {_CSV_KEYS[k]: c.pop(k) for k in list(c) if k in _CSV_KEYS}
-    options["encoding"] = encoding_of(spark, path, str(options.get("encoding", "utf-8")))
+    wanted = str(options.pop("encoding", "utf-8"))
     nulls = c.pop("null_if", None)
     skip = int(c.pop("skip_header", 0) or 0)
     header = c.pop("header", True) not in (False, None, "None")
     c.pop("compression", None)  # told from the suffix
     infer = c.pop("infer", True)
     options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", **options, **{k: str(v) for k, v in c.items()}}
-    if skip:
-        df = _after_lines(spark, path, skip, header, options)
-    else:
-        df = spark.read.options(**options, header=str(header).lower()).csv(path)
-        if not header:
-            df = df.toDF(*[str(i) for i in range(len(df.columns))])
-        df = df.withColumn("file_name", F.col("_metadata.file_name"))
+    parts = []
+    for encoding, paths, more in encodings_of(spark, path, wanted, options):
+        with_all = {**options, **more, "encoding": encoding}
+        parts.append(_after_lines(spark, paths, skip, header, with_all) if skip else _plain(spark, paths, header, with_all))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    df = df.select(*[f"`{n}`" for n in df.columns if n != "file_name"], "file_name")
     tokens = ["", *([nulls] if isinstance(nulls, str) else [str(x) for x in nulls or ["NULL", "null", "NaN", "nan", "N/A", "NA", "n/a", "None"]])]
     body = _nulled(df, tokens)
     return _typed_keeping(body) if infer else body
 
 
+def _plain(spark: SparkSession, paths: list[str], header: bool, options: dict[str, str]) -> DataFrame:
+    df = spark.read.options(**options, header=str(header).lower()).csv(paths)
+    if not header:
+        df = df.toDF(*[str(i) for i in range(len(df.columns))])
+    return df.withColumn("file_name", F.col("_metadata.file_name"))
+
+
 def _typed_keeping(df: DataFrame) -> DataFrame:
     plain = [c for c in df.columns if c != "file_name"]
     kinds = {f.name: f.dataType for f in _inferred(df.select(*[f"`{c}`" for c in plain])).schema.fields}
     return df.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in plain], "file_name")
 
 
-def _after_lines(spark: SparkSession, path: str, skip: int, header: bool, options: dict[str, str]) -> DataFrame:
+def _after_lines(spark: SparkSession, paths: list[str], skip: int, header: bool, options: dict[str, str]) -> DataFrame:
     """Lines after the first ``skip`` of each file. A file's lines are numbered by their place, without a global sort."""
-    lines = spark.read.option("encoding", options["encoding"]).text(path).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("no"))
+    selecting = {k: v for k, v in options.items() if k.lower() in _SELECTING}
+    # the text reader gives bytes as they are, whatever the encoding
+    value = F.col("value") if options["encoding"].upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), options["encoding"]).alias("value")
+    lines = spark.read.options(**selecting).text(paths).select(value, F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("no"))
     first = F.row_number().over(Window.partitionBy("file_name").orderBy("at", "no"))
     edge = lines.withColumn("k", first).filter(F.col("k") <= skip + 1)
     heads = edge.filter(F.col("k") == skip + 1).select("file_name", F.col("value").alias("head"), F.col("no").alias("head_no"))
