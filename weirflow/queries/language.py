@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weirflow.plans.frame import Frame, desc, transform
 from weirflow.plans.projection import Declared, Run, project
-from weirflow.session import table
+from weirflow.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -280,6 +280,19 @@ def window_session(spark: SparkSession, sf: str) -> DataFrame:
     return sessions(table(spark, sf, "events"), "ts", "6 hours", ["user_id"], F.count("*").alias("n")).drop("session_end")
 
 
+@query("order_nulls_last_all", "SELECT doc_id, rating, row_number() OVER (ORDER BY rating DESC NULLS LAST, doc_id) AS position FROM documents")
+def order_nulls_last_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row with its place in the order: files of the sorted frame in turn, each file's rows by index, so no window gathers the table."""
+    ordered = transform(table(spark, sf, "documents").select("doc_id", "rating"), 'frame.order_by(desc("rating"), asc("doc_id"))').df()
+    rows = cut(ordered, "ordered").withColumns({"file": F.col("_metadata.file_name"), "at": F.col("_metadata.row_index")})
+    before, starts = 0, []
+    for r in rows.groupBy("file").count().orderBy("file").collect():
+        starts.append((r["file"], before))
+        before += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "file string, before long"))
+    return rows.join(offsets, "file").select("doc_id", "rating", (F.col("before") + F.col("at") + 1).alias("position"))
+
+
 @query("order_desc_limit_api", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
 def order_desc_limit_api(spark: SparkSession, sf: str) -> DataFrame:
     """The same through the Python interface."""
