@@ -42,6 +42,16 @@ def test_findings(spark):
     }
 
 
+def test_null_load_keeps_its_findings(spark):
+    day = dt.date(2026, 1, 1)
+    rows = load("t_b_2026-01-01.csv", day) + load(None, day, amount=lambda i: -5.0 if i < 5 else 10.0 + i, cat=lambda i: "Bad One" if i < 5 else ["fees", "pets", "cash_out"][i % 3])
+    counts = value_counts(spark.createDataFrame(rows, SCHEMA), "file", W)
+    _, stats, f = run(spark, rows)
+    assert {tuple(r) for r in f.collect()} == {(None, "amount", "range"), (None, "cat", "pattern")}
+    got = coverage(stats, load_dates(counts, NAME)).filter("load IS NULL AND column = 'cat'").collect()
+    assert [(r["covered"], r["covered_before"]) for r in got] == [(0.95, None)]
+
+
 def test_nulls_and_empty(spark):
     columns, stats, f = run(spark, [])
     assert stats.count() == 0 and f.count() == 0 and not any(w.expressions for w in columns)

@@ -8,7 +8,7 @@ values; rows outside of them are counted per load, and the coverage is compared
 
 Defined results:
 * a load whose name doesn't hold a branch and a date is its own branch without a date: no finding that needs either;
-* NaN counts as null; null load names are one load; a load of nulls only has no shares, ranges or medians;
+* NaN counts as null; null load names are one load, likewise without branch and date; a load of nulls only has no shares, ranges or medians;
 * an empty table gives no profile and no findings; other columns aren't read.
 """
 
@@ -127,7 +127,7 @@ def coverage(stats: DataFrame, loads: DataFrame) -> DataFrame:
     share = F.try_divide(F.col("n") - F.col("nulls") - F.col("uncovered"), F.col("n") - F.col("nulls"))
     own = stats.select("load", "column", share.alias("covered"))
     before = own.select(F.col("load").alias("previous"), "column", F.col("covered").alias("covered_before"))
-    out = own.join(loads.select("load", "previous"), "load").join(before, ["previous", "column"], "left")
+    out = own.join(loads.select("load", "previous"), "load", "left").join(before, ["previous", "column"], "left")
     return out.select("load", "column", "covered", "covered_before", (F.col("covered") - F.col("covered_before")).alias("change"))
 
 
@@ -158,7 +158,7 @@ def findings(
 ) -> DataFrame:
     """load, column, finding (range, pattern, null_rate, distinct, shift). Shares are thresholds in percent."""
     before = stats.select(F.col("load").alias("previous"), "column", *[F.col(c).alias(f"{c}_before") for c in ("n", "nulls", "distinct", "median")])
-    s = stats.join(loads.select("load", "previous"), "load").join(before, ["previous", "column"], "left")
+    s = stats.join(loads.select("load", "previous"), "load", "left").join(before, ["previous", "column"], "left")
     s = s.join(distances(counts, loads, stats, columns), ["load", "column"], "left")
     kind = F.lit("")
     for w in columns:
