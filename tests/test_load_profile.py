@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import random
 import re
 import statistics
@@ -52,6 +53,14 @@ def test_null_load_keeps_its_findings(spark):
     assert [(r["covered"], r["covered_before"]) for r in got] == [(0.95, None)]
 
 
+def test_codes_of_one_value_per_skeleton_are_covered(spark):
+    codes = ["".join(x) for n in (4, 5, 6) for x in itertools.product("aA1", repeat=n) if all(a != b for a, b in itertools.pairwise(x))]
+    counts = spark.createDataFrame([("l", "code", c, 1) for c in codes], "load string, column string, value string, n long")
+    (w,) = induced(counts, [Watched("code", "text")])
+    assert w.expressions and sum(e.values for e in w.expressions) == len(codes)
+    assert all(re.fullmatch("|".join(e.pattern for e in w.expressions), c) for c in codes)
+
+
 def test_nulls_and_empty(spark):
     columns, stats, f = run(spark, [])
     assert stats.count() == 0 and f.count() == 0 and not any(w.expressions for w in columns)

@@ -3,8 +3,8 @@
 Values are summed up by their skeleton (runs of one character class), which Spark does over all values. An
 expression is either a skeleton (``[a-z]+_[a-z]+``) or the closure of a set of classes (``[a-z_]+``). The description
 length is the bits of the chosen expressions plus the bits of each value under the cheapest of them that it matches, or
-under "anything". A skeleton whose values can't save the bits that naming it costs is left to the driver
-only as a part of its character set, so what is collected doesn't follow the rows but the shapes that recur.
+under "anything". A skeleton whose values can't save the bits that naming it costs is given to the driver
+only as a part of its character set, so what is collected follows the shapes that recur and the sets of characters, not the rows.
 """
 
 from __future__ import annotations
@@ -46,6 +46,15 @@ def skeletons(values: DataFrame) -> DataFrame:
     return per.groupBy("column", "skeleton").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("code").alias("code"), F.sum("whole_code").alias("whole_code"), *[F.sum(n * F.coalesce(F.get("lengths", F.lit(i)), F.lit(0))).alias(f"run{i}") for i in range(8)])
 
 
+def folded(shapes: DataFrame) -> DataFrame:
+    """Skeletons with those that can't pay for themselves summed up under their set of symbols. No value is left out."""
+    pays = F.col("chars") * ANY_BITS > F.length("skeleton") * 2 * 5.3
+    kept = F.col("skeleton").startswith("~") | pays
+    symbols = F.concat(F.lit("~"), F.array_join(F.array_sort(F.array_distinct(F.split("skeleton", ""))), ""))
+    named = shapes.withColumn("skeleton", F.when(kept, F.col("skeleton")).otherwise(symbols))
+    return named.groupBy("column", "skeleton").agg(*[F.sum(c).alias(c) for c in shapes.columns if c not in ("column", "skeleton")])
+
+
 @dataclass(frozen=True)
 class Expression:
     pattern: str

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.operators.expressions_mdl import Expression, induce, skeletons
+from weirflow.operators.expressions_mdl import Expression, folded, induce, skeletons
 
 
 @dataclass(frozen=True)
@@ -59,11 +59,9 @@ def load_dates(counts: DataFrame, pattern: str) -> DataFrame:
 
 
 def induced(counts: DataFrame, columns: list[Watched]) -> list[Watched]:
-    """The columns with their induced expressions. Skeletons that can't pay for themselves stay with Spark."""
+    """The columns with their induced expressions. Skeletons that can't pay for themselves count as part of their character set."""
     distinct = counts.filter("value IS NOT NULL").select("column", "value").distinct()
-    shapes = skeletons(distinct)
-    pays = F.col("chars") * 8.0 > F.length("skeleton") * 2 * 5.3
-    rows = [r.asDict() for r in shapes.filter(pays).collect()]
+    rows = [r.asDict() for r in folded(skeletons(distinct)).collect()]
     return [Watched(w.name, w.kind, w.low, w.high, w.alphabet, w.rule, induce([r for r in rows if r["column"] == w.name], w.alphabet)) for w in columns]
 
 
