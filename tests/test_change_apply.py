@@ -62,6 +62,19 @@ def test_composite_key_in_the_order_of_the_setting(spark):
     assert state(spark, log, [("p", "a, b")]) == {("p", "1|2"): (2, {"v": "6"})}
 
 
+def test_patches_that_set_nothing_give_no_state(spark):
+    """The number of a record comes from its living fields, not from its last row in the log."""
+    log = [("a", 1, "I", '{"k": "x"}', '{"v": 1, "w": 2}', ""), ("a", 2, "U", '{"k": "x"}', '{"v": 3}', ""), ("a", 3, "U", '{"k": "x"}', "{}", ""), ("a", 4, "U", '{"k": "x"}', None, "")]
+    log += [("a", 5, "U", '{"k": "y"}', '{"v": 1}', ""), ("a", 6, "D", '{"k": "y"}', None, ""), ("a", 7, "U", '{"k": "y"}', None, "")]
+    assert state(spark, log, mode="patch") == {("a", "x"): (2, {"v": "3", "w": "2"})}
+    assert state(spark, log) == {("a", "x"): (4, {}), ("a", "y"): (7, {})}
+
+
+def test_found_is_computed_by_fields(spark):
+    df = current_state(spark.createDataFrame([("a", 1, "I", '{"k": "x"}', '{"v": 1}', "")], LOG), spark.createDataFrame([("a", "k")], "asset string, unique_key string")).select("asset", "record_key", "id")
+    assert "max_by" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_log_and_wrong_mode(spark):
     assert state(spark, []) == {}
     with pytest.raises(ValueError, match="mode"):

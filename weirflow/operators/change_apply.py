@@ -2,13 +2,15 @@
 
 Every change is spread into its fields. Per record and field the last change that sets it wins
 (``max_by`` over the change number), and a field counts only if it was set after the record's latest delete or
-replacement. Both steps are plain hash aggregates with partial aggregation before the shuffle, so a record
-with a third of all changes shrinks to one row per field and task before it moves.
+replacement. A record lives as long as a field of it lives, or its latest whole row does; the change that gives its state is the
+latest of those that set a living field, or wrote the whole row. Both steps aggregate partially before
+the shuffle, so a record with a third of all changes shrinks to one row per field and task before it moves.
 
 Defined results:
 * rows of one number are one change; a change without number, asset, key or known op is ignored;
 * op counts by its first letter in either case; ``after`` that is null or no JSON object sets no field;
-* a field set to null is there with a null value; in "patch" mode fields that a change doesn't name stay;
+* a field set to null is there with a null value; in "patch" mode fields that a change doesn't name stay, and an UPDATE
+  that names none changes nothing;
 * an empty log gives an empty table; other columns of the log aren't read.
 """
 
@@ -31,17 +33,18 @@ field AS (
       CASE WHEN op = 'D' THEN array() ELSE coalesce(transform(map_entries(after_map), e -> named_struct('name', e.key, 'value', e.value)), array()) END)) AS f
   FROM change WHERE id IS NOT NULL AND whole_key AND op IN ('I', 'U', 'D')),
 last_set AS (
-  SELECT asset, record_key, f.name AS name, max(id) AS set_id, max_by(f.value, id) AS value,
+  SELECT asset, record_key, f.name AS name, max_by(named_struct('value', f.value, 'id', id), id) AS won,
          max(id) FILTER (WHERE op = 'D') AS delete_id, max(id) FILTER (WHERE {resets}) AS reset_id
   FROM field GROUP BY asset, record_key, f.name),
 record AS (
-  SELECT asset, record_key, max(set_id) FILTER (WHERE name IS NULL) AS id, max(delete_id) FILTER (WHERE name IS NULL) AS delete_id,
-         max(reset_id) FILTER (WHERE name IS NULL) AS reset_id,
-         collect_list(named_struct('name', name, 'value', value, 'set_id', set_id)) FILTER (WHERE name IS NOT NULL) AS fields
-  FROM last_set GROUP BY asset, record_key)
-SELECT asset, record_key, id,
-       map_from_entries(array_sort(transform(filter(fields, f -> f.set_id >= coalesce(reset_id, f.set_id)), f -> struct(f.name AS key, f.value AS value)))) AS fields
-FROM record WHERE delete_id IS NULL OR id > delete_id
+  SELECT asset, record_key, max(delete_id) FILTER (WHERE name IS NULL) AS delete_id, max(reset_id) FILTER (WHERE name IS NULL) AS reset_id,
+         collect_list(named_struct('name', name, 'value', won.value, 'id', won.id)) FILTER (WHERE name IS NOT NULL) AS fields
+  FROM last_set GROUP BY asset, record_key),
+living AS (
+  SELECT asset, record_key, delete_id, reset_id, filter(fields, f -> f.id >= coalesce(reset_id, f.id) AND f.id > coalesce(delete_id, f.id - 1)) AS fields FROM record)
+SELECT asset, record_key, greatest(array_max(transform(fields, f -> f.id)), nullif(reset_id, delete_id)) AS id,
+       map_from_entries(array_sort(transform(fields, f -> struct(f.name AS key, f.value AS value)))) AS fields
+FROM living WHERE size(fields) > 0 OR reset_id > coalesce(delete_id, reset_id - 1)
 """
 
 
