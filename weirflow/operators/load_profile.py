@@ -3,12 +3,16 @@
 Everything is derived from one table of counts by load, column and value. Its aggregates combine before the
 shuffle and it is keyed by value too, so a load with a third of all rows is spread. Medians are exact: values are counted in
 order-preserving buckets (1/16 of an octave), the bucket of the middle rank is found over the counts, and only its values are ranked.
-Column expressions are induced by minimum description length (``expressions_mdl``) over all distinct
-values; rows outside of them are counted per load, and the coverage is compared between loads.
+Column expressions are induced by minimum description length (``expressions_mdl``) over the distinct values of all loads.
+Rows are counted by load and expression, once; the expressions of a column are then the fewest that cover a typical load
+(medians of their shares over the loads) up to the tolerance. Values of none of these are nonconforming. Nothing about the
+values is given beforehand: a load stands out if more of its values than the tolerance leave the expressions of the others.
 
 Defined results:
 * a load whose name doesn't hold a branch and a date is its own branch without a date: no finding that needs either;
-* NaN counts as null; null load names are one load, likewise without branch and date; a load of nulls only has no shares, ranges or medians;
+* NaN counts as null; null load names are one load (apart from an empty name), likewise without branch and date; a load of nulls
+  only has no shares, ranges or medians;
+* a column without values has no expressions and nothing that leaves them;
 * an empty table gives no profile and no findings; other columns aren't read.
 """
 
@@ -19,7 +23,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.operators.expressions_mdl import Expression, folded, induce, skeletons
+from weirflow.operators.expressions_mdl import Expression, facts, induce, skeletons
+from weirflow.session import cut
+
+
+#: Share of values (percent) that may lie outside of ranges and expressions.
+STRAY = 4
 
 
 @dataclass(frozen=True)
@@ -27,16 +36,20 @@ class Watched:
     """A column and what is held against it.
 
     kind: number, day or text. low, high: values outside are out of range (days: relative to the load's date, in days).
-    alphabet: the symbols of skeletons that induced expressions may use; rule: the exact expression of good values.
+    expressions: as induced; typical: numbers of those that make up a typical load.
     """
 
     name: str
     kind: str
     low: float | None = None
     high: float | None = None
-    alphabet: str | None = None
-    rule: str | None = None
     expressions: list[Expression] = field(default_factory=list)
+    typical: tuple[int, ...] = ()
+
+
+def _key() -> Column:
+    """The name of a load, as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("f"), F.col("load")), F.lit("n")).alias("lk")
 
 
 def value_counts(rows: DataFrame, load: str, columns: list[Watched]) -> DataFrame:
@@ -58,19 +71,44 @@ def load_dates(counts: DataFrame, pattern: str) -> DataFrame:
     return dated.unionByName(names.filter("day IS NULL").withColumn("previous", F.lit(None).cast("string")))
 
 
-def induced(counts: DataFrame, columns: list[Watched]) -> list[Watched]:
-    """The columns with their induced expressions. Skeletons that can't pay for themselves count as part of their character set."""
-    distinct = counts.filter("value IS NOT NULL").select("column", "value").distinct()
-    rows = [r.asDict() for r in folded(skeletons(distinct)).collect()]
-    return [Watched(w.name, w.kind, w.low, w.high, w.alphabet, w.rule, induce([r for r in rows if r["column"] == w.name], w.alphabet)) for w in columns]
+def _number_of(columns: list[Watched]) -> Column:
+    """The number of the first induced expression of its column that a value matches whole; -1 if none does."""
+    out = F.lit(-1)
+    for w in columns:
+        first = F.lit(-1)
+        for i in reversed(range(len(w.expressions))):
+            first = F.when(F.col("value").rlike(rf"^(?:{w.expressions[i].pattern})\z"), i).otherwise(first)
+        out = F.when(F.col("column") == w.name, first).otherwise(out)
+    return out
+
+
+def induced(counts: DataFrame, columns: list[Watched], stray: int = STRAY) -> tuple[list[Watched], DataFrame]:
+    """The columns with their expressions, and the rows of each: lk, load, column, expression (its number, -1 for none), n."""
+    rows = facts(skeletons(counts))
+    found = [Watched(w.name, w.kind, w.low, w.high, induce([r for r in rows if r["column"] == w.name])) for w in columns]
+    shares = cut(counts.filter("value IS NOT NULL").groupBy(_key(), "load", "column", _number_of(found).alias("expression")).agg(F.sum("n").alias("n")), "coverage")
+    return [typical(w, shares, stray) for w in found], shares
+
 
+def typical(w: Watched, shares: DataFrame, stray: int = STRAY) -> Watched:
+    """With the fewest expressions that cover a typical load up to ``stray`` percent: those of the greatest median share."""
+    own = shares.filter(F.col("column") == w.name)
+    wide = own.groupBy("lk").agg(F.sum("n").alias("held"), *[F.sum(F.when(F.col("expression") == i, F.col("n")).otherwise(0)).alias(f"e{i}") for i in range(len(w.expressions))])
+    middle = wide.agg(*[F.median(F.col(f"e{i}") / F.col("held")) for i in range(len(w.expressions))]).first() if w.expressions else ()
+    kept: list[int] = []
+    covered = 0.0
+    for share, i in sorted(((-(m or 0.0), i) for i, m in enumerate(middle))):
+        if not share or covered * 100 >= 100 - stray:
+            break
+        kept.append(i)
+        covered -= share
+    return Watched(w.name, w.kind, w.low, w.high, w.expressions, tuple(sorted(kept)))
 
-def _matches(columns: list[Watched], what: str) -> Column:
-    out = F.lit(True)
+
+def _conforms(columns: list[Watched]) -> Column:
+    out = F.lit(False)
     for w in columns:
-        p = w.rule if what == "rule" else "|".join(e.pattern for e in w.expressions)
-        test = F.col("value").rlike(rf"^(?:{p})\z") if p else F.lit(what == "rule")
-        out = F.when(F.col("column") == w.name, test).otherwise(out)
+        out = out | ((F.col("column") == w.name) & F.col("expression").isin(list(w.typical)))
     return out
 
 
@@ -91,8 +129,8 @@ def medians(numbers: DataFrame, by: list[str]) -> DataFrame:
     return v.groupBy(*by).agg(((low + high) / 2).alias("median"))
 
 
-def profile(counts: DataFrame, loads: DataFrame, columns: list[Watched]) -> DataFrame:
-    """Per load and column: n, nulls, distinct, low, high, out_of_range, uncovered (by induced expressions), broken (by rule), median."""
+def profile(counts: DataFrame, loads: DataFrame, columns: list[Watched], shares: DataFrame) -> DataFrame:
+    """Per load and column: n, nulls, distinct, low, high, out_of_range, uncovered (by the column's expressions), median."""
     c = counts.join(loads.select("load", "day"), "load", "left")
     x = F.lit(None).cast("double")
     outside = F.lit(False)
@@ -101,23 +139,23 @@ def profile(counts: DataFrame, loads: DataFrame, columns: list[Watched]) -> Data
         x = F.when(F.col("column") == w.name, own).otherwise(x)
         if w.low is not None:
             outside = F.when(F.col("column") == w.name, F.coalesce((F.col("x") < w.low) | (F.col("x") > w.high), F.lit(False))).otherwise(outside)
-    c = c.withColumn("x", x)
+    c = c.select("*", _key(), x.alias("x"))
     held = F.col("value").isNotNull()
     n = F.col("n")
-    stats = c.groupBy("load", "column").agg(
+    stats = c.groupBy("lk", "load", "column").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(held, 0).otherwise(n)).alias("nulls"),
         F.count("value").alias("distinct"),
         F.sum(F.when(held & outside, n).otherwise(0)).alias("out_of_range"),
-        F.sum(F.when(held & ~_matches(columns, "expressions"), n).otherwise(0)).alias("uncovered"),
-        F.sum(F.when(held & ~_matches(columns, "rule"), n).otherwise(0)).alias("broken"),
         F.min("value").alias("least_text"),
         F.max("value").alias("greatest_text"),
         F.min("x").alias("low"),
         F.max("x").alias("high"),
     )
-    middle = medians(c.filter("x IS NOT NULL").select(F.coalesce("load", F.lit("")).alias("load_"), "column", "x", "n"), ["load_", "column"])
-    return stats.withColumn("load_", F.coalesce("load", F.lit(""))).join(middle, ["load_", "column"], "left").drop("load_")
+    middle = medians(c.filter("x IS NOT NULL").select("lk", "column", "x", "n"), ["lk", "column"])
+    strays = shares.groupBy("lk", "column").agg(F.sum(F.when(_conforms(columns), 0).otherwise(n)).alias("uncovered"))
+    out = stats.join(middle, ["lk", "column"], "left").join(strays, ["lk", "column"], "left")
+    return out.withColumn("uncovered", F.coalesce("uncovered", F.lit(0)))
 
 
 def coverage(stats: DataFrame, loads: DataFrame) -> DataFrame:
@@ -129,17 +167,27 @@ def coverage(stats: DataFrame, loads: DataFrame) -> DataFrame:
     return out.select("load", "column", "covered", "covered_before", (F.col("covered") - F.col("covered_before")).alias("change"))
 
 
-def distances(counts: DataFrame, loads: DataFrame, stats: DataFrame, columns: list[Watched]) -> DataFrame:
-    """load, column, apart, whole: the sum of absolute differences of the value shares of a load and the one before is apart / whole."""
+def with_before(stats: DataFrame, loads: DataFrame) -> DataFrame:
+    """stats with branch, day, and n_before, nulls_before, distinct_before, median_before, held_after of the neighbouring loads of the branch."""
+    s = stats.join(loads.select("load", "branch", "day"), "load", "left")
+    order = Window.partitionBy("branch", "column").orderBy("day", "load")
+    dated = s.filter("day IS NOT NULL").withColumns({f"{c}_before": F.lag(c).over(order) for c in ("n", "nulls", "distinct", "median")} | {"held_after": F.lead(F.expr("n - nulls")).over(order), "next": F.lead("load").over(order)})
+    return dated.unionByName(s.filter("day IS NULL"), allowMissingColumns=True)
+
+
+def distances(counts: DataFrame, beside: DataFrame, columns: list[Watched]) -> DataFrame:
+    """load, column, apart: the sum of absolute differences of the value shares of a load and the one before, times the values held by both.
+
+    beside: of ``with_before``. Each count goes to its own load and to the next one of the branch, and these meet by value.
+    """
     texts = [w.name for w in columns if w.kind == "text"]
-    v = counts.filter(F.col("column").isin(texts) & F.col("value").isNotNull())
-    held = stats.filter(F.col("column").isin(texts)).select("load", "column", (F.col("n") - F.col("nulls")).cast("decimal(19,0)").alias("held"))
-    pair = loads.filter("previous IS NOT NULL").select("load", "previous").join(held, "load").join(held.select(F.col("load").alias("previous"), "column", F.col("held").alias("held_before")), ["previous", "column"]).filter("held > 0 AND held_before > 0")
-    count = F.col("n").cast("decimal(19,0)")
-    mine = v.join(pair, ["load", "column"]).select("load", "column", "value", (count * F.col("held_before")).alias("part"))
-    theirs = v.withColumnRenamed("load", "previous").join(pair, ["previous", "column"]).select("load", "column", "value", (-count * F.col("held")).alias("part"))
-    apart = mine.unionByName(theirs).groupBy("load", "column", "value").agg(F.sum("part").alias("part")).groupBy("load", "column").agg(F.sum(F.abs("part")).alias("apart"))
-    return apart.join(pair.select("load", "column", (F.col("held") * F.col("held_before")).alias("whole")), ["load", "column"])
+    whole = lambda c: F.expr(c).cast("decimal(19,0)")
+    at = beside.filter(F.col("column").isin(texts) & F.col("day").isNotNull()).select("load", "column", "next", whole("n - nulls").alias("held"), whole("n_before - nulls_before").alias("held_before"), whole("held_after").alias("held_after"))
+    v = counts.filter(F.col("column").isin(texts) & F.col("value").isNotNull()).join(at, ["load", "column"])
+    own = F.when(F.expr("held_before > 0"), F.struct(F.col("load"), (whole("n") * F.col("held_before")).alias("part")))
+    ahead = F.when(F.expr("held_after > 0"), F.struct(F.col("next").alias("load"), (-whole("n") * F.col("held_after")).alias("part")))
+    parts = v.select("column", "value", F.explode(F.array_compact(F.array(own, ahead))).alias("p")).select("p.load", "column", "value", "p.part")
+    return parts.groupBy("load", "column", "value").agg(F.sum("part").alias("part")).groupBy("load", "column").agg(F.sum(F.abs("part")).alias("apart"))
 
 
 def findings(
@@ -147,7 +195,7 @@ def findings(
     loads: DataFrame,
     stats: DataFrame,
     columns: list[Watched],
-    stray: int = 4,
+    stray: int = STRAY,
     null_change: int = 12,
     distinct_times: int = 2,
     median_times: float = 3,
@@ -155,20 +203,17 @@ def findings(
     distance: int = 35,
 ) -> DataFrame:
     """load, column, finding (range, pattern, null_rate, distinct, shift). Shares are thresholds in percent."""
-    before = stats.select(F.col("load").alias("previous"), "column", *[F.col(c).alias(f"{c}_before") for c in ("n", "nulls", "distinct", "median")])
-    s = stats.join(loads.select("load", "previous"), "load", "left").join(before, ["previous", "column"], "left")
-    s = s.join(distances(counts, loads, stats, columns), ["load", "column"], "left")
+    beside = with_before(stats, loads)
+    s = beside.join(distances(counts, beside, columns), ["load", "column"], "left")
     kind = F.lit("")
     for w in columns:
         kind = F.when(F.col("column") == w.name, w.kind).otherwise(kind)
-    ruled = F.col("column").isin([w.name for w in columns if w.rule])
     held = F.col("n") - F.col("nulls")
     has = F.col("n_before").isNotNull()
     d = {c: F.col(c).cast("decimal(19,0)") for c in ("n", "nulls", "n_before", "nulls_before")}
-    # induced expressions lie within the alphabet of the rule: a load that breaks the rule is uncovered by them too
-    pattern = ruled & (F.col("uncovered") * 100 > stray * held) & (F.col("broken") * 100 > stray * held)
+    pattern = (kind == "text") & (F.col("uncovered") * 100 > stray * held)
     ratio = (F.col("median") > median_times * F.col("median_before")) | (F.col("median_before") > median_times * F.col("median"))
-    shift = F.when(kind == "number", ratio).when(kind == "day", F.abs(F.col("median") - F.col("median_before")) > median_days).otherwise(F.col("apart") * 100 > F.col("whole") * 2 * distance)
+    shift = F.when(kind == "number", ratio).when(kind == "day", F.abs(F.col("median") - F.col("median_before")) > median_days).otherwise(F.col("apart") * 100 > F.expr("cast(n - nulls as decimal(19,0)) * cast(n_before - nulls_before as decimal(19,0))") * 2 * distance)
     tests = {
         "range": F.col("out_of_range") * 100 > stray * held,
         "pattern": pattern,
