@@ -1,17 +1,23 @@
 """Per-document text statistics, and how far each text lies from the prose of its language.
 
-1. Pair counts of letters over all texts give the bits that each letter of a word costs (random letters are dear).
+1. Pair counts of letters over all texts give the bits that each letter of a word costs (random letters are dear), and the
+   letters of each script say which scripts the texts hold enough of to judge words by them.
 2. Per text sixteen statistics are computed in one pass, and its language is told by the common words it holds.
 3. Per language, mean and covariance of prose are estimated robustly over all texts: from medians and
    deviations, then twice from the texts within a cutoff of the estimate before (most texts are prose).
-4. The squared Mahalanobis distance of every text is reported with each statistic's share in it. A text beyond the
-   quantile ``GATE`` of the chi-square distribution is an outlier, and an exact look at its lines and
-   words says whether it is a list, a table or junk; outliers that are none of these stay prose.
+4. The squared Mahalanobis distance of every text is reported with each statistic's share in it. A text is an outlier if its
+   distance is beyond the quantile ``GATE`` of the chi-square distribution. What kind of outlier follows from the statistics
+   that make it one: each kind has its evidence (``EVIDENCE``), and the kind whose statistics alone lie farthest beyond
+   their own quantile is told. An outlier by style only (long words, short lines, capitals, few common words) stays prose.
 
-What leaves the executors are letter pairs (a fixed alphabet squared) and sums per language (a matrix each).
+A statistic that can't be judged is left out of the distance, which then has fewer degrees of freedom: common words where no
+language is told, and the cost and readability of words in scripts that the texts hardly hold or that write no blanks.
+Such texts are held against the prose of all languages together.
 
-Defined results of ``outliers``: null or blank texts have null statistics and no kind; unknown languages go with the language of
-most common words, else with the declared one, else with the first; an empty table gives no rows; other columns aren't read.
+What leaves the executors are letter pairs (a fixed alphabet squared), letters by script, and sums per language (a matrix each).
+
+Defined results of ``outliers``: null or blank texts have null statistics and no kind; texts of unknown languages are told as "";
+an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import eq
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,18 +37,24 @@ from pyspark.sql import functions as F
 from weirflow.session import cut
 
 STATISTICS = [
-    "log_words", "mean_word", "letters", "digits", "symbols", "uppercase", "end_punctuation", "common_words",
+    "log_words", "mean_word", "mixed", "digits", "symbols", "uppercase", "end_punctuation", "common_words",
     "log_line_words", "row_lines", "item_lines", "distinct_words", "letter_bits", "readable", "repeated", "log_longest",
 ]
-#: Least standard deviations: shares below these steps aren't told apart.
-FLOOR = np.array([0.5, 0.4, 0.04, 0.03, 0.04, 0.1, 0.2, 0.08, 0.4, 0.1, 0.15, 0.1, 0.3, 0.08, 0.08, 0.3])
-#: Quantiles 0.95 and 0.999 of the chi-square distribution with sixteen degrees of freedom (fixed values): outliers
-#: lie beyond the first, and texts within the second go into mean and covariance.
-GATE, TRIM = 26.3, 39.25
-LETTERS = " abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßð"
-CODE = {c: i for i, c in enumerate(LETTERS)}
-OTHER = len(LETTERS)
-WIDTH = OTHER + 1
+AT = {n: i for i, n in enumerate(STATISTICS)}
+#: Least standard deviations: differences below these steps aren't told apart.
+FLOOR = np.array([0.5, 0.4, 0.1, 0.03, 0.04, 0.1, 0.2, 0.08, 0.4, 0.13, 0.13, 0.1, 0.3, 0.1, 0.15, 0.3])
+#: The statistics that tell each kind.
+EVIDENCE = {"table": ["row_lines"], "list": ["item_lines"], "junk": ["mixed", "letter_bits", "readable", "repeated"]}
+#: Quantiles of the chi-square distribution: outliers lie beyond ``GATE``, the evidence of a kind beyond ``PROOF``, and texts within ``TRIM`` go into mean and covariance.
+GATE, PROOF, TRIM = 0.95, 0.999, 0.999
+#: Letters are told apart by their base: a to z, one code for all scripts without blanks, and 200 codes that the other scripts share.
+WORDLESS, OTHER, WIDTH = 27, 28, 228
+_BASE = {"ø": "o", "ł": "l", "đ": "d", "ß": "s", "æ": "a", "œ": "o", "þ": "t", "ð": "d", "ı": "i"}
+_NO_BLANKS = {"CJK", "HIRAGANA", "KATAKANA", "BOPOMOFO", "YI", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN"}
+#: A script that holds a smaller share of all letters than this isn't known.
+KNOWN = 0.002
+#: A language is told from this share of common words on.
+TOLD = 0.15
 #: A word whose letters cost more bits than this on average is no word of any language here.
 WORD_BITS = 6.3
 
@@ -52,7 +64,8 @@ ROW_MARK = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 CELL_TAG = re.compile(r"<[^>]*>")
 RULER = re.compile(r"[\s|:+=-]{5,}")
 SPLITS = [(re.compile(r"\t+"), 3), (re.compile(r"\|"), 2), (re.compile(r";"), 3), (re.compile(r" {3,}"), 2), (re.compile(r"\.{4,}|\s/\s"), 2), (re.compile(r","), 4)]
-SENTENCE_END = ".!?…\"”»)’"
+SENTENCE_END = ".!?…\"”»)’。؟۔।"
+CLOSED = (".", "!", "?", "。", "؟", "۔", "।")
 
 
 class _Formats(dict):
@@ -72,15 +85,22 @@ def clean(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """For each character of the basic plane: its code in the alphabet (0: no letter), and flags letter 1, digit 2, uppercase 4, space 8."""
-    code, flags = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 16, dtype=np.uint8)
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """For each character of the basic plane: its code (0: no letter), flags letter 1, digit 2, uppercase 4, space 8, sign 16, and script; and the names of scripts."""
+    code, flags, script = (np.zeros(1 << 16, dtype=np.uint8) for _ in range(3))
+    names: dict[str, int] = {"": 0}
     for i in range(1 << 16):
         c = chr(i)
-        flags[i] = c.isalpha() | c.isdigit() << 1 | c.isupper() << 2 | c.isspace() << 3
+        sign = i > 127 and unicodedata.category(c) in ("Sc", "Sm", "Sk", "Co")
+        flags[i] = c.isalpha() | c.isdigit() << 1 | c.isupper() << 2 | c.isspace() << 3 | sign << 4
         if c.isalpha():
-            code[i] = CODE.get(c.lower()[0], OTHER)
-    return code, flags
+            base = unicodedata.normalize("NFKD", c.lower())[0]
+            base = _BASE.get(base, base)
+            own = (unicodedata.name(base, "") or "OTHER").split(" ")[0]
+            own = "CJK" if own in ("HIRAGANA", "KATAKANA") else own
+            script[i] = names.setdefault(own, min(len(names), 255))
+            code[i] = ord(base) - 96 if "a" <= base <= "z" else WORDLESS if own in _NO_BLANKS else OTHER + ord(base) % (WIDTH - OTHER)
+    return code, flags, script, list(names)
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +147,10 @@ def line_kinds(lines: list[str], common: frozenset[str]) -> tuple[int, int]:
     """How many lines are rows of several cells, and how many are short single items."""
     rows = items = 0
     for line in lines:
-        body = BULLET.sub("", line).strip()
-        closed = body.endswith((".", "!", "?"))
         marked = "<" in line and ROW_MARK.search(line) or RULER.fullmatch(line)
-        if closed and not marked:
+        if not marked and line.rstrip().endswith(CLOSED):
             continue
+        body = BULLET.sub("", line).strip()
         found = WORD.findall(body.lower())
         if not marked and sum(w in common for w in found) >= 0.4 * max(1, len(found)):
             continue
@@ -143,40 +162,54 @@ def line_kinds(lines: list[str], common: frozenset[str]) -> tuple[int, int]:
     return rows, items
 
 
-def repeated_share(tokens: list[str]) -> float:
-    """The share of tokens that repeat those just before them, with a period of up to six."""
-    n, best = len(tokens), 0.0
-    for period in range(1, 7):
-        if n > 3 * period:
-            best = max(best, sum(map(eq, tokens, tokens[period:])) / (n - period))
-    return best
+def repeated_share(tokens: list[str], rounds: int = 6) -> float:
+    """The share of pairs of tokens that repeat the pair one period before, for the best period, of any length, of at least so many rounds."""
+    n = len(tokens)
+    if n < rounds or len(set(tokens)) > 0.5 * n:
+        return 0.0  # six rounds with at most 0.3 of other tokens leave fewer distinct ones
+    number = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    ids = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=n)
+    # periods are read off the distances between one pair of tokens and its next occurrence
+    pair = ids[:-1] * n + ids[1:]
+    by = np.argsort(pair, kind="stable")
+    counts = np.bincount((by[1:] - by[:-1])[pair[by][1:] == pair[by][:-1]], minlength=1)[: n // rounds + 1]
+    return max((float((pair[p:] == pair[:-p]).mean()) for p in np.argsort(counts)[-3:] if counts[p]), default=0.0)
 
 
-def pair_counts(texts: list[str]) -> np.ndarray:
-    counts = np.zeros(WIDTH * WIDTH, dtype=np.int64)
+def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of letters, and letters by script."""
+    counts, scripts = np.zeros(WIDTH * WIDTH, dtype=np.int64), np.zeros(256, dtype=np.int64)
     for lo, hi in slices(texts):
-        counts += np.bincount(letter_pairs(*points([clean(t) for t in texts[lo:hi]]))[1], minlength=WIDTH * WIDTH)
-    return counts
+        p, starts = points([clean(t) for t in texts[lo:hi]])
+        counts += np.bincount(letter_pairs(p, starts)[1], minlength=WIDTH * WIDTH)
+        scripts += np.bincount(_characters()[2][p], minlength=256)
+    return counts, scripts
 
 
 def bit_table(counts: np.ndarray) -> np.ndarray:
-    """Bits of a letter after another, by pair. Letters outside of the alphabet cost twelve at least."""
+    """Bits of a letter after another, by pair."""
     m = counts.reshape(WIDTH, WIDTH) + 0.01
-    bits = np.minimum(-np.log2(m / m.sum(axis=1, keepdims=True)), 20)
-    bits[:, OTHER] = np.maximum(bits[:, OTHER], 12)
-    bits[OTHER, :] = np.maximum(bits[OTHER, :], 12)
-    return bits.ravel()
+    return np.minimum(-np.log2(m / m.sum(axis=1, keepdims=True)), 20).ravel()
+
+
+def known_scripts(scripts: np.ndarray) -> np.ndarray:
+    """Which scripts the texts hold enough of, and that write words apart."""
+    names = _characters()[3]
+    share = scripts / max(1, scripts[1:].sum())
+    return np.array([bool(n) and n not in _NO_BLANKS and share[i] >= KNOWN for i, n in enumerate(names)] + [False] * (256 - len(names)))
 
 
 @dataclass
 class Measure:
-    """What texts need besides themselves: bits of letter pairs, and common words by language."""
+    """What texts need besides themselves: bits of letter pairs, known scripts, and common words by language."""
 
     bits: np.ndarray
+    known: np.ndarray
     common: dict[str, frozenset[str]]
 
     def __post_init__(self) -> None:
         self.langs = sorted(self.common)
+        self.usual = min(6.0, float((2.0**-self.bits * self.bits).reshape(WIDTH, WIDTH).sum(axis=1)[1:27].mean()))
         self.spoken: dict[str, list[str]] = {}
         for g in self.langs:
             for w in self.common[g]:
@@ -200,11 +233,17 @@ class Measure:
         def per_text(mask: np.ndarray) -> np.ndarray:
             return np.bincount(owner[mask], minlength=n)
 
+        script = _characters()[2][p]
         letters, digits, upper, solid = (per_text((flags & k) > 0) for k in (1, 2, 4, 8))
+        known = per_text(self.known[script])
         solid = np.diff(starts) - solid
         same = np.zeros(len(p), dtype=bool)
         same[1:] = (p[1:] == p[:-1]) & (owner[1:] == owner[:-1])
         same = per_text(same)
+        # signs inside of words, as wrongly decoded text has them
+        sides = np.pad(flags, 1, constant_values=8)
+        inside = ((flags & 16) > 0) & ((sides[:-2] | sides[2:]) & 9 == 1)
+        signs = np.bincount(owner[inside], minlength=n)
         at, pair = letter_pairs(p, starts)
         cost = self.bits[pair]
         total = np.bincount(owner[at], weights=cost, minlength=n)
@@ -213,18 +252,23 @@ class Measure:
             size = np.diff(np.append(begins, len(pair)))
             fine = np.add.reduceat(cost, begins) <= WORD_BITS * size
             readable = np.bincount(owner[at[begins[fine]]], weights=size[fine], minlength=n)
+            turns = np.zeros(len(at), dtype=bool)
+            turns[1:] = (pair[1:] >= WIDTH) & (script[at[1:]] != script[at[:-1]])
+            torn = np.logical_or.reduceat(turns, begins)
+            mixed = np.bincount(owner[at[begins[torn]]], weights=size[torn], minlength=n)
         else:
-            readable = np.zeros(n)
+            readable, mixed = np.zeros(n), np.zeros(n)
+        mixed = np.minimum(mixed + 5 * signs, letters)
         return [
             self._one(t, g, *v) if t.strip() else None
-            for t, g, *v in zip(texts, langs, letters.tolist(), digits.tolist(), upper.tolist(), solid.tolist(), same.tolist(), total.tolist(), readable.tolist())
+            for t, g, *v in zip(texts, langs, letters.tolist(), digits.tolist(), upper.tolist(), solid.tolist(), same.tolist(), total.tolist(), readable.tolist(), mixed.tolist(), known.tolist())
         ]
 
-    def _one(self, text: str, lang: str | None, letters: int, digits: int, upper: int, solid: int, same: int, cost: float, readable: float) -> tuple[str, int, list[float]]:
+    def _one(self, text: str, lang: str | None, letters: int, digits: int, upper: int, solid: int, same: int, cost: float, readable: float, mixed: float, known: int) -> tuple[str, int, list[float]]:
         lines = [x for x in text.split("\n") if x.strip()]
         tokens = text.split()
         found = WORD.findall(text.lower())
-        n, m = max(1, len(found)), max(1, len(lines))
+        n, m = max(1, len(found)), len(lines)
         seen = Counter(found)
         votes = dict.fromkeys(self.langs, 0)
         plain = 0
@@ -234,32 +278,23 @@ class Measure:
                 votes[g] += seen[w]
         declared = (lang or "").strip().lower()[:2]
         told = max(self.langs, key=lambda g: (votes[g], g == declared)) if votes else ""
+        told = told if told and votes[told] >= TOLD * n else ""
         if "://" in text or "www." in text:
             # addresses are no reading matter, whatever their letters
             readable -= sum(len(x) for x in tokens if "://" in x or x.startswith("www."))
         rows, items = line_kinds(lines, self.every)
         repeated = max(repeated_share(tokens), same / (len(text) - 1) if len(text) >= 12 else 0.0)
         distinct = len(seen) / n
-        return told, len(lines), [
-            math.log1p(len(found)), letters / n, letters / solid, digits / solid, max(0.0, 1 - (letters + digits) / solid), upper / max(1, letters),
-            sum(x.rstrip()[-1:] in SENTENCE_END for x in lines) / m, plain / n, math.log1p(len(found) / m), rows / m, items / m,
-            min(1.0, distinct * math.sqrt(n / 30)) if n > 30 else distinct, cost / letters if letters else 12.0, max(0.0, readable / solid), repeated, math.log1p(max(map(len, tokens))),
+        judged = not letters or known >= 0.5 * letters
+        # shares of lines count two lines of prose besides, and costs of letters fifteen usual ones, so little text proves little
+        return told, m, [
+            math.log1p(len(found)), letters / n, mixed / max(1, letters), digits / solid, max(0.0, 1 - (letters + digits) / solid), upper / max(1, letters),
+            sum(x.rstrip()[-1:] in SENTENCE_END for x in lines) / m, plain / n if told else math.nan, math.log1p(len(found) / m), rows / (m + 2), items / (m + 2),
+            min(1.0, distinct * math.sqrt(n / 30)) if n > 30 else distinct, ((cost + 15 * self.usual) / (letters + 15) if letters else 12.0) if judged else math.nan,
+            max(0.0, readable / solid) if judged else math.nan, repeated, math.log1p(max(map(len, tokens))),
         ]
 
 
-def kind_of(s: dict[str, float], lines: int) -> str | None:
-    """The exact look at an outlier."""
-    if s["repeated"] > 0.7:
-        return "junk"
-    if s["row_lines"] >= 0.5 and lines >= 2 and s["row_lines"] > s["item_lines"] - 1e-9:
-        return "table"
-    if s["readable"] < 0.45 or s["letter_bits"] > 6.0:
-        return "junk"
-    if s["item_lines"] > 0.5 and lines >= 3:
-        return "list"
-    return None
-
-
 def statistics(docs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
     """key, told (language), lines, stats (array) of every text (key, lang, text)."""
     texts = docs.select("text").filter("text IS NOT NULL")
@@ -267,16 +302,16 @@ def statistics(docs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
     def pairs(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        total = np.zeros(WIDTH * WIDTH, dtype=np.int64)
+        total = np.zeros(WIDTH * WIDTH + 256, dtype=np.int64)
         for b in batches:
-            total += pair_counts(b["text"].tolist())
+            total += np.concatenate(pair_counts(b["text"].tolist()))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"pair": at.astype(np.int32), "n": total[at]})
 
-    counts = np.zeros(WIDTH * WIDTH, dtype=np.int64)
+    counts = np.zeros(WIDTH * WIDTH + 256, dtype=np.int64)
     for r in texts.mapInPandas(pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most the alphabet squared
         counts[r["pair"]] = r["n"]
-    measure = Measure(bit_table(counts), common)
+    measure = Measure(bit_table(counts[: WIDTH * WIDTH]), known_scripts(counts[WIDTH * WIDTH :]), common)
 
     def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -289,31 +324,61 @@ def statistics(docs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
     return docs.select("key", "lang", "text").mapInPandas(run, f"key {kind}, told string, lines int, stats array<double>")
 
 
+def chi2(quantile: float, k: int) -> float:
+    """The quantile of the chi-square distribution with k degrees of freedom (Wilson and Hilferty's cube)."""
+    v = 2 / (9 * k)
+    return k * (1 - v + NormalDist().inv_cdf(quantile) * math.sqrt(v)) ** 3
+
+
 @dataclass
 class Prose:
-    """Mean and inverse covariance of the prose of one language."""
+    """Mean and covariance of the prose of one language."""
 
     mean: np.ndarray
-    inverse: np.ndarray
-
-    def contributions(self, x: np.ndarray) -> np.ndarray:
-        d = x - self.mean
-        return d * (d @ self.inverse)
-
+    cov: np.ndarray
+
+    def contributions(self, x: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+        """Each statistic's share in the squared distance of each row of x, over the statistics ``of`` only."""
+        of = np.arange(len(self.mean)) if of is None else of
+        out = np.zeros_like(x)
+        d = x[:, of] - self.mean[of]
+        out[:, of] = d * (d @ np.linalg.inv(self.cov[np.ix_(of, of)] + np.diag(FLOOR[of] ** 2)))
+        return out
 
-def _invert(cov: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(cov + np.diag(FLOOR**2))
+    def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts with the same statistics missing (nan): shares, limit of the distance, and kind (None: prose)."""
+        held = np.flatnonzero(~np.isnan(x[0]))
+        shares = self.contributions(x, held)
+        shares[:, np.isnan(x[0])] = np.nan
+        names = list(EVIDENCE)
+        proof = np.zeros((len(x), len(names)))
+        for k, name in enumerate(names):
+            of = np.array([AT[n] for n in EVIDENCE[name] if AT[n] in held])
+            if len(of):
+                toward = x[:, of] - self.mean[of]
+                toward[:, [STATISTICS[i] == "readable" for i in of]] *= -1
+                # only what points to the kind is evidence of it
+                kept = np.where(toward > 0, x[:, of], self.mean[of])
+                full = x.copy()
+                full[:, of] = kept
+                proof[:, k] = self.contributions(full, of)[:, of].sum(axis=1) / chi2(PROOF, len(of))
+        limit = chi2(GATE, len(held))
+        best = proof.argmax(axis=1)
+        told = (np.nansum(shares, axis=1) > limit) & (proof.max(axis=1) > 1)
+        return shares, np.full(len(x), limit), np.where(told, np.array(names, dtype=object)[best], None)
 
 
 def robust_prose(measured: DataFrame, rounds: int = 2, shrink: float = 50) -> dict[str, Prose]:
-    """Per language, from all texts: medians and deviations first, then mean and covariance of the texts within the gate."""
+    """Per language, from all texts: medians and deviations first, then mean and covariance of the texts within the gate. "": all languages together."""
     d = len(STATISTICS)
     held = measured.filter("stats IS NOT NULL")
-    middle = held.groupBy("told").agg(*[F.percentile_approx(F.col("stats")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d)]).collect()
-    prose = {}
+    middle = held.groupBy("told").agg(*[F.percentile_approx(F.nullif(F.col("stats")[i], F.lit(math.nan)), [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d)]).collect()
+    prose: dict[str, Prose] = {}
     for r in middle:
-        q = np.array([r[f"q{i}"] for i in range(d)])
-        prose[r["told"]] = Prose(q[:, 1], _invert(np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2)))
+        q = np.array([r[f"q{i}"] or [0.0, 0.0, 0.0] for i in range(d)], dtype=float)
+        prose[r["told"]] = Prose(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
+    limit = chi2(TRIM, d)
+    spoken = any(prose.keys())
     for _ in range(rounds):
         now = dict(prose)
 
@@ -323,9 +388,11 @@ def robust_prose(measured: DataFrame, rounds: int = 2, shrink: float = 50) -> di
             total: dict[str, np.ndarray] = {}
             for b in batches:
                 x = np.array(b["stats"].tolist(), dtype=float).reshape(len(b), d)
+                whole = ~np.isnan(np.delete(x, [] if spoken else [AT["common_words"]], axis=1)).any(axis=1)
                 for g in b["told"].unique():
-                    own = x[(b["told"] == g).to_numpy()]
-                    own = own[now[g].contributions(own).sum(axis=1) <= TRIM]
+                    own = x[(b["told"] == g).to_numpy() & whole]
+                    own = np.nan_to_num(own)
+                    own = own[now[g].contributions(own).sum(axis=1) <= limit]
                     one = np.hstack([np.ones((len(own), 1)), own])
                     total[g] = total.get(g, 0) + one.T @ one
             if total:
@@ -334,13 +401,15 @@ def robust_prose(measured: DataFrame, rounds: int = 2, shrink: float = 50) -> di
         parts = held.select("told", "stats").mapInPandas(sums, "told string, m array<double>")
         width = (d + 1) ** 2
         gathered = {r["told"]: np.array(r["m"]).reshape(d + 1, d + 1) for r in parts.groupBy("told").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(width)]).alias("m")).collect()}
+        gathered = {g: m for g, m in gathered.items() if m[0, 0] >= 2}
         if not gathered:
-            return prose
-        pooled = _cov(sum(gathered.values()))[1]
+            break
+        every = _cov(sum(gathered.values()))
         for g, m in gathered.items():
-            if m[0, 0] >= 2:
-                mean, cov = _cov(m)
-                prose[g] = Prose(mean, _invert((cov * m[0, 0] + pooled * shrink) / (m[0, 0] + shrink)))
+            mean, cov = _cov(m)
+            prose[g] = Prose(mean, (cov * m[0, 0] + every[1] * shrink) / (m[0, 0] + shrink))
+        if spoken or "" not in gathered:
+            prose[""] = Prose(*every)
     return prose
 
 
@@ -350,26 +419,28 @@ def _cov(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def outliers(docs: DataFrame, common: dict[str, frozenset[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, told, lines, stats, distance (squared), shares (of each statistic in it), kind (null: prose)."""
+    """key, told, lines, stats, distance (squared), limit, shares (of each statistic in it), kind (null: prose)."""
     picked = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     measured = cut(statistics(picked, common), "statistics")
     prose = robust_prose(measured)
 
     def run(batches):  # noqa: ANN001, ANN202
+        d = len(STATISTICS)
         for b in batches:
-            shares, kinds, distances = [], [], []
-            for told, lines, x in b[["told", "lines", "stats"]].itertuples(index=False):
-                if x is None:
-                    shares.append(None)
-                    kinds.append(None)
-                    distances.append(None)
-                    continue
-                c = prose[told].contributions(np.asarray(x, dtype=float))
-                distance = float(c.sum())
-                shares.append(c.tolist())
-                distances.append(distance)
-                kinds.append(kind_of(dict(zip(STATISTICS, x)), lines) if distance > GATE else None)
-            yield b.assign(distance=distances, shares=shares, kind=kinds)[["key", "told", "lines", "stats", "distance", "shares", "kind"]]
+            n = len(b)
+            out = {c: np.full(n, None, dtype=object) for c in ("distance", "limit", "shares", "kind")}
+            at = np.flatnonzero(b["stats"].notna())
+            if len(at):
+                x = np.array(b["stats"].iloc[at].tolist(), dtype=float).reshape(len(at), d)
+                told = b["told"].iloc[at].to_numpy()
+                missing = np.isnan(x) @ (1 << np.arange(d))
+                for g, m in {(g, m) for g, m in zip(told, missing)}:
+                    own = np.flatnonzero((told == g) & (missing == m))
+                    shares, limit, kind = prose[g].judge(x[own])
+                    out["distance"][at[own]], out["limit"][at[own]], out["kind"][at[own]] = np.nansum(shares, axis=1), limit, kind
+                    for i, c in zip(at[own], shares.tolist()):
+                        out["shares"][i] = c
+            yield b.assign(**out)[["key", "told", "lines", "stats", "distance", "limit", "shares", "kind"]]
 
     kind = picked.schema["key"].dataType.simpleString()
-    return measured.mapInPandas(run, f"key {kind}, told string, lines int, stats array<double>, distance double, shares array<double>, kind string")
+    return measured.mapInPandas(run, f"key {kind}, told string, lines int, stats array<double>, distance double, limit double, shares array<double>, kind string")

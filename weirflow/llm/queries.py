@@ -34,11 +34,15 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_spans(spark, sf).select("doc_id", "eval_id")
 
 
-def p10_outliers(spark: SparkSession, sf: str) -> DataFrame:
+def common_words(spark: SparkSession, sf: str) -> dict[str, frozenset[str]]:
     common: dict[str, set] = {}
     for r in table(spark, sf, "common_words").filter("lang IS NOT NULL AND word IS NOT NULL").collect():  # a fixed list of some hundred words
         common.setdefault(r["lang"], set()).add(r["word"].lower())
-    return outliers(table(spark, sf, "documents"), {k: frozenset(v) for k, v in common.items()})
+    return {k: frozenset(v) for k, v in common.items()}
+
+
+def p10_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return outliers(table(spark, sf, "documents"), common_words(spark, sf))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +54,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     d = p10_outliers(spark, sf)
     names = [F.col("stats")[i].alias(n) for i, n in enumerate(STATISTICS)]
     parts = [F.col("shares")[i].alias(f"{n}_part") for i, n in enumerate(STATISTICS)]
-    return d.select(F.col("key").alias("doc_id"), F.col("told").alias("lang"), "lines", *names, "distance", *parts, "kind")
+    return d.select(F.col("key").alias("doc_id"), F.col("told").alias("lang"), "lines", *names, "distance", "limit", *parts, "kind")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_statistics": p10_statistics}
