@@ -1,12 +1,12 @@
 import random
 
 import pytest
-from weirflow.llm.packing import TOKENIZER, pack, placements, plan, token_counts
+from weirflow.llm.packing import TIERS, TOKENIZER, pack, placements, plan, token_counts, windows
 
 
-def used(patterns):
+def used(packed):
     out = {}
-    for p in patterns:
+    for p in packed:
         for s, k in p.parts:
             out[s] = out.get(s, 0) + k * p.times
     return out
@@ -28,15 +28,39 @@ def first_fit(histogram, capacity):
 def test_plan_uses_every_piece_once_and_nothing_overflows(seed):
     r = random.Random(seed)
     histogram = {r.randint(1, 100): r.randint(1, 50) for _ in range(r.randint(1, 60))}
-    patterns = plan(histogram, 100, (25, 50, 100))
-    assert used(patterns) == histogram
-    assert all(sum(s * k for s, k in p.parts) <= 100 for p in patterns)
-    assert sum(p.times for p in patterns) <= first_fit(histogram, 100) * 1.02 + 1
+    packed = windows(histogram, 100, (25, 50, 100))
+    assert used(packed) == histogram
+    assert all(w.length <= w.tier for w in packed)
+    patterns = plan(packed, 100)
+    assert all(sum(packed[i].length * k for i, _, k in p.windows) <= 100 for p in patterns)
+    laid = {}
+    for p in patterns:
+        for i, _, k in p.windows:
+            laid[i] = laid.get(i, 0) + k * p.times
+    assert laid == {i: w.times for i, w in enumerate(packed)}
+    assert sum(p.times for p in patterns) <= first_fit(histogram, 100) * 1.05 + 1
+
+
+def test_pieces_go_to_the_shortest_context_that_holds_them_and_fill_longer_ones():
+    packed = windows({60: 2, 40: 1, 30: 1, 10: 5}, 100, (50, 100))
+    assert [(w.tier, w.parts, w.times) for w in packed] == [(100, ((60, 1), (40, 1)), 1), (100, ((60, 1), (30, 1), (10, 1)), 1), (50, ((10, 4),), 1)]
+    # three of these fit into a container, but only one into a window of its tier
+    assert sum(p.times for p in plan(windows({30: 300}, 100, (50, 100)), 100)) == 100
+
+
+def test_other_tiers_give_another_plan():
+    r = random.Random(5)
+    for histogram in ({s: r.randint(1, 30) for s in range(1, 2049)}, {r.randint(1, 300): 100 for _ in range(50)}, {r.randint(1, 2048): 3 for _ in range(200)}):
+        made = [{(w.tier, w.parts, w.times) for w in windows(histogram, 2048, t)} for t in (TIERS, (2048,), (64, 128, 1000))]
+        assert made[0] != made[1] != made[2] != made[0]
+        counts = [sum(p.times for p in plan(windows(histogram, 2048, t), 2048)) for t in (TIERS, (2048,), (64, 128, 1000))]
+        least = -(-sum(s * n for s, n in histogram.items()) // 2048)
+        assert max(counts) <= least * 1.03 + 1
 
 
 def test_plan_of_nothing():
-    assert plan({}, 100) == [] and plan({0: 5}, 100) == []
-    assert placements([])["containers"][0] == 0
+    assert windows({}, 100) == [] and windows({0: 5}, 100) == []
+    assert placements([], [])["containers"][0] == 0
 
 
 def check(placed, sizes, capacity):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.overlap import shared_runs
-from weirflow.llm.packing import pack, token_counts
+from weirflow.llm.packing import TIERS, pack, token_counts
 from weirflow.llm.prose import STATISTICS, outliers
 from weirflow.session import table
 
@@ -19,9 +19,12 @@ def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens, pieces and unused space of each container."""
-    by = p8_packing(spark, sf).groupBy("container", "step_group").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.sum(F.col("tokens") * F.col("tokens")).alias("cost"))
-    return by.withColumn("unused", 2048 - F.col("tokens"))
+    """Tokens, pieces, unused space and cost of each container, the tokens that lie in windows of each context, and the cost of its step group."""
+    placed = p8_packing(spark, sf)
+    per_tier = [F.sum(F.when(F.col("tier") == t, F.col("tokens")).otherwise(0)).alias(f"in_{t}") for t in TIERS]
+    by = placed.groupBy("step_group", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.sum(F.col("tokens") * F.col("tokens")).alias("cost"), *per_tier)
+    groups = by.groupBy("step_group").agg(F.sum("cost").alias("group_cost"))
+    return by.join(groups, "step_group").withColumn("unused", 2048 - F.col("tokens"))
 
 
 def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
