@@ -65,18 +65,32 @@ FILES = [
 def test_typed_table_reports_what_does_not_cast(spark):
     df = typed_table(frame(spark, FILES), "payload", "rec_id", "feed", "file_no", "order_id")
     got = {r["rec_id"]: r.asDict() for r in df.collect()}
-    assert set(df.columns) == {"rec_id", "feed", "file_no", "order_id", "qty", "who", "day", "failed"}
+    assert set(df.columns) == {"rec_id", "feed", "file_no", "order_id", "qty", "who", "day", "failed", "rest"}
     assert got[1]["qty"] == 1 and got[1]["failed"] == [] and got[3]["who"] == "a" and got[3]["day"] == dt.date(2026, 1, 1)
     assert got[3]["qty"] is None and got[3]["failed"] == ["qty"]
+    assert got[3]["rest"] == {"qty": "x"} and got[1]["rest"] == {}
     assert all(got[k]["failed"] == ["*"] for k in (4, 5, 6, 7))
 
 
+def test_renames_of_one_feed_say_nothing_about_another(spark):
+    files = [("a", 1, [{"order_id": "1", "amt": 5}]), ("a", 2, [{"order_id": "1", "amount": 5}]), ("b", 1, [{"order_id": "1", "amt": 7, "amount": 8}, {"order_id": "2", "amt": 9, "amount": 1}])]
+    got = typed_table(frame(spark, files), "payload", "rec_id", "feed", "file_no", "order_id").collect()
+    assert [(r["amount"], r["amt"], r["failed"]) for r in sorted(got, key=lambda r: r["rec_id"])] == [(5, None, []), (5, None, []), (8, 7, []), (1, 9, [])]
+
+
+def test_two_names_of_one_column_in_a_record(spark):
+    """The column's own name goes first; what it displaces is kept as text, and equal texts displace nothing."""
+    files = [("a", 1, [{"order_id": "1", "amt": 5}]), ("a", 2, [{"order_id": "1", "amount": 5}]), ("a", 3, [{"order_id": "2", "amount": 6, "amt": 7}, {"order_id": "3", "amount": 6, "amt": 6}, {"order_id": "4", "amount": None, "amt": 8}, {"order_id": "5", "amount": 4}])]
+    got = typed_table(frame(spark, files), "payload", "rec_id", "feed", "file_no", "order_id").collect()
+    assert [(r["amount"], r["failed"], r["rest"]) for r in sorted(got, key=lambda r: r["rec_id"])] == [(5, [], {}), (5, [], {}), (6, ["amt"], {"amt": "7"}), (6, [], {}), (8, [], {}), (4, [], {})]
+
+
 def test_names_that_clash(spark, tmp_path):
     files = [("f", 1, [{"order_id": "1", "feed": "x", "Qty": 1, "failed": 2}]), ("f", 2, [{"order_id": "2", "qty": 5, "rec_id": 3}])]
     df = typed_table(frame(spark, files), "payload", "rec_id", "feed", "file_no", "order_id")
     df.write.parquet(str(tmp_path / "t"))
     got = {r["rec_id"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "t")).collect()}
-    assert set(got[1]) == {"rec_id", "feed", "file_no", "order_id", "feed_", "failed_", "Qty", "qty_", "rec_id_", "failed"}
+    assert set(got[1]) == {"rec_id", "feed", "file_no", "order_id", "feed_", "failed_", "Qty", "qty_", "rec_id_", "failed", "rest"}
     assert (got[1]["feed"], got[1]["feed_"], got[1]["Qty"], got[2]["qty_"], got[2]["rec_id_"]) == ("f", "x", 1, 5, 3)
 
 

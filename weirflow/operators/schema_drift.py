@@ -3,8 +3,8 @@
 1. Each record is read as a map of field -> (kind, text); nothing is cast yet. Kinds come from the JSON token itself.
 2. Kinds are counted by feed, file and field. All changes but renames follow from these counts.
 3. A rename is looked for only in files with both new and gone fields, and only these fields of their records are compared.
-4. One table: names are brought together along the renames, each column gets the type that most of its values have, and
-   what doesn't cast is reported, never dropped.
+4. One table: names are brought together along the renames of each feed, each column gets the type that most of its values have, and
+   what doesn't cast, or meets another value for the same column in one record, is kept as text and reported, never dropped.
 
 Defined results:
 * a payload that is null, no JSON object, or names a field twice has no fields (``typed_table`` reports it as failed);
@@ -102,59 +102,85 @@ def drift_changes(records: DataFrame, order: str) -> DataFrame:
     return added.unionByName(removed).unionByName(renamed.select("feed", "file_no", F.lit("renamed").alias("change"), "field", "old_field")).unionByName(retyped)
 
 
-def canonical_names(types: DataFrame, changes: DataFrame) -> dict[str, str]:
-    """Each field name -> the most frequent of the names that renames join. Bounded by the number of names, which is checked."""
+def _weights(types: DataFrame) -> dict[str, int]:
+    """Records by field name. Bounded by the number of names, which is checked."""
     counted = types.groupBy("field").agg(F.sum("records").alias("n")).limit(MAX_FIELDS + 1).collect()
     if len(counted) > MAX_FIELDS:
         raise ValueError(f"over {MAX_FIELDS} distinct field names")
-    weight = {r["field"]: r["n"] for r in counted}
-    root = {f: f for f in weight}
+    return {r["field"]: r["n"] for r in counted}
+
+
+def canonical(pairs: list[tuple[str, str]], weight: dict[str, int]) -> dict[str, str]:
+    """Each name that renames join -> the heaviest of the names it is joined with."""
+    root: dict[str, str] = {}
 
     def find(x: str) -> str:
+        root.setdefault(x, x)
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    joined = changes.filter("change = 'renamed'").select("field", "old_field").distinct().limit(10 * MAX_FIELDS + 1).collect()
-    if len(joined) > 10 * MAX_FIELDS:
-        raise ValueError(f"over {10 * MAX_FIELDS} distinct renames")
-    for r in joined:
-        root[find(r["field"])] = find(r["old_field"])
+    for a, b in pairs:
+        root[find(a)] = find(b)
     best: dict[str, str] = {}
-    for f in sorted(weight, key=lambda f: (-weight[f], f)):
+    for f in sorted(root, key=lambda f: (-weight.get(f, 0), f)):
         best.setdefault(find(f), f)
-    return {f: best[find(f)] for f in weight}
+    return {f: best[find(f)] for f in root}
+
+
+def feed_names(changes: DataFrame, weight: dict[str, int]) -> DataFrame:
+    """feed, names (map of the names that the feed's renames join to one of them). A feed of another table, or without renames, has no part in it."""
+
+    def run(key, pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.DataFrame([[key[0], list(canonical(list(zip(pdf["field"], pdf["old_field"])), weight).items())]], columns=["feed", "names"])
+
+    renamed = changes.filter("change = 'renamed'").select("feed", "field", "old_field").distinct()
+    kind = changes.schema["feed"].dataType.simpleString()
+    named = renamed.groupBy("feed").applyInPandas(run, f"feed {kind}, names array<struct<field: string, name: string>>")
+    return cut(named.select("feed", F.map_from_entries("names").alias("names")), "names")
 
 
 _SQL_TYPE = {"whole": "bigint", "decimal": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp_ntz"}
 
 
 def typed_table(rows: DataFrame, payload: str, key: str, feed: str, file_no: str, order: str, policy: str = "sync_all_columns") -> DataFrame:
-    """key, feed, file_no, one typed column per field (its most frequent name), and failed: the fields that didn't cast.
+    """key, feed, file_no, one typed column per field (its most frequent name), failed and rest.
 
-    A field whose name is taken, if only in another case, gets a trailing underscore.
+    failed: the columns that didn't cast, and the fields whose column another field of the record took already (the one under the
+    column's own name goes first, then the names in their order); "*" for a payload without fields. rest: the texts of all of
+    these by their own names. A field whose name is taken, if only in another case, gets a trailing underscore.
 
     policy: "ignore" keeps only fields of the lowest file number, "fail" raises if anything changed, the others keep all.
     """
-    records = path_values(rows, payload, {"feed": feed, "file_no": file_no})
-    types = file_types(records)
-    changes = drift_changes(records, order)
+    cells = cut(path_values(rows, payload, {"_key": key, "feed": feed, "file_no": file_no}), "cells")
+    types = cut(file_types(cells), "file_types")
+    changes = drift_changes(cells, order)
     if policy == "fail" and changes.limit(1).count():
         raise ValueError("the schema changed between files")
-    names = canonical_names(types, changes)
-    if policy == "ignore":
-        first = types.agg(F.min("file_no")).first()[0]
-        kept = {names[r[0]] for r in types.filter(F.col("file_no") == first).select("field").distinct().collect()}
-        names = {f: c for f, c in names.items() if c in kept}
+    names = feed_names(changes, _weights(types))
+    named = types.join(names, "feed", "left").withColumn("column", F.coalesce(F.col("names")[F.col("field")], "field"))
+    first = types.agg(F.min("file_no")).first()[0] if policy == "ignore" else None
     votes: dict[str, dict[str, int]] = {}
-    for r in types.filter("type IS NOT NULL").groupBy("field", "type").agg(F.sum(F.col("records") - F.col("nulls")).alias("n")).collect():
-        if r["field"] in names:
-            v = votes.setdefault(names[r["field"]], {})
-            v[r["type"]] = v.get(r["type"], 0) + r["n"]
-    columns, failed, taken = [], [], {key.lower(), "feed", "file_no", "failed"}
-
-    def named(c: str) -> str:
+    counted = named.groupBy("column", "type").agg(F.sum(F.col("records") - F.col("nulls")).alias("n"), F.min("file_no").alias("first"))
+    kept: set[str] = set()
+    for r in counted.collect():  # at most the names times the types
+        v = votes.setdefault(r["column"], {})
+        if r["type"] is not None:
+            v[r["type"]] = r["n"]
+        if first is None or r["first"] == first:
+            kept.add(r["column"])
+    # entries of a record in the order of their columns; the first of each column is its value, another text is left over
+    entries = "transform(map_entries(fields), e -> named_struct('column', coalesce(names[e.key], e.key), 'other', coalesce(names[e.key], e.key) <> e.key, 'name', e.key, 'text', e.value.text))"
+    spread = cells.join(names, "feed", "left").withColumn("_e", F.expr(f"array_sort(filter({entries}, e -> e.text IS NOT NULL))"))
+    spread = spread.withColumn("_values", F.expr("map_from_entries(transform(filter(_e, (e, i) -> i = 0 OR get(_e, i - 1).column <> e.column), e -> struct(e.column, e)))"))
+    spread = spread.withColumn("_left", F.expr("filter(_e, e -> _values[e.column].text <> e.text)"))
+
+    columns, lost, taken = [], [], {key.lower(), "feed", "file_no", "failed", "rest"}
+
+    def own_name(c: str) -> str:
         """A name of its own: Spark's tables don't tell upper from lower case, and some names are taken."""
         out = c
         while out.lower() in taken:
@@ -162,16 +188,22 @@ def typed_table(rows: DataFrame, payload: str, key: str, feed: str, file_no: str
         taken.add(out.lower())
         return out
 
-    cells = path_values(rows, payload, {"_key": key, "_feed": feed, "_no": file_no})
-    for c in sorted(set(names.values())):
-        v = votes.get(c, {})
+    for c in sorted(kept):
+        v = votes[c]
         number = v.get("whole", 0) + v.get("decimal", 0)
         rest = {k: n for k, n in v.items() if k not in ("whole", "decimal")}
         kind = ("decimal" if v.get("decimal") else "whole") if number > max([0, *rest.values()]) else max(rest, key=lambda k: (rest[k], k), default="text")
-        text = F.coalesce(*[F.col("fields")[f]["text"] for f in sorted(names, key=lambda f: (f != c, f)) if names[f] == c])
-        value = text.try_cast(_SQL_TYPE[kind]) if kind in _SQL_TYPE else text
-        columns.append(value.alias(name := named(c)))
-        failed.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
-    lost = F.when(F.col("fields").isNull(), F.array(F.lit("*"))).otherwise(F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
-    return cells.select(F.col("_key").alias(f"{key}"), F.col("_feed").alias("feed"), F.col("_no").alias("file_no"), *columns, lost.alias("failed"))
-
+        cell = F.col("_values")[c]
+        value = cell["text"].try_cast(_SQL_TYPE[kind]) if kind in _SQL_TYPE else cell["text"]
+        columns.append(value.alias(name := own_name(c)))
+        if kind in _SQL_TYPE:
+            lost.append(F.when(cell["text"].isNotNull() & value.isNull(), F.struct(F.lit(name).alias("column"), cell["name"].alias("name"), cell["text"].alias("text"))))
+    dropped = F.array_compact(F.array(*lost)) if lost else F.array().cast("array<struct<column: string, name: string, text: string>>")
+    left = F.expr("transform(_left, e -> named_struct('column', e.name, 'name', e.name, 'text', e.text))")
+    if policy == "ignore":
+        left = F.filter(left, lambda e: F.coalesce(F.col("names")[e["name"]], e["name"]).isin(sorted(kept)))
+    out = spread.select("_key", "feed", "file_no", "fields", *columns, F.concat(dropped, left).alias("_lost"))
+    failed = F.when(F.col("fields").isNull(), F.array(F.lit("*"))).otherwise(F.transform("_lost", lambda e: e["column"]))
+    rest = F.map_from_entries(F.transform(F.coalesce("_lost", F.array().cast("array<struct<column: string, name: string, text: string>>")), lambda e: F.struct(e["name"], e["text"])))
+    shown = [c for c in out.columns if c not in ("_key", "feed", "file_no", "fields", "_lost")]
+    return out.select(F.col("_key").alias(key), "feed", "file_no", *[f"`{c}`" for c in shown], failed.alias("failed"), rest.alias("rest"))

@@ -233,7 +233,8 @@ def p6_types(spark: SparkSession, sf: str) -> DataFrame:
 def p6_table(spark: SparkSession, sf: str) -> DataFrame:
     policy = settings(spark, sf, "orders_raw")["on_schema_change"]
     out = typed_table(table(spark, sf, "order_feed"), "payload", "rec_id", "feed", "file_no", "order_id", policy)
-    return out.withColumn("failed", F.array_join("failed", ","))
+    left = F.array_join(F.transform(F.array_sort(F.map_entries("rest")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+    return out.withColumns({"failed": F.array_join(F.array_sort("failed"), ","), "rest": left})
 
 
 _P6 = """
@@ -267,6 +268,32 @@ UNION ALL SELECT t.feed, t.file_no, 'retyped', t.field, '' FROM t JOIN held h ON
 UNION ALL SELECT DISTINCT r.feed, r.file_no, 'retyped', r.field, '' FROM r JOIN t USING (feed, file_no, field) JOIN held h ON h.feed = r.feed AND h.file_no = r.file_no - 1 AND h.field = r.old_field WHERE t.type <> h.h
 """
 )
+_P6_COLUMNS = {
+    "agent_code": "", "amount": "DOUBLE", "currency": "", "customer_id": "", "customer_note": "", "depot": "", "is_gift": "BOOLEAN", "loyalty_points": "BIGINT", "order_date": "DATE", "order_id": "", "packing": "",
+    "product_name": "", "product_sku": "", "promo_rate": "DOUBLE", "quantity": "DOUBLE", "sales_channel": "", "ship_by": "DATE", "status": "", "unit_price": "DOUBLE",
+}
+
+
+def _p6_cast(c: str) -> str:
+    v = f"max(text) FILTER (col = '{c}' AND first)"
+    return f"CASE WHEN regexp_matches({v}, '^[0-9]{{4}}-') THEN try_cast(substr({v}, 1, 10) AS DATE) END" if _P6_COLUMNS[c] == "DATE" else f"try_cast({v} AS {_P6_COLUMNS[c]})" if _P6_COLUMNS[c] else v
+
+
+_P6_TABLE = _P6_FOUND.split("held AS (")[0] + f"""
+w AS (SELECT field, sum(records) AS records FROM t GROUP BY ALL),
+m AS (SELECT feed, old_field AS low, field AS name FROM r UNION SELECT feed, field, old_field FROM r UNION SELECT feed, field, field FROM r UNION SELECT feed, old_field, old_field FROM r
+      UNION SELECT a.feed, a.field, b.field FROM r a JOIN r b ON a.feed = b.feed AND a.old_field = b.old_field),
+canon AS (SELECT feed, m.low AS field, arg_max(name, records) AS col FROM m JOIN w ON w.field = m.name GROUP BY ALL),
+x AS (SELECT o.rec_id, o.feed, o.file_no, j.field, j.text FROM order_feed o LEFT JOIN (
+      SELECT rec_id, field, json_extract_string(payload, '$."' || field || '"') AS text FROM (SELECT rec_id, payload, unnest(json_keys(payload)) AS field FROM order_feed)) j ON j.rec_id = o.rec_id AND j.text IS NOT NULL),
+y AS (SELECT x.*, coalesce(c.col, x.field) AS col, row_number() OVER (PARTITION BY rec_id, coalesce(c.col, x.field) ORDER BY x.field <> coalesce(c.col, x.field), x.field) = 1 AS first FROM x LEFT JOIN canon c ON c.feed = x.feed AND c.field = x.field),
+z AS (SELECT *, first_value(text) OVER (PARTITION BY rec_id, col ORDER BY NOT first) AS won FROM y),
+v AS (SELECT rec_id, feed, file_no, {", ".join(f"{_p6_cast(c)} AS {c}" for c in _P6_COLUMNS)} FROM y GROUP BY ALL),
+b AS (SELECT z.rec_id, z.field, z.text, CASE WHEN NOT first THEN z.field ELSE z.col END AS shown, NOT first AND text <> won OR first AND ({" OR ".join(f"z.col = '{c}' AND v.{c} IS NULL" for c, k in _P6_COLUMNS.items() if k)}) AS bad FROM z JOIN v USING (rec_id))
+SELECT v.*, coalesce(string_agg(shown, ',' ORDER BY shown) FILTER (bad), '') AS failed, coalesce(string_agg(b.field || '=' || b.text, chr(10) ORDER BY b.field) FILTER (bad), '') AS rest
+FROM v LEFT JOIN b USING (rec_id) GROUP BY ALL
+"""
+SQL |= {"p6_table": _P6_TABLE}
 QUERIES |= {"p6_found": p6_found, "p6_types": p6_types, "p6_table": p6_table}
 SQL |= {"p6_found": _P6_FOUND, "p6_types": _P6 + "SELECT * FROM t"}
 
