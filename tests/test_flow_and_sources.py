@@ -172,7 +172,6 @@ def test_connections(spark, tmp_path, monkeypatch):
     from weirflow.operators.tables import TableStore
     from weirflow.plans.pipeline import Runner
     from weirflow.plans.spec import build
-    from weirflow.sources.connections import chunk_rows
 
     (tmp_path / "c.yaml").write_text("a: [1]")
     monkeypatch.setenv("S_KEY", "k")
@@ -186,4 +185,3 @@ def test_connections(spark, tmp_path, monkeypatch):
     for bad in ("ftp", "absent"):
         with pytest.raises(ValueError):
             r.connection(bad)
-    assert [chunk_rows(*x) for x in ((10, 3), (200_000, 60), (6_000_000, 3), (200_000, 3))] == [10, 25_000, 250_000, 100_000]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weirflow.operators.tables import Model, TableStore
 from weirflow.plans.pipeline import CheckFailed, Runner
 from weirflow.plans.spec import Stream, build, load
-from weirflow.streaming.dispatch import Dispatcher, dispatch_stream, envelope, http_sink, log_stream, websocket_sink
+from weirflow.streaming.dispatch import Dispatcher, LogStream, dispatch_stream, dispatcher, envelope, http_sink, kafka_options, log_stream, websocket_sink
 from weirflow.streaming.ingest import deduplicated, file_stream, ingest, sessions, tumbling
 from weirflow.streaming.triggers import Cron, Service
 
@@ -130,6 +130,46 @@ def test_triggers_and_dispatch(runner, tmp_path):
     assert ids == sorted(ids) and len(ids) == 4 and sent[0]["topic"] == "cdc.orders" and changes.dispatcher.drain() == 0
 
 
+def test_triggers_go_on_after_a_restart(runner, tmp_path):
+    def service():
+        made = Service(runner)
+        made.triggers = [t for t in made.triggers if t.sensor.type != "cdc"]
+        return made
+
+    drop = tmp_path / "drop" / "x.csv"
+    drop.write_text("order_id|qty|price|status\n7|1|2.5|NEW\n8|1|1|NEW\n9|1|1|NEW\n")
+    now = time.time()
+    assert len(dict(service().step(now))["drop"].requests) == 1
+    again = service()
+    assert dict(again.step(now + 100))["drop"].skipped == "no new file"
+    # a file that was found, but whose run failed, is found again
+    drop.write_text("order_id|qty|price|status\n7|1|2.5|NEW\n8|1|1|NEW\n9|1|1|NEW\n10|1|1|NEW\n")
+    failing = service()
+    failing.runner = type("R", (), {"run_job": lambda *a: (_ for _ in ()).throw(OSError("lost"))})()
+    with pytest.raises(OSError):
+        failing.step(now + 200)
+    assert len(dict(service().step(now + 300))["drop"].requests) == 1
+
+
+def test_kafka_streams_are_delivered_by_spark(spark, tmp_path):
+    t = TableStore(spark, str(tmp_path)).table("a.b")
+    stream = Stream("kafka", "kafka://host:9092/x", {"acks": "all", "batch_size": 5})
+    got = []
+    log = dispatcher(spark, t, "b", stream)
+    assert isinstance(log, LogStream) and log.tick() == 0
+    log.write = lambda df, st, topic: got.extend((topic, r["id"], r["op"]) for r in df.collect())
+    for i, n in enumerate((3, 5)):
+        t.materialize(spark.range(n), Model("table"), now=dt.datetime(2026, 1, 1 + i), asset="b", track=True)
+        assert log.tick() == (3 if n == 3 else 2)
+    other = dispatcher(spark, t, "b", stream)
+    other.write = log.write
+    assert other.tick() == 0  # the position outlives the object
+    assert sorted(got) == [("cdc.b", i, "INSERT") for i in range(1, 6)]
+    assert kafka_options(stream) == {"kafka.bootstrap.servers": "host:9092", "kafka.acks": "all"}
+    with pytest.raises(Exception):
+        dispatcher(spark, t, "b", Stream("carrier_pigeon", "x"))
+
+
 def test_a_batch_that_fails_comes_again(spark, tmp_path):
     table = TableStore(spark, f"file://{tmp_path}").table("t")
     table.materialize(spark.createDataFrame([(i,) for i in range(5)], "k long"), Model("table"), now=dt.datetime(2026, 1, 1), track=True)

@@ -56,6 +56,12 @@ class Files:
         options[0] = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
         context.rename(self._path(source), self._path(target), options)
 
+    def replace(self, path: str, text: str) -> None:
+        """Write a small file as a whole: readers see the old or the new text."""
+        staged = f"{path}-{uuid.uuid4().hex}"
+        self.write(staged, text)
+        self.swap(staged, path)
+
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
@@ -152,9 +158,7 @@ class Table:
 
     def _commit(self, m: Manifest) -> None:
         m.version += 1
-        staged = f"{self.path}/manifest-{uuid.uuid4().hex}.json"
-        self.files.write(staged, json.dumps(asdict(m)))
-        self.files.swap(staged, f"{self.path}/manifest.json")
+        self.files.replace(f"{self.path}/manifest.json", json.dumps(asdict(m)))
 
     def _rows(self, m: Manifest, only: set[str] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(m.schema))

@@ -131,12 +131,79 @@ class Frame:
         self._need(*names)
         return Grouped(self, names)
 
+    def rollup(self, names: list[str] | str) -> Grouped:
+        """Groups by the keys, by each shorter list of the first ones, and over all; null keys of the result mark totals."""
+        return self._several(names, "rollup")
+
+    def cube(self, names: list[str] | str) -> Grouped:
+        """Groups by every subset of the keys; null keys of the result mark totals."""
+        return self._several(names, "cube")
+
+    def _several(self, names: list[str] | str, kind: str) -> Grouped:
+        names = [names] if isinstance(names, str) else list(names)
+        self._need(*names)
+        return Grouped(self, names, kind)
+
     # --- several frames (extensions)
 
     def join(self, other: Frame | DataFrame, on: Any, how: str = "inner") -> Frame:
         right = other.data if isinstance(other, Frame) else other
         return self._with(self.data.join(right, column_of(on) if isinstance(on, (Term, Column)) else on, how))
 
+    def join_asof(self, other: Frame | DataFrame, by: list[str] | str, at: str, take: list[str], bucket_seconds: int | None = None) -> Frame:
+        """Every row with the columns ``take`` of the last row of ``other`` of the same key that isn't later; null where there is none.
+
+        Both sides are sorted together once per key, without a join. bucket_seconds: cut each key's time into buckets of this length, so
+        a hot key is spread; only the last row of each bucket is then carried into the buckets behind. Rows with a null key or time match nothing.
+        """
+        right = other.data if isinstance(other, Frame) else other
+        by = [by] if isinstance(by, str) else list(by)
+        self._need(*by, at)
+        keys = [F.col(f"`{k}`") for k in by]
+        row = lambda names: F.struct(*[F.col(f"`{n}`") for n in names])
+        mine = self.data.select(*keys, F.col(f"`{at}`").alias("_wf_at"), row(self.columns).alias("_wf_l"), F.lit(None).cast(right.select(*take).schema).alias("_wf_r"))
+        theirs = right.select(*keys, F.col(f"`{at}`").alias("_wf_at"), F.lit(None).cast(self.data.schema).alias("_wf_l"), row(take).alias("_wf_r"))
+        both = mine.unionByName(theirs.filter(F.col("_wf_at").isNotNull()))
+        if bucket_seconds:
+            both = both.withColumn("_wf_b", F.floor(F.unix_seconds(F.col("_wf_at").cast("timestamp")) / bucket_seconds))
+            by = [*by, "_wf_b"]
+        # at one time, rows of the other side come first
+        upto = Window.partitionBy(*by).orderBy("_wf_at", F.col("_wf_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("_wf_r", F.last("_wf_r", ignorenulls=True).over(upto))
+        if bucket_seconds:
+            ends = theirs.withColumn("_wf_b", F.floor(F.unix_seconds(F.col("_wf_at").cast("timestamp")) / bucket_seconds)).groupBy(*by).agg(F.max_by("_wf_r", "_wf_at").alias("_wf_e"))
+            spots = both.filter("_wf_l IS NOT NULL").select(*by).distinct().join(ends, by, "left")
+            ends = ends.select(*by, "_wf_e").join(spots.select(*by), by, "left_anti").unionByName(spots)
+            before = Window.partitionBy(*keys).orderBy("_wf_b").rowsBetween(Window.unboundedPreceding, -1)
+            carried = ends.withColumn("_wf_c", F.last("_wf_e", ignorenulls=True).over(before)).select(*by, "_wf_c")
+            out = out.filter("_wf_l IS NOT NULL").join(carried, by, "left").withColumn("_wf_r", F.coalesce("_wf_r", "_wf_c"))
+        whole = F.col("_wf_at").isNotNull()
+        for k in keys:
+            whole = whole & k.isNotNull()
+        found = [F.when(whole, F.col("_wf_r")[n]).alias(n) for n in take]
+        return self._with(out.filter("_wf_l IS NOT NULL").select(*[F.col("_wf_l")[c].alias(c) for c in self.columns], *found))
+
+    def join_range(self, other: Frame | DataFrame, value: str, low: str, high: str, width: float, how: str = "inner") -> Frame:
+        """Rows with those of ``other`` whose [low, high] holds their value: an equality join on bins of ``width``, then the exact test.
+
+        Choose the width near the usual length of the ranges: each range is repeated once per bin that it touches.
+        """
+        if how not in ("inner", "left"):
+            raise ValueError(f"join_range is inner or left, not {how!r}")
+        right = other.data if isinstance(other, Frame) else other
+        bins = right.filter(F.col(low) <= F.col(high)).withColumn("_wf_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+        left = self.data.withColumn("_wf_bin", F.floor(F.col(value) / width)).alias("l")
+        on = (F.col("l._wf_bin") == F.col("r._wf_bin")) & (F.col(f"l.`{value}`") >= F.col(f"r.`{low}`")) & (F.col(f"l.`{value}`") <= F.col(f"r.`{high}`"))
+        return self._with(left.join(bins.alias("r"), on, how).drop("_wf_bin"))
+
+    def join_theta(self, other: Frame | DataFrame, on: Any, how: str = "inner") -> Frame:
+        """A join by any condition that holds at least one equality between the sides; anything else compares every pair, and is refused."""
+        joined = self.join(other, on, how)
+        plan = joined.data._jdf.queryExecution().sparkPlan().toString()
+        if "NestedLoopJoin" in plan or "CartesianProduct" in plan:
+            raise ValueError("a join without any equality compares every pair of rows; use join_range or join_asof")
+        return joined
+
     def union(self, other: Frame, distinct: bool = False) -> Frame:
         both = self.data.unionByName(other.data, allowMissingColumns=True)
         return Frame(both.distinct() if distinct else both)
@@ -149,8 +216,8 @@ class Frame:
 
 
 class Grouped:
-    def __init__(self, frame: Frame, names: list[str]) -> None:
-        self.frame, self.names = frame, names
+    def __init__(self, frame: Frame, names: list[str], kind: str = "groupBy") -> None:
+        self.frame, self.names, self.kind = frame, names, kind
 
     def _edge(self, field: Column, last: bool) -> Column:
         """The first or last value that isn't null, in the frame's order."""
@@ -178,7 +245,7 @@ class Grouped:
             df, sort = Frame(df, frame.order)._ordered()
             if len({k.ascending for k in frame.order or []}) > 1:
                 df = df.withColumn("_wf_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
-        out = df.groupBy(*keys).agg(*[self._column(a).alias(a.name) for a in aggregates])
+        out = getattr(df, self.kind)(*keys).agg(*[self._column(a).alias(a.name) for a in aggregates])
         return Frame(out, [asc(n) for n in self.names])
 
     def _is_text(self, field: str) -> bool:
@@ -193,7 +260,7 @@ class Grouped:
         return simple[a.how]() if a.how in simple else self._edge(c, a.how == "last")
 
 
-FRAME_METHODS = {"filter", "select", "drop", "rename", "dedup", "distinct", "order_by", "limit", "group_by", "join", "union", "intersect", "except_"}
+FRAME_METHODS = {"filter", "select", "drop", "rename", "dedup", "distinct", "order_by", "limit", "group_by", "rollup", "cube", "join", "join_asof", "join_range", "join_theta", "union", "intersect", "except_"}
 CONDITION_METHODS = {"is_in", "is_null", "is_not_null", "between", "contains", "starts_with", "ends_with", "alias"}
 
 

@@ -226,11 +226,34 @@ for _how, _sql in {
 @query("join_asof", "SELECT p.event_id, p.user_id, v.event_id AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
 def join_asof(spark: SparkSession, sf: str) -> DataFrame:
     """The last view before each purchase: one sort per user over both sides together, no join."""
-    from pyspark.sql import Window
+    e = table(spark, sf, "events")
+    views = e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen"))
+    return Frame(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")).join_asof(views, "user_id", "ts", ["seen"]).drop("ts").data
 
-    e = table(spark, sf, "events").filter("event_type IN ('purchase', 'view')")
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type").desc(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("seen", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w)).filter("event_type = 'purchase'").select("event_id", "user_id", "seen")
+
+@query("join_asof_bucketed", SQL["join_asof"])
+def join_asof_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with each user's time cut into days, as for users with a third of all events."""
+    e = table(spark, sf, "events")
+    views = e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen"))
+    return Frame(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")).join_asof(views, "user_id", "ts", ["seen"], bucket_seconds=86_400).drop("ts").data
+
+
+_BANDS = [(0.0, 1000.0, "small"), (900.0, 50_000.0, "middle"), (50_001.0, 200_000.0, "large"), (150_000.0, 10_000_000.0, "huge")]
+
+
+@query("join_range", f"SELECT o_orderkey, band FROM orders JOIN (VALUES {', '.join(map(str, _BANDS))}) b(low, high, band) ON o_totalprice BETWEEN low AND high")
+def join_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with the bands of price that hold them, through bins instead of all pairs."""
+    bands = spark.createDataFrame(_BANDS, "low double, high double, band string")
+    return Frame(table(spark, sf, "orders").select("o_orderkey", "o_totalprice")).join_range(bands, "o_totalprice", "low", "high", 100_000).select("o_orderkey", "band").data
+
+
+@query("join_theta", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal")
+def join_theta(spark: SparkSession, sf: str) -> DataFrame:
+    c = Frame(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return c.join_theta(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal"))).select("c_custkey", "s_suppkey").data
 
 
 @query("union_all_sources", "SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier")
@@ -253,7 +276,8 @@ for _kind in ("rollup", "cube"):
 
     @query(_kind, f"SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY {_kind.upper()} (l_returnflag, l_linestatus)")
     def _cubed(spark: SparkSession, sf: str, kind: str = _kind) -> DataFrame:
-        return getattr(table(spark, sf, "lineitem"), kind)("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+        chain_text = f'frame.{kind}(["l_returnflag", "l_linestatus"]).agg(agg_count("l_orderkey").alias("n"), agg_sum("l_quantity").alias("qty"))'
+        return transform(table(spark, sf, "lineitem"), chain_text).data
 
 
 @query("window_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import os
 import shutil
 import tempfile
 import uuid
@@ -34,13 +36,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of intermediate data that this process made, by the folder they are in; removed at its end.
+_made: set[str] = set()
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and set.
+    Only where the setting is absent and driver and executors are one process (tests, a laptop) a local folder is made and set;
+    on a cluster its executors would each write to a disk of their own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="weirflow-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         at = "file://" + folder
@@ -48,9 +62,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this process below the shared folder."""
+    at = f"{shared_dir(spark)}/weirflow/{spark.sparkContext.applicationId}-{os.getpid()}"
+    if not _made:
+        atexit.register(clear_scratch)
+    _made.add(at)
+    return at
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/weirflow/{label}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch() -> None:
+    """Remove all intermediate data of this process; frames made from it can't be read any more. Runs at the end of the process."""
+    for at in list(_made):
+        _made.discard(at)
+        try:
+            remove_tree(at)
+        except Exception:  # noqa: BLE001 - the session or its file system may be gone already
+            logging.getLogger(__name__).warning("couldn't remove %s", at)
+
+
+def remove_tree(uri: str) -> None:
+    """Remove a folder through the running session, which knows every file system of the cluster; without one through pyarrow."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session._jsc is not None and session._jsc.sc() is not None and not session._jsc.sc().isStopped():
+        path = session._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        return
+    place, inner = opened(uri)
+    from pyarrow import fs
+
+    if place.get_file_info(inner).type != fs.FileType.NotFound:
+        place.delete_dir(inner)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

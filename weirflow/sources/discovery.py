@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -14,27 +15,41 @@ from pyspark.sql import functions as F
 
 from weirflow.sources.templates import render
 
-BLOCK = 1 << 16
 
+def _checksum(path: str) -> dict[str, Any]:
+    with open(path, "rb") as f:
+        return {"md5": hashlib.file_digest(f, "md5").hexdigest()}
 
-def fingerprint(path: str, strategy: str = "mtime") -> dict[str, Any]:
+
+def _age(path: str) -> dict[str, Any]:
     s = os.stat(path)
-    if strategy == "mtime":
-        return {"mtime": s.st_mtime, "size": s.st_size}
-    if strategy == "checksum":
-        h = hashlib.md5()  # noqa: S324 - tells versions apart
-        with open(path, "rb") as f:
-            while block := f.read(BLOCK):
-                h.update(block)
-        return {"checksum": h.hexdigest()}
-    raise ValueError(f"unknown tracking strategy '{strategy}'")
+    return {"modified_ns": s.st_mtime_ns, "bytes": s.st_size}
+
+
+MARKS = {"mtime": _age, "checksum": _checksum}
+
+
+def fingerprint(path: str, strategy: str = "mtime") -> dict[str, Any]:
+    """What tells this version of a file from others."""
+    if strategy not in MARKS:
+        raise ValueError(f"unknown tracking strategy '{strategy}'")
+    return MARKS[strategy](path)
 
 
 @dataclass
 class Cursor:
-    """Fingerprints of the files seen so far."""
+    """Fingerprints of the files seen so far; with a place to keep them it goes on where it stopped.
+
+    keep: reads (no argument: text or None) and writes (one argument) the state, e.g. a file of the table store. A file counts as
+    seen once ``commit`` was called after it, so what was found but not taken is found again after a crash.
+    """
 
     seen: dict[str, dict[str, Any]] = field(default_factory=dict)
+    keep: Callable[..., str | None] | None = None
+
+    def __post_init__(self) -> None:
+        if self.keep and (text := self.keep()):
+            self.seen = json.loads(text)
 
     def fresh(self, found: Iterable[tuple[str, dict[str, Any]]]) -> list[str]:
         """Files that are new or changed, which are then seen."""
@@ -45,6 +60,10 @@ class Cursor:
                 out.append(path)
         return out
 
+    def commit(self) -> None:
+        if self.keep:
+            self.keep(json.dumps(self.seen))
+
 
 def local_files(folder: str, pattern: str = "*", strategy: str = "mtime", keep: Callable[[str], bool] | None = None) -> list[tuple[str, dict[str, Any]]]:
     """Files of a folder by name, with fingerprints. The folder may be a template."""

@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 
 def records_of(payload: Any) -> list[dict]:
-    if isinstance(payload, dict):
-        return [payload]
-    if isinstance(payload, list):
-        return payload
-    raise ValueError(f"a payload must be an object or a list, not {type(payload).__name__}")
+    """A response is one record or many."""
+    match payload:
+        case dict():
+            return [payload]
+        case list():
+            return payload
+    raise ValueError(f"no records in a response of type {type(payload).__name__}")
 
 
 def _moment(text: str) -> datetime | None:

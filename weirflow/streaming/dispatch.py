@@ -48,17 +48,49 @@ def websocket_sink(stream: Stream, connect: Callable[..., Any] | None = None) ->
     return put
 
 
-@sinks.register("kafka")
-def kafka_sink(stream: Stream) -> Callable[[dict], None]:
-    """Spark writes to Kafka itself (``write_kafka``); from the driver nothing is sent."""
-    raise ValueError("use write_kafka for kafka streams")
+def kafka_options(stream: Stream) -> dict[str, str]:
+    server = stream.relay_endpoint.removeprefix("kafka://").split("/")[0]
+    own = {k: v for k, v in stream.config.items() if k not in ("batch_size", "poll_interval_seconds", "topic")}
+    return {"kafka.bootstrap.servers": server, **{f"kafka.{k}": str(v) for k, v in own.items()}}
 
 
-def write_kafka(log: DataFrame, stream: Stream, topic: str) -> None:
-    """A frame of change events to a topic; needs Spark's Kafka connector on the class path."""
-    server = stream.relay_endpoint.removeprefix("kafka://").split("/")[0]
-    options = {f"kafka.{k}": str(v) for k, v in stream.config.items()}
-    log.select(F.col("pk").alias("key"), F.to_json(F.struct("*")).alias("value")).write.format("kafka").options(**options).option("kafka.bootstrap.servers", server).option("topic", topic).save()
+def write_kafka(log: DataFrame, stream: Stream, topic: str, form: str = "kafka") -> None:
+    """A frame of change events to a topic, from the executors; needs Spark's Kafka connector on the class path."""
+    rows = log.select(F.col("pk").alias("key"), F.to_json(F.struct(*[c for c in log.columns if c != "file_name"])).alias("value"))
+    rows.write.format(form).options(**kafka_options(stream)).option("topic", topic).save()
+
+
+class LogStream:
+    """Sends a table's change log through a stream: every tick delivers all log files that came since, from the executors, at least once.
+
+    The stream's checkpoint lies in the table's folder, so the position outlives the process.
+    """
+
+    def __init__(self, spark: SparkSession, table: Table, asset: str, stream: Stream, write: Callable[[DataFrame, Stream, str], None] = write_kafka) -> None:
+        self.spark, self.table, self.stream, self.write = spark, table, stream, write
+        self.topic = stream.config.get("topic") or f"cdc.{asset}"
+        self.checkpoint = f"{table.path}/cursor-{stream.type}-{abs(hash_text(stream.relay_endpoint)):x}"
+
+    def tick(self) -> int:
+        """The number of events sent."""
+        m = self.table.manifest()
+        if m is None or not m.logs:
+            return 0
+        sent: list[int] = []
+
+        def deliver(df: DataFrame, _: int) -> None:
+            df = df.persist()
+            sent.append(df.count())
+            self.write(df, self.stream, self.topic)
+            df.unpersist()
+
+        dispatch_stream(log_stream(self.spark, self.table), deliver, self.checkpoint).awaitTermination()
+        return sum(sent)
+
+
+def dispatcher(spark: SparkSession, table: Table, asset: str, stream: Stream) -> Dispatcher | LogStream:
+    """What delivers a stream: Spark itself to Kafka, batches from the driver to all other sinks; an unknown kind is an error."""
+    return LogStream(spark, table, asset, stream) if stream.type == "kafka" else Dispatcher(table, asset, stream)
 
 
 class Dispatcher:

@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
+from weirflow.operators.tables import Files
 from weirflow.plans.pipeline import Runner
 from weirflow.plans.spec import Sensor
 from weirflow.registry import triggers
 from weirflow.sources.discovery import Cursor, local_files, object_files
-from weirflow.streaming.dispatch import Dispatcher
+from weirflow.streaming.dispatch import Dispatcher, LogStream, dispatcher
 
 
 @dataclass
@@ -86,6 +87,15 @@ class Trigger:
     def next_due(self, now: float) -> float:
         return now + self.sensor.interval
 
+    def done(self) -> None:
+        """Called once all that the last tick asked for was run."""
+
+    def keeper(self) -> Callable[..., str | None]:
+        """Where the trigger's state outlives the process: a file of the table store."""
+        at = f"{self.runner.store.root}/_state/{self.sensor.type}-{self.sensor.name}.json"
+        files = Files(self.runner.spark, self.runner.store.root)
+        return lambda *text: files.replace(at, text[0]) if text else files.read(at)
+
     def _run(self, **kwargs: Any) -> Request:
         return Request(self.sensor.target, tags={"sensor": self.sensor.name}, **kwargs)
 
@@ -121,11 +131,11 @@ class ApiPolling(Trigger):
 
 @triggers.register("file_drop")
 class FileDrop(Trigger):
-    """One run per new or changed file, whose path is the partition."""
+    """One run per new or changed file, whose path is the partition. Files that were run are known after a restart."""
 
     def __init__(self, sensor: Sensor, runner: Runner, keep: Callable[[str], bool] | None = None) -> None:
         super().__init__(sensor, runner)
-        self.cursor, self.keep = Cursor(), keep
+        self.cursor, self.keep = Cursor(keep=self.keeper()), keep
 
     def found(self) -> list[tuple[str, dict[str, Any]]]:
         c = self.sensor.config
@@ -139,12 +149,15 @@ class FileDrop(Trigger):
             return Tick(skipped="no new file")
         return Tick([self._run(partition_key=p, key=f"{p}@{sorted(self.cursor.seen[p].items())}") for p in fresh])
 
+    def done(self) -> None:
+        self.cursor.commit()
+
 
 @triggers.register("cdc")
 class Changes(Trigger):
     """Sends pending changes; asks for no run."""
 
-    def __init__(self, sensor: Sensor, runner: Runner, dispatcher: Dispatcher | None = None) -> None:
+    def __init__(self, sensor: Sensor, runner: Runner, dispatcher: Dispatcher | LogStream | None = None) -> None:
         super().__init__(sensor, runner)
         self.dispatcher = dispatcher
 
@@ -155,11 +168,15 @@ class Changes(Trigger):
 
 @triggers.register("event")
 class Finished(Trigger):
-    """A run after each write of the watched asset."""
+    """A run after each write of the watched asset. The version that was run for is known after a restart."""
 
     def __init__(self, sensor: Sensor, runner: Runner) -> None:
         super().__init__(sensor, runner)
-        self.seen = 0
+        self.keep = self.keeper()
+        self.seen = int(self.keep() or 0)
+
+    def done(self) -> None:
+        self.keep(str(self.seen))
 
     def _version(self) -> int:
         name = self.sensor.config.get("asset") or self.sensor.config.get("upstream")
@@ -196,10 +213,7 @@ class Service:
             for st in a.streams:
                 table = runner.store.table(a.source.get("table", a.name))
                 sensor = Sensor(f"cdc_{a.name}_{st.type}", "cdc", interval=st.config.get("poll_interval_seconds", 10))
-                try:
-                    self.triggers.append(Changes(sensor, runner, Dispatcher(table, a.name, st)))
-                except ValueError:
-                    continue  # a sink that Spark writes to itself
+                self.triggers.append(Changes(sensor, runner, dispatcher(runner.spark, table, a.name, st)))
         self.made: set[str] = set()
 
     def step(self, now: float | None = None) -> list[tuple[str, Tick]]:
@@ -217,4 +231,6 @@ class Service:
                     self.runner.run_job(r.target, r.partition_key, r.tags)
                     if r.key:
                         self.made.add(r.key)
+            if tick.requests:
+                t.done()
         return out
