@@ -14,7 +14,7 @@ COLS = [Declared("k", "int", key=True), Declared("v", "string")]
 
 @pytest.fixture
 def table(spark, tmp_path):
-    return Table(spark, f"file://{tmp_path}/t", buckets=4)
+    return Table(spark, f"file://{tmp_path}/t")
 
 
 def load(spark, rows, schema="k long, v string"):
@@ -54,6 +54,63 @@ def test_incremental(spark, table):
     assert len(rows) == 23 and (4, "a") in rows and (4, "b") in rows and (60, "q") in rows and (60, "p") not in rows
 
 
+def files_of(table):
+    from pathlib import Path
+
+    return {p: p.stat().st_mtime_ns for p in Path(table.path.removeprefix("file://")).rglob("*.parquet")}
+
+
+def test_a_small_upsert_writes_little(spark, table):
+    merge = Model("incremental", ["k"], "merge")
+    table.materialize(spark.range(1_000_000).selectExpr("id AS k", "cast(id AS string) AS v"), merge, COLS, now=T0)
+    before = files_of(table)
+    table.materialize(spark.range(64).selectExpr("id * 15000 AS k", "'new' AS v"), merge, COLS, now=T0)
+    after = files_of(table)
+    assert {p: t for p, t in after.items() if p in before} == before
+    assert sum(p.stat().st_size for p in after.keys() - before.keys()) < 0.01 * sum(p.stat().st_size for p in before)
+    m = table.manifest()
+    assert (m.rows, m.gone_rows) == (1_000_064, 64)
+    assert table.read().count() == 1_000_000 and table.read().filter("v = 'new'").count() == 64
+
+
+def test_closed_versions_are_not_written_again(spark, tmp_path):
+    table = Table(spark, f"file://{tmp_path}/h", loose=0.6)
+    model = Model("snapshot", ["k"], strategy="check", check_cols=["v"])
+    for step in range(3):
+        before = files_of(table)
+        table.materialize(load(spark, [(k, str(step if k < 5 else 0)) for k in range(100)]), model, now=T0 + dt.timedelta(days=step))
+        assert all(files_of(table)[p] == t for p, t in before.items())
+    m = table.manifest()
+    assert (len(m.data), len(m.closed), m.gone_rows) == (3, 2, 10)
+    rows = table.read()
+    assert rows.count() == 110 and rows.filter("is_current").count() == 100
+
+
+def test_compaction(spark, tmp_path):
+    table = Table(spark, f"file://{tmp_path}/c", loose=0.3)
+    merge = Model("incremental", ["k"], "merge")
+    for step in range(4):
+        table.materialize(load(spark, [(k, f"{step}") for k in range(step, 10)]), merge, now=T0)
+        assert dict(got(table.read())) == {k: str(min(k, step)) for k in range(10)}
+        m = table.manifest()
+        assert m.gone_rows <= 0.3 * m.rows and m.rows - m.gone_rows == 10
+    table.vacuum()
+    assert dict(got(table.read())) == {k: str(min(k, 3)) for k in range(10)}
+
+
+def test_repeated_keys_of_a_merge_need_an_order(spark, table):
+    merge = Model("incremental", ["k"], "merge")
+    table.materialize(load(spark, [(1, "a")]), merge, now=T0)
+    batch = load(spark, [(1, "x"), (2, "p"), (1, "z"), (1, "y")])
+    with pytest.raises(ValueError, match="without order"):
+        table.materialize(batch.repartition(3), merge, now=T0)
+    assert got(table.read()) == [(1, "a")]
+    table.materialize(batch.repartition(3).orderBy("v"), merge, now=T0)
+    assert got(table.read()) == [(1, "z"), (2, "p")]
+    table.materialize(batch.repartition(3), Model("incremental", ["k"], "merge", updated_at="v"), now=T0)
+    assert got(table.read()) == [(1, "z"), (2, "p")]
+
+
 def test_composite_keys(spark):
     a = load(spark, [(1, "x", 1), (1, "y", 2), (None, "x", 3)], "a int, b string, n int")
     b = load(spark, [(1, "y", 9), (2, "x", 4)], "a int, b string, n int")
@@ -65,7 +122,7 @@ def test_composite_keys(spark):
 @pytest.mark.parametrize("strategy", ["check", "timestamp"])
 def test_history_against_a_row_by_row_model(spark, tmp_path, strategy, hard):
     r = random.Random(f"{hard}{strategy}")
-    table = Table(spark, f"file://{tmp_path}/h", buckets=3)
+    table = Table(spark, f"file://{tmp_path}/h")
     model = Model("snapshot", ["a", "b"], strategy=strategy, updated_at="at", check_cols=["v"], hard_deletes=hard)
     want: list[dict] = []
     for step in range(4):
@@ -93,7 +150,7 @@ def test_history_against_a_row_by_row_model(spark, tmp_path, strategy, hard):
 
 def test_schema_policies(spark, tmp_path):
     def fresh(policy):
-        t = Table(spark, f"file://{tmp_path}/{policy}", buckets=2)
+        t = Table(spark, f"file://{tmp_path}/{policy}")
         t.materialize(load(spark, [(1, "a", 1)], "k long, v string, n long"), Model("incremental", on_schema_change=policy), now=T0)
         return t, load(spark, [(2, 7, "w")], "k long, v long, extra string"), Model("incremental", on_schema_change=policy)
 

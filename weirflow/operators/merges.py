@@ -13,6 +13,24 @@ from weirflow.operators.changes import keys_match
 SYSTEM = ["valid_from", "valid_to", "is_current", "is_deleted"]
 
 
+_PASSING = ("Project", "Filter", "SubqueryAlias", "LocalLimit", "GlobalLimit", "Generate", "View")
+_LEAVES = ("Relation", "LogicalRDD", "LocalRelation", "Range", "LogicalQueryStage", "CollectMetrics")
+
+
+def ordered(df: DataFrame) -> bool:
+    """Whether rows come in an order of their own: sorted, or as a source gives them, with nothing between that shuffles."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        name = plan.nodeName()
+        if name == "Sort":
+            return bool(getattr(plan, "global")())
+        if name.startswith(_LEAVES) or not plan.children().size():
+            return True
+        if name not in _PASSING or plan.children().size() != 1:
+            return False
+        plan = plan.children().apply(0)
+
+
 def last_per_key(batch: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """The last row of each key; in reading order where no order is given."""
     df = batch.withColumn("_wf_o", F.monotonically_increasing_id())
@@ -48,14 +66,19 @@ def versioned(
     check_cols: list[str] | str | None = None,
     hard_deletes: str = "ignore",
     tombstones: bool = False,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """The history after a full batch: one outer join of the current versions with the batch.
 
+    carry: columns of the target that aren't its data (positions). Then only what changes is given: closed versions
+    with these columns of the version they end, and new ones without.
+
     strategy "check": changed if any checked column differs (all columns but keys for "all"); "timestamp": changed if
     ``updated_at`` is later. Keys that the batch lacks stay ("ignore"), are closed and marked ("invalidate"), or closed only
     ("new_record"; with ``tombstones`` a deleted version is added). A key without current version is new. The batch must hold each key once.
     """
-    columns = [c for c in target.columns if c not in SYSTEM]
+    extra = carry or []
+    columns = [c for c in target.columns if c not in (*SYSTEM, *extra)]
     rest = [c for c in columns if c not in keys]
     history = target.filter(~F.col("is_current"))
     o = target.filter("is_current").withColumn("_wf_here", F.lit(True)).alias("o")
@@ -73,16 +96,19 @@ def versioned(
     closes = changed | gone
     moment = F.lit(now).cast("timestamp")
 
-    def version(side: str, start: Column, end: Column, current: Column, deleted: Column) -> Column:
+    def version(side: str, start: Column, end: Column, current: Column, deleted: Column, not_tomb: bool = True) -> Column:
         data = [F.col(f"{side}.`{c}`").alias(c) for c in columns]
-        return F.struct(*data, start.alias("valid_from"), end.alias("valid_to"), current.alias("is_current"), deleted.alias("is_deleted"))
+        more = [(F.col(f"o.`{c}`") if side == "o" and not_tomb else F.lit(None).cast(target.schema[c].dataType)).alias(c) for c in extra]
+        return F.struct(*data, start.alias("valid_from"), end.alias("valid_to"), current.alias("is_current"), deleted.alias("is_deleted"), *more)
 
     kept = version("o", F.col("o.valid_from"), F.when(closes, moment).otherwise(F.col("o.valid_to")), ~closes, F.col("o.is_deleted") | (gone & F.lit(hard_deletes == "invalidate")))
     fresh = version("n", moment, F.lit(None).cast("timestamp"), F.lit(True), F.lit(False))
-    parts = [F.when(has, kept), F.when((~has & hit) | changed, fresh)]
+    parts = [F.when(closes if carry else has, kept), F.when((~has & hit) | changed, fresh)]
     if tombstones and hard_deletes == "new_record":
-        parts.append(F.when(gone, version("o", moment, F.lit(None).cast("timestamp"), F.lit(True), F.lit(True))))
+        parts.append(F.when(gone, version("o", moment, F.lit(None).cast("timestamp"), F.lit(True), F.lit(True), False)))
     rows = o.join(n, keys_match("o", "n", keys), "full_outer").select(F.explode(F.array_compact(F.array(*parts))).alias("v")).select("v.*")
+    if carry:
+        return rows
     return history.select(*columns, *SYSTEM).unionByName(rows.select(*columns, *SYSTEM))
 
 

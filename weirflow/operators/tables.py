@@ -1,8 +1,15 @@
 """Tables in a folder: immutable data folders and a manifest that names the current ones.
 
 A write stages its data beside the current data and ends with one rename of the manifest. Readers see the state before or
-after it, change log included, and a write that fails leaves only a folder that nobody names. Keyed tables keep their
-rows in buckets of the key's hash; upserts rewrite only the buckets that the batch touches.
+after it, change log included, and a write that fails leaves only a folder that nobody names.
+
+Nothing that stays is written again. An upsert adds the rows of the batch and, for the rows they replace, the positions (file
+and row in it), which readers leave out; to find them only the key columns of the table are read, and of these only the files and row
+groups whose range meets the batch's. A history adds the closed versions and the new ones: closed versions lie apart from the open
+ones, so a snapshot reads open versions only, and each closed row carries the position of the open row that it ends.
+Once the positions left out pass a quarter of the rows, the write compacts them away.
+
+A batch is evaluated once, as it is staged; its checks read the staged key columns and the counts taken while writing.
 """
 
 from __future__ import annotations
@@ -13,15 +20,19 @@ from dataclasses import asdict, dataclass, field
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.operators.changes import compute_changes
-from weirflow.operators.merges import SYSTEM, merged, opened, repeated_keys, replaced, versioned
+from weirflow.operators.merges import SYSTEM, opened, ordered, repeated_keys, versioned
 from weirflow.plans.projection import Declared
 
-BUCKET = "_wf_bucket"
+FILE, ROW = "_wf_file", "_wf_row"
+#: Positions left out up to which they go to all executors at once (some 100 bytes each); beyond, they are joined by shuffling.
+HELD_POSITIONS = 1_000_000
+#: Share of a table's rows that may be left out before it is compacted.
+LOOSE = 0.25
 LOG_SCHEMA = "id long, asset_name string, op string, pk string, before_data string, after_data string, run_id string, captured_at timestamp"
 
 
@@ -71,13 +82,16 @@ class Files:
 
 @dataclass
 class Manifest:
-    """What a table is now. whole: folders that hold rows of any bucket; buckets: the folders of each bucket."""
+    """What a table is now. data, closed: folders of rows (of a history: open and closed versions); gone: folders of positions that no longer count."""
 
     schema: str
     keys: list[str] = field(default_factory=list)
     not_null: list[str] = field(default_factory=list)
-    whole: list[str] = field(default_factory=list)
-    buckets: dict[str, list[str]] = field(default_factory=dict)
+    data: list[str] = field(default_factory=list)
+    closed: list[str] = field(default_factory=list)
+    gone: list[str] = field(default_factory=list)
+    rows: int = 0
+    gone_rows: int = 0
     logs: list[str] = field(default_factory=list)
     next_id: int = 1
     version: int = 0
@@ -143,8 +157,8 @@ class Drift:
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, loose: float = LOOSE) -> None:
+        self.spark, self.path, self.loose = spark, path.rstrip("/"), loose
         self.files = Files(spark, self.path)
 
     # --- state
@@ -160,12 +174,26 @@ class Table:
         m.version += 1
         self.files.replace(f"{self.path}/manifest.json", json.dumps(asdict(m)))
 
-    def _rows(self, m: Manifest, only: set[str] | None = None) -> DataFrame:
+    def _folder(self, names: list[str], schema: Any = None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        return reader.parquet(*[f"{self.path}/{f}" for f in names])
+
+    def _rows(self, m: Manifest, closed: bool = True, positions: bool = False) -> DataFrame:
+        """The rows that count. closed: with the closed versions of a history; positions: with the file and row of each."""
         schema = T.StructType.fromJson(json.loads(m.schema))
-        folders = [*m.whole, *[f for b, fs in m.buckets.items() if only is None or b in only for f in fs]]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
+        if not m.data and not (closed and m.closed):
+            out = self.spark.createDataFrame([], schema)
+            return out.withColumns({FILE: F.lit(""), ROW: F.lit(0).cast("long")}) if positions else out
+        open_rows = self._folder(m.data, schema) if m.data else self.spark.createDataFrame([], schema)
+        if positions or m.gone:
+            open_rows = open_rows.withColumns({FILE: F.col("_metadata.file_name"), ROW: F.col("_metadata.row_index")}) if m.data else open_rows.withColumns({FILE: F.lit(""), ROW: F.lit(0).cast("long")})
+        if m.gone:
+            left_out = self._folder(m.gone, f"{FILE} string, {ROW} long").filter(F.col(FILE).isNotNull())
+            open_rows = open_rows.join(F.broadcast(left_out) if m.gone_rows <= HELD_POSITIONS else left_out, [FILE, ROW], "left_anti")
+            open_rows = open_rows if positions else open_rows.drop(FILE, ROW)
+        if not closed or not m.closed:
+            return open_rows.select(*[f"`{f.name}`" for f in schema.fields], *([FILE, ROW] if positions else []))
+        return open_rows.select(*[f"`{f.name}`" for f in schema.fields]).unionByName(self._folder(m.closed, schema))
 
     def read(self) -> DataFrame:
         m = self.manifest()
@@ -218,7 +246,8 @@ class Table:
                 # rows are rewritten under their new types; columns are never dropped
                 rows = self._rows(m).select(*[F.col(f"`{f.name}`").try_cast(want[f.name].dataType).alias(f.name) if f.name in d.retyped else F.col(f"`{f.name}`") for f in fields])
                 fields = [T.StructField(f.name, want[f.name].dataType) if f.name in d.retyped else f for f in fields]
-                m.whole, m.buckets = [self._stage(rows)], {}
+                name, n = self._stage(rows)
+                self._replace(m, name, n)
             m.keys = [x.name for x in declared if x.key]
             m.not_null = [x.name for x in declared if x.key or not x.nullable]
         elif d.retyped:
@@ -229,33 +258,63 @@ class Table:
 
     # --- writing
 
-    def _stage(self, df: DataFrame) -> str:
+    def _stage(self, df: DataFrame, **counts: Column) -> tuple[str, int]:
+        """Write df once; its folder and number of rows. counts: what else is counted while writing, kept in ``self.counted``."""
         name = f"data-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        return name
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("_wf_rows"), *[c.alias(n) for n, c in counts.items()]).write.parquet(f"{self.path}/{name}")
+        self.counted = dict(seen.get)
+        return name, self.counted["_wf_rows"]
 
-    def _bucket_of(self, keys: list[str]):  # noqa: ANN202
-        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(self.buckets)).cast("string")
+    @staticmethod
+    def _replace(m: Manifest, name: str, rows: int) -> None:
+        m.data, m.closed, m.gone, m.rows, m.gone_rows = [name], [], [], rows, 0
 
-    def _stage_buckets(self, df: DataFrame, keys: list[str], buckets: set[str]) -> dict[str, list[str]]:
-        name = f"data-{uuid.uuid4().hex}"
-        df.withColumn(BUCKET, self._bucket_of(keys)).write.partitionBy(BUCKET).parquet(f"{self.path}/{name}")
-        return {b: [f"{name}/{BUCKET}={b}"] for b in buckets if self.files.exists(f"{self.path}/{name}/{BUCKET}={b}")}
-
-    def _into_buckets(self, m: Manifest, keys: list[str]) -> None:
-        """Rows written without buckets (a first load, appends) are spread once."""
-        if m.whole:
-            every = {str(b) for b in range(self.buckets)}
-            m.buckets, m.whole = self._stage_buckets(self._rows(m), keys, every), []
-
-    def _refuse(self, batch: DataFrame, keys: list[str], not_null: list[str]) -> None:
-        if keys and repeated_keys(batch, keys).limit(1).count():
-            raise ValueError(f"repeated keys ({', '.join(keys)}) in {self.path}")
+    def _stage_batch(self, batch: DataFrame, not_null: list[str]) -> tuple[str, int]:
+        """Stage a batch and refuse it if it has nulls where none may be."""
         nulls = [n for n in not_null if n in batch.columns]
-        if nulls:
-            bad = batch.agg(*[F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in nulls]).first()
-            if wrong := [n for n in nulls if bad[n]]:
-                raise ValueError(f"nulls in {', '.join(wrong)} of {self.path}")
+        name, rows = self._stage(batch, **{f"_wf_null_{i}": F.count_if(F.col(f"`{n}`").isNull()) for i, n in enumerate(nulls)})
+        if wrong := [n for i, n in enumerate(nulls) if self.counted[f"_wf_null_{i}"]]:
+            self.files.remove(f"{self.path}/{name}")
+            raise ValueError(f"nulls in {', '.join(wrong)} of {self.path}")
+        return name, rows
+
+    def _refuse_repeats(self, name: str, keys: list[str], what: str = "") -> None:
+        """Refuse a staged batch with repeated keys; only its key columns are read."""
+        if keys and repeated_keys(self._folder([name]).select(*[f"`{k}`" for k in keys]), keys).limit(1).count():
+            self.files.remove(f"{self.path}/{name}")
+            raise ValueError(f"repeated keys ({', '.join(keys)}) in {what}{self.path}")
+
+    def _meeting(self, rows: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+        """rows within the span of the batch's first key, which the scan can use to leave out files and row groups."""
+        k = f"`{keys[0]}`"
+        if rows.schema[keys[0]].dataType != batch.schema[keys[0]].dataType or isinstance(rows.schema[keys[0]].dataType, (T.BinaryType, T.BooleanType, T.StructType, T.ArrayType, T.MapType)):
+            return rows
+        low, high = batch.agg(F.min(k), F.max(k)).first()
+        return rows.filter(F.col(k).between(F.lit(low), F.lit(high))) if low is not None else rows.filter(F.lit(False))
+
+    def _leave_out(self, m: Manifest, positions: DataFrame) -> None:
+        name, n = self._stage(positions.select(FILE, ROW))
+        if n:
+            m.gone.append(name)
+            m.gone_rows += n
+        else:
+            self.files.remove(f"{self.path}/{name}")
+
+    def _last_of_repeats(self, name: str, keys: list[str], updated_at: str | None) -> DataFrame:
+        """Positions of the rows of a staged batch that a later one of the same key replaces: by ``updated_at``, else in the order of the batch."""
+        columns = [*keys, *([updated_at] if updated_at and updated_at not in keys else [])]
+        rows = self._folder([name]).select(*[f"`{c}`" for c in columns], F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        order = [F.col(f"`{updated_at}`").desc_nulls_last()] if updated_at else []
+        n = F.row_number().over(Window.partitionBy(*[f"`{k}`" for k in keys]).orderBy(*order, F.col(FILE).desc(), F.col(ROW).desc()))
+        return rows.withColumn("_wf_n", n).filter("_wf_n > 1").select(FILE, ROW)
+
+    def _compact(self, m: Manifest) -> None:
+        """Write the rows that count anew once too many don't."""
+        if m.gone and m.gone_rows > self.loose * max(1, m.rows):
+            closed, m.closed = m.closed, []
+            name, _ = self._stage(self._rows(m))
+            m.data, m.closed, m.gone, m.rows, m.gone_rows = [name], closed, [], m.rows - m.gone_rows, 0
 
     def _log(self, m: Manifest, new: DataFrame, old: DataFrame | None, keys: list[str], asset: str, run_id: str, now: datetime) -> None:
         """Stage the changes with ids that go on from the last: dense within the write, in the order of the key."""
@@ -284,7 +343,8 @@ class Table:
         """Write a batch as the model says. Gives rows_loaded, table_created, schema_updated, materialization_type.
 
         track: the change log gets the differences between the states before and after; ``insert_only`` logs every row of
-        the batch as an insert instead.
+        the batch as an insert instead. Of repeated keys in a merge the last row by ``updated_at`` counts; without it the last
+        of the batch, if the batch has an order (sorted, or as read from files), else they are refused.
         """
         declared = declared or []
         m = self.manifest()
@@ -292,68 +352,91 @@ class Table:
         snapshot = model.materialization == "snapshot"
         declared_keys = [d.name for d in declared if d.key]
         not_null = [d.name for d in declared if d.key or not d.nullable]
-        before = None if created else self._rows(m)
+        before = None if created else self._rows(Manifest(**asdict(m)))
+        schema_before = m.schema if m else ""
         if created:
-            fields = batch.schema.fields
             extra = opened(batch.limit(0), now).schema.fields[-len(SYSTEM) :] if snapshot else []
-            m = Manifest(schema=T.StructType([T.StructField(f.name, f.dataType) for f in [*fields, *extra]]).json(), keys=[] if snapshot else declared_keys, not_null=not_null)
+            m = Manifest(schema=T.StructType([T.StructField(f.name, f.dataType) for f in [*batch.schema.fields, *extra]]).json(), keys=[] if snapshot else declared_keys, not_null=not_null)
             schema_before = m.schema
+        elif model.materialization == "table":
+            m.schema, m.keys, m.not_null = T.StructType([T.StructField(f.name, f.dataType) for f in batch.schema.fields]).json(), declared_keys, not_null
         else:
-            schema_before = m.schema
-            if model.materialization == "table":
-                m.schema, m.keys, m.not_null = T.StructType([T.StructField(f.name, f.dataType) for f in batch.schema.fields]).json(), declared_keys, not_null
-            else:
-                batch = self._evolve(m, batch, declared, model)
-        self._refuse(batch, m.keys if model.materialization == "table" or (created and not snapshot) else [], m.not_null)
+            batch = self._evolve(m, batch, declared, model)
+        target = T.StructType.fromJson(json.loads(m.schema))
+        shown = batch.select(*[f"`{f.name}`" for f in target.fields if f.name in batch.columns])
         keys = model.unique_key
-        target_columns = [f.name for f in T.StructType.fromJson(json.loads(m.schema)).fields]
+        has_order = ordered(shown)
+        name, loaded = self._stage_batch(opened(shown, now) if created and snapshot else shown, m.not_null)
+        staged = self._folder([name])
+        touched: tuple[DataFrame, DataFrame] | None = None
         if model.materialization == "table":
-            m.whole, m.buckets = [self._stage(batch)], {}
+            self._refuse_repeats(name, m.keys)
+            self._replace(m, name, loaded)
         elif snapshot:
-            if repeated_keys(batch, keys).limit(1).count():
-                raise ValueError(f"repeated keys ({', '.join(keys)}) in a snapshot of {self.path}")
-            self._snapshot(m, batch, model, now, created)
-        elif created or model.incremental_strategy == "append":
-            if not created and m.keys:
-                clash = batch.join(self._rows(m).select(*m.keys), m.keys, "left_semi").limit(1).count()
-                if clash or repeated_keys(batch, m.keys).limit(1).count():
-                    raise ValueError(f"repeated keys ({', '.join(m.keys)}) in {self.path}")
-            m.whole.append(self._stage(batch.select(*[c for c in target_columns if c in batch.columns])))
+            self._refuse_repeats(name, keys, "a snapshot of ")
+            if created:
+                self._replace(m, name, loaded)
+            else:
+                self._snapshot(m, staged, model, now)
         else:
-            self._into_buckets(m, keys)
-            touched = {r[0] for r in batch.select(self._bucket_of(keys)).distinct().collect()}  # at most the number of buckets
-            current = self._rows(m, touched).filter(self._bucket_of(keys).isin(list(touched)) if touched else F.lit(False))
-            after = (merged if model.incremental_strategy == "merge" else replaced)(current, batch, keys)
-            m.buckets = {b: f for b, f in m.buckets.items() if b not in touched} | self._stage_buckets(after, keys, touched)
+            old = None if created else self._rows(m, positions=True)
+            if created or model.incremental_strategy == "append":
+                self._refuse_repeats(name, m.keys)
+                if not created and m.keys:
+                    clash = self._meeting(old.select(*m.keys), staged, m.keys).join(staged.select(*m.keys), m.keys, "left_semi")
+                    if clash.limit(1).count():
+                        self.files.remove(f"{self.path}/{name}")
+                        raise ValueError(f"repeated keys ({', '.join(m.keys)}) in {self.path}")
+            else:
+                wanted = staged.select(*[f"`{k}`" for k in keys])
+                if model.incremental_strategy == "merge" and repeated_keys(wanted, keys).limit(1).count():
+                    if not model.updated_at and not has_order:
+                        self.files.remove(f"{self.path}/{name}")
+                        raise ValueError(f"repeated keys ({', '.join(keys)}) in a batch without order for {self.path}: sort it or give updated_at")
+                    self._leave_out(m, self._last_of_repeats(name, keys, model.updated_at))
+                hits = self._meeting(old, staged, keys).join(wanted.distinct(), keys, "left_semi")
+                if track and not insert_only and sorted(declared_keys or batch.columns[:1]) == sorted(keys):
+                    one = Manifest(m.schema, data=[name], gone=m.gone, gone_rows=m.gone_rows)
+                    touched = (self._rows(one), hits.drop(FILE, ROW))
+                self._leave_out(m, hits)
+            m.data.append(name)
+            m.rows += loaded
         if track:
             log_keys = declared_keys or batch.columns[:1]
             if insert_only:
-                self._log(m, batch, None, log_keys, asset, run_id, now)
+                self._log(m, self._folder([name]).drop(*SYSTEM), None, log_keys, asset, run_id, now)
+            elif touched:
+                self._log(m, *touched, log_keys, asset, run_id, now)
             else:
-                shown = [c for c in target_columns if c not in SYSTEM]
-                live = self._rows(m).filter("is_current").select(*shown) if snapshot else self._rows(m)
+                columns = [f.name for f in target.fields if f.name not in SYSTEM]
+                live = self._rows(m, closed=False).select(*columns) if snapshot else self._rows(m)
                 was = before.filter("is_current").drop(*SYSTEM) if before is not None and snapshot else before
                 self._log(m, live, was, log_keys, asset, run_id, now)
-        loaded = batch.count()
+        self._compact(m)
         self._commit(m)
         return {"rows_loaded": loaded, "table_created": created, "schema_updated": m.schema != schema_before, "materialization_type": model.materialization}
 
-    def _snapshot(self, m: Manifest, batch: DataFrame, model: Model, now: datetime, created: bool) -> None:
-        keys = model.unique_key
-        if created:
-            m.buckets = self._stage_buckets(opened(batch, now), keys, {str(b) for b in range(self.buckets)})
-            return
-        self._into_buckets(m, keys)
-        every = {str(b) for b in range(self.buckets)}
-        touched = every if model.hard_deletes != "ignore" else {r[0] for r in batch.select(self._bucket_of(keys)).distinct().collect()}
-        current = self._rows(m, touched)
-        after = versioned(current, batch, keys, now, model.strategy, model.updated_at, model.check_cols, model.hard_deletes)
-        m.buckets = {b: f for b, f in m.buckets.items() if b not in touched} | self._stage_buckets(after, keys, touched)
+    def _snapshot(self, m: Manifest, batch: DataFrame, model: Model, now: datetime) -> None:
+        """Add what a full batch closes and opens; versions that stay aren't touched."""
+        open_rows = self._rows(m, closed=False, positions=True)
+        changed = versioned(open_rows, batch, model.unique_key, now, model.strategy, model.updated_at, model.check_cols, model.hard_deletes, carry=[FILE, ROW])
+        name = f"data-{uuid.uuid4().hex}"
+        seen = Observation(name)
+        counted = changed.observe(seen, F.count(F.lit(1)).alias("n"), F.count(FILE).alias("closed"))
+        counted.withColumn("kind", F.when(F.col(FILE).isNull(), "open").otherwise("closed")).write.partitionBy("kind").parquet(f"{self.path}/{name}")
+        n = seen.get
+        if n["closed"]:
+            m.closed.append(f"{name}/kind=closed")
+            m.gone.append(f"{name}/kind=closed")
+            m.gone_rows += n["closed"]
+        if n["n"] > n["closed"]:
+            m.data.append(f"{name}/kind=open")
+        m.rows += n["n"]
 
     def vacuum(self) -> int:
         """Remove data and log folders that the manifest doesn't name (left by failed or past writes)."""
         m = self.manifest()
-        named = {f.split("/")[0] for f in [*m.whole, *[x for fs in m.buckets.values() for x in fs], *m.logs]}
+        named = {f.split("/")[0] for f in [*m.data, *m.closed, *m.gone, *m.logs]}
         gone = 0
         for s in self.files._fs.listStatus(self.files._path(self.path)):
             name = s.getPath().getName()
@@ -369,8 +452,8 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def table(self, name: str, buckets: int = 16) -> Table:
+    def table(self, name: str) -> Table:
         parts = name.split(".")
         if not all(p.replace("_", "").isalnum() for p in parts):
             raise ValueError(f"odd table name '{name}'")
-        return Table(self.spark, "/".join([self.root, *parts]), buckets)
+        return Table(self.spark, "/".join([self.root, *parts]))
