@@ -104,6 +104,31 @@ def test_encoding_is_each_files_own_and_of_all_its_bytes(spark, tmp_path):
     assert read_file(spark, str(tmp_path / "s.txt"), Format("f", "csv", {"skip_header": 1})).first()["v"] == "été"
 
 
+def test_line_breaks_in_quotes_and_headers_of_their_own(spark, tmp_path):
+    from weirflow.sources.files import csv_files, read_csv
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('k,v\n1,"two\nlines, and ""quotes"""\n2,plain\n')
+    (folder / "b.csv").write_text("v,k\nother order,3\n")
+    (folder / "c.csv").write_text("k,v,more\n4,x,yy\n")
+    df = read_csv(spark, str(folder), span=7)
+    assert [tuple(r) for r in df.orderBy("k").collect()] == [
+        (1, 'two\nlines, and "quotes"', None, "a.csv"), (2, "plain", None, "a.csv"), (3, "other order", None, "b.csv"), (4, "x", "yy", "c.csv"),
+    ]
+    assert [f.breaks for f in csv_files(spark, str(folder))] == [True, False, False]
+    plain = tmp_path / "plain.csv"
+    plain.write_text("k,v\n" + "".join(f"{i},x\n" for i in range(1000)))
+    assert read_csv(spark, str(plain)).count() == 1000
+    skipped = tmp_path / "s.csv"
+    skipped.write_text('made by "us\nk,v\n1,"a\nb"\n')
+    assert [tuple(r)[:2] for r in read_csv(spark, str(skipped), {"skip_header": 1}).collect()] == [(1, "a\nb")]
+    (tmp_path / "open.csv").write_text('k,v\n1,"never closed\n2,x\n')
+    assert read_csv(spark, str(tmp_path / "open.csv")).count() == 1  # as any reader takes it: one record to the end
+    with pytest.raises(ValueError, match="skipped"):
+        read_csv(spark, str(skipped), {"skip_header": 1, "delimiter": "||"})
+
+
 def test_json_and_parquet(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"k": 1}, {"k": 2}]))
     assert [tuple(r) for r in read_file(spark, str(tmp_path / "a.json")).orderBy("k").collect()] == [(1, "a.json"), (2, "a.json")]

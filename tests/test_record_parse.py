@@ -65,7 +65,12 @@ def plain_fields(line, sep):
 def test_tokens_against_a_plain_scan():
     r = random.Random(5)
     lines = ["".join(r.choice('ab",,;\n é"') for _ in range(r.randint(0, 14))) for _ in range(4000)]
-    fields, error = tokenize(pa.array(lines), pa.array([","] * len(lines)), chunk=16)
+    fields, starts, error = tokenize(pa.array(lines), pa.array([","] * len(lines)), chunk=16)
+    for line, f, at in zip(lines, fields.to_pylist(), starts.to_pylist()):
+        data = line.encode()
+        assert len(at) == len(f) + 1 and at[0] == 0 and at[-1] == len(data) + 1 or '"' in line
+        if '"' not in line:
+            assert [data[a : b - 1].decode() for a, b in zip(at, at[1:])] == f
     for line, f, e in zip(lines, fields.to_pylist(), error):
         want = plain_fields(line, ",")
         assert (e >= 0) == (want is None), line
@@ -106,7 +111,9 @@ def test_reasons_and_types(spark):
     assert (got[3]["txn_id"], got[3]["amount"], got[3]["txn_date"], got[3]["category"]) == ("T,2", 7.0, None, 'a "b" c')
     assert got[9]["category"] is None and got[10]["category"] == "line\nbreak"
     assert got[4]["txn_id"] is None and got[4]["error_at"] == len('T3,"A,1.5,2026-02-01,x')
-    assert got[14]["error_at"] == 7
+    assert got[14]["error_at"] == 7 and got[13]["error_at"] == 7
+    assert got[5]["error_at"] == len("T4,A,1.5,2026-02-01") and got[6]["error_at"] == got[7]["error_at"] == 5 and got[8]["error_at"] == 7
+    assert got[2]["error_at"] is None
 
 
 def test_column_order_separator_and_null_file_names(spark):
@@ -137,3 +144,21 @@ def test_raw_files_in_ranges(spark, tmp_path, span):
     got = tokenize_ranges(spark, [(str(path), path.stat().st_size)], span=span).orderBy("start").collect()
     assert [r["raw"] for r in got] == records
     assert tokenize_ranges(spark, [], span=span).count() == 0
+
+
+def test_a_quote_never_closed_comes_in_bounded_parts(spark, tmp_path):
+    path = tmp_path / "open.csv"
+    text = "a,b\n1,é\n" + '2,"' + "é\n," * 500
+    path.write_text(text)
+    got = tokenize_ranges(spark, [(str(path), path.stat().st_size)], span=64, most=200).orderBy("start", "part").collect()
+    assert [r["raw"] for r in got[:2]] == ["a,b", "1,é"]
+    rest = got[2:]
+    assert "".join(r["raw"] for r in rest) == text[8:] and len(rest) > 5 and max(len(r["raw"].encode()) for r in rest) <= 400
+    assert [r["part"] for r in rest] == list(range(len(rest))) and [r["more"] for r in rest] == [True] * (len(rest) - 1) + [False]
+
+
+def test_records_that_begin_behind_the_head(spark, tmp_path):
+    path = tmp_path / "head.csv"
+    path.write_text('a "note\nk,v\n1,x\n2,"y\ny"\n')
+    got = tokenize_ranges(spark, [(str(path), path.stat().st_size, 8)], span=5).orderBy("start").collect()
+    assert [r["raw"] for r in got] == ["k,v", "1,x", '2,"y\ny"']

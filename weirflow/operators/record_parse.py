@@ -98,10 +98,10 @@ def _buffer(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(data, cuts, 10), cuts + np.arange(len(lines))
 
 
-def tokenize(lines: pa.Array, seps: pa.Array, chunk: int = CHUNK) -> tuple[pa.Array, np.ndarray]:
-    """Fields of each record (list of strings), and the offset of its quoting error in bytes, -1 where it has none."""
+def tokenize(lines: pa.Array, seps: pa.Array, chunk: int = CHUNK) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Fields of each record (list of strings), the offsets in bytes at which they start (and at which one more would), and the offset of its quoting error, -1 where it has none."""
     if not len(lines):
-        return pa.array([], pa.list_(pa.string())), np.zeros(0, dtype=np.int64)
+        return pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.int64())), np.zeros(0, dtype=np.int64)
     data, ends = _buffer(lines)
     lengths = np.diff(np.concatenate([[-1], ends]))
     sep = np.frombuffer(b"".join(s.encode()[:1] or b"," for s in seps.to_pylist()), dtype=np.uint8)
@@ -125,14 +125,19 @@ def tokenize(lines: pa.Array, seps: pa.Array, chunk: int = CHUNK) -> tuple[pa.Ar
     at = np.flatnonzero(border)
     offsets = np.concatenate([[0], kept[at]]).astype(np.int64)
     text = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[keep].tobytes()))
-    lists = np.concatenate([[0], np.searchsorted(at, ends) + 1]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), text.cast(pa.string())), error
+    count = np.searchsorted(at, ends) + 1
+    lists = np.concatenate([[0], count]).astype(np.int32)
+    # a field starts behind the border before it; the end of a record is one less than the start of the field it has no more
+    behind = np.insert(at + 1, np.concatenate([[0], count[:-1]]), begins)
+    own = np.repeat(begins, np.diff(lists) + 1)
+    starts = pa.ListArray.from_arrays(pa.array(lists + np.arange(len(lists), dtype=np.int32), pa.int32()), pa.array(behind - own))
+    return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), text.cast(pa.string())), starts, error
 
 
 def _tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fields, error = tokenize(b.column("line"), b.column("sep"))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], fields, pa.array(error)], names=[*b.schema.names[:-2], "fields", "error_at"])
+        fields, starts, error = tokenize(b.column("line"), b.column("sep"))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], fields, starts, pa.array(error)], names=[*b.schema.names[:-2], "fields", "starts", "error_at"])
 
 
 def _blank_free(c: Column) -> Column:
@@ -162,13 +167,14 @@ def parse_records(
     file: str = "file_name",
     number: str = "line_no",
     raw: str = "raw_line",
-    block: int = 1_000_000,
-    salts: int = 64,
+    block: int = 10_000,
+    salts: int = 4_096,
 ) -> DataFrame:
     """Every record as a row: key, reason (null if good), error_at, and the typed columns.
 
-    ``reason`` is the first that holds of quoting, columns, ``amount`` and ``day``; ``error_at`` the offset
-    of a quoting error in the record. Of a failed record the columns are null. The header of a file is joined by file and
+    ``reason`` is the first that holds of quoting, columns, ``amount`` and ``day``; ``error_at`` the offset in bytes
+    of the record at which it shows: the sign that breaks the quoting, the first field too many (the end, if one is missing), or the
+    field that is wrong. Of a failed record the columns are null. The header of a file is joined by file and
     block of lines, so a file that holds a third of all rows is spread over many tasks.
     """
     content = F.regexp_replace(F.col(raw), "\r+$", "")
@@ -205,6 +211,14 @@ def parse_records(
     )
     good = F.col("reason").isNull()
 
+    def start(name: str) -> Column:
+        """Where a field starts; the end of the record if there is none."""
+        at = F.array_position("names", F.lit(name)).cast("int")
+        return F.coalesce(F.try_element_at("starts", F.nullif(at, F.lit(0))), F.element_at("starts", -1) - 1)
+
+    where = F.when(F.col("reason") == "quoting", F.col("error_at")).when(F.col("reason") == "columns", F.coalesce(F.get("starts", F.lit(len(columns))), F.element_at("starts", -1) - 1))
+    where = where.when(F.col("reason") == amount, start(amount)).when(F.col("reason") == day, start(day))
+
     def typed(name: str) -> Column:
         if name == amount:
             return F.when(good, F.expr("try_cast(_number as double)"))
@@ -213,11 +227,11 @@ def parse_records(
         text = _blank_free(field(name))
         return F.when(good & ~text.isin("", "NULL", "N/A", "null"), text)
 
-    return out.select(F.col("id").alias(key), "reason", F.when(F.col("error_at") >= 0, F.col("error_at")).alias("error_at"), *[typed(c).alias(c) for c in columns])
+    return out.select(F.col("id").alias(key), "reason", where.alias("error_at"), *[typed(c).alias(c) for c in columns])
 
 
 def _token_schema(rows: DataFrame) -> str:
-    return f"id {rows.schema['id'].dataType.simpleString()}, names array<string>, fields array<string>, error_at bigint"
+    return f"id {rows.schema['id'].dataType.simpleString()}, names array<string>, fields array<string>, starts array<bigint>, error_at bigint"
 
 
 # --- raw files, read in ranges ------------------------------------------------------------------------------------
@@ -229,80 +243,96 @@ def _read_range(path: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
-def _classes(data: np.ndarray, sep: str) -> np.ndarray:
+def _classes(data: np.ndarray, sep: str, quote: str = '"') -> np.ndarray:
     c = np.zeros(len(data), dtype=np.uint8)
-    c[data == 34] = QUOTE
+    c[data == ord(quote)] = QUOTE
     c[data == ord(sep)] = SEP
     c[data == 10] = END
     return c
 
 
-def _borders(data: bytes, sep: str, state: int) -> list[int]:
+def _borders(data: bytes, sep: str, quote: str, state: int) -> list[int]:
     """Positions of the line breaks that end a record."""
-    c = _classes(np.frombuffer(data, dtype=np.uint8), sep)
+    c = _classes(np.frombuffer(data, dtype=np.uint8), sep, quote)
     return np.flatnonzero((c == END) & (states_before(c, STEP_FILE, state) != QUOTED)).tolist()
 
 
-def _state_after(data: bytes, sep: str, state: int) -> int:
-    c = _classes(np.frombuffer(data, dtype=np.uint8), sep)
+def _state_after(data: bytes, sep: str, quote: str, state: int) -> int:
+    c = _classes(np.frombuffer(data, dtype=np.uint8), sep, quote)
     return int(compose(chunk_maps(c, STEP_FILE))[-1][state]) if len(c) else state
 
 
-def tokenize_ranges(spark: SparkSession, files: list[tuple[str, int]], sep: str = ",", span: int = 32 << 20) -> DataFrame:
-    """Records of raw files of any size, read in ranges of ``span`` bytes: path, start, raw (the record's text).
+def tokenize_ranges(spark: SparkSession, files: list[tuple], sep: str = ",", span: int = 32 << 20, most: int = 64 << 20, encoding: str = "utf-8", quote: str = '"') -> DataFrame:
+    """Records of raw files of any size, read in ranges of ``span`` bytes: path, start, part, more, raw (the record's text).
+
+    files: path, size, and the byte at which records begin (0 if left out).
 
     1. Every range sends the map of its start states to its end states (five small numbers).
     2. The maps are composed per file, in the order of the ranges, which gives each range its start state.
     3. Every range finds its record borders knowing that state, so a line break inside quotes is text even
        if the quote was opened in an earlier range. A record belongs to the range in which it starts; its
        rest is read from the ranges behind.
-    A broken quote holds until the next line break; a quote never closed makes one record of the rest.
+    A broken quote holds until the next line break; a quote never closed makes one record of the rest of the file. A record of over
+    ``most`` bytes comes in parts, numbered from 0, of about that size, ``more`` being true but for the last, so no task holds
+    more than one part and nothing is lost.
     """
-    plan = [(p, size, o, min(span, size - o)) for p, size in files for o in range(0, size, span)]
+    plan = [(f[0], f[1], o, min(span, f[1] - o)) for f in files for o in range(f[2] if len(f) > 2 else 0, f[1], span)]
+    begin = {f[0]: f[2] if len(f) > 2 else 0 for f in files}
     schema = "path string, size long, start long, length long"
     if not plan:
-        return spark.createDataFrame([], "path string, start long, raw string")
-    parts = spark.createDataFrame(plan, schema).repartition(min(len(plan), 4096), "path", "start")
+        return spark.createDataFrame([], "path string, start long, part int, more boolean, raw string")
+    parts = spark.createDataFrame([(*x, begin[x[0]]) for x in plan], schema + ", begin long").repartition(min(len(plan), 4096), "path", "start")
 
     def maps(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            for path, size, start, length in b.itertuples(index=False):
+            for path, size, start, length, first in b.itertuples(index=False):
                 data = np.frombuffer(_read_range(path, start, length), dtype=np.uint8)
-                m = compose(chunk_maps(_classes(data, sep), STEP_FILE))[-1]
-                yield _frame([[path, size, start, length, m.tolist()]], ["path", "size", "start", "length", "map"])
+                m = compose(chunk_maps(_classes(data, sep, quote), STEP_FILE))[-1]
+                yield _frame([[path, size, start, length, first, m.tolist()]], ["path", "size", "start", "length", "begin", "map"])
 
-    sent = parts.mapInPandas(maps, schema + ", map array<int>")
+    sent = parts.mapInPandas(maps, schema + ", begin long, map array<int>")
 
     def starts(pdf):  # noqa: ANN001, ANN202
         state, out = START, []
-        for path, size, start, length, m in pdf.sort_values("start").itertuples(index=False):
-            out.append([path, size, start, length, state])
+        for path, size, start, length, first, m in pdf.sort_values("start").itertuples(index=False):
+            out.append([path, size, start, length, first, state])
             state = int(m[state])
-        return _frame(out, ["path", "size", "start", "length", "state"])
+        return _frame(out, ["path", "size", "start", "length", "begin", "state"])
 
-    known = sent.groupBy("path").applyInPandas(starts, schema + ", state int")
+    known = sent.groupBy("path").applyInPandas(starts, schema + ", begin long, state int")
 
     def cut_records(batches):  # noqa: ANN001, ANN202
+        names = ["path", "start", "part", "more", "raw"]
+        # bytes of one character may be cut apart between parts
+        text = lambda x: x.decode(encoding, "replace")
         for b in batches:
-            for path, size, start, length, state in b.itertuples(index=False):
+            for path, size, start, length, first, state in b.itertuples(index=False):
                 body = _read_range(path, start, length)
-                borders = _borders(body, sep, state)
+                borders = _borders(body, sep, quote, state)
                 # a range owns the records behind its own borders, and the file's first
-                begins = ([0] if start == 0 else []) + [x + 1 for x in borders if start + x + 1 < size]
+                begins = ([0] if start == first else []) + [x + 1 for x in borders if start + x + 1 < size]
                 if not begins:
                     continue
-                tail, at, s = b"", start + length, _state_after(body, sep, state)
-                last_open = not borders or begins[-1] > borders[-1]
-                while last_open and at < size:
+                ends = borders if start == first else borders[1:]
+                yield _frame([[path, start + x, 0, False, text(body[x:e])] for x, e in zip(begins, ends)], names)
+                if len(begins) == len(ends):
+                    continue
+                # the last record goes on behind the range
+                held, at, s, part = body[begins[-1] :], start + length, _state_after(body, sep, quote, state), 0
+                while at < size:
                     piece = _read_range(path, at, min(span, size - at))
-                    more = _borders(piece, sep, s)
-                    tail += piece[: more[0]] if more else piece
-                    s, at = _state_after(piece, sep, s), size if more else at + len(piece)
-                ends = borders if start == 0 else borders[1:]
-                rows = [[path, start + x, (body[x : ends[i]] if i < len(ends) else body[x:] + tail).decode("utf-8", "replace")] for i, x in enumerate(begins)]
-                yield _frame(rows, ["path", "start", "raw"])
-
-    return known.mapInPandas(cut_records, "path string, start long, raw string")
+                    more = _borders(piece, sep, quote, s)
+                    held += piece[: more[0]] if more else piece
+                    if more:
+                        break
+                    s, at = _state_after(piece, sep, quote, s), at + len(piece)
+                    if len(held) > most and at < size:
+                        whole = most - next((i for i in range(4) if encoding.lower().replace("-", "") != "utf8" or held[most - i] & 0xC0 != 0x80), 0)
+                        yield _frame([[path, start + begins[-1], part, True, text(held[:whole])]], names)
+                        held, part = held[whole:], part + 1
+                yield _frame([[path, start + begins[-1], part, False, text(held)]], names)
+
+    return known.mapInPandas(cut_records, "path string, start long, part int, more boolean, raw string")
 
 
 def _frame(rows: list, names: list[str]):  # noqa: ANN202

@@ -31,6 +31,11 @@ def p1_valid(spark: SparkSession, sf: str) -> DataFrame:
     return p1_records(spark, sf).filter(F.col("reason").isNull()).select("line_id", *TXN_COLUMNS)
 
 
+def p1_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every failed record with the byte at which its fault shows."""
+    return p1_records(spark, sf).filter(F.col("reason").isNotNull()).select("line_id", "reason", "error_at")
+
+
 def _per_sep(make: Callable[[str], str]) -> str:
     arms = " ".join(f"WHEN {name} THEN {make(char)}" for name, char in (("sep = ','", ","), ("sep = '|'", r"\|"), ("sep = ';'", ";")))
     return f"CASE {arms} ELSE {make(chr(92) + 't')} END"
@@ -49,7 +54,7 @@ q AS (SELECT *,
         {_per_sep(lambda c: f'''regexp_full_match(line, '("([^"]|"")*"|[^"{c}][^"{c}]*|)({c}("([^"]|"")*"|[^"{c}][^"{c}]*|))*')''')} AS sound,
         {_per_sep(lambda c: f'''regexp_extract_all(sep || line, '{c}("([^"]|"")*"|[^"{c}]*)', 1)''')} AS parts FROM j),
 f AS (SELECT *, list_transform(parts, lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS fields FROM q),
-v AS (SELECT line_id, sound, len(parts) AS n, fields, names,
+v AS (SELECT line_id, line, sep, parts, sound, len(parts) AS n, fields, names,
         regexp_replace(fields[list_position(names, 'amount')], '^[ \\t]+|[ \\t]+$', '', 'g') AS a,
         regexp_replace(fields[list_position(names, 'txn_date')], '^[ \\t]+|[ \\t]+$', '', 'g') AS d FROM f),
 p1 AS (SELECT *, CASE
@@ -65,8 +70,22 @@ def _p1_text(name: str) -> str:
     return f"CASE WHEN {v} IN ('', 'NULL', 'N/A', 'null') THEN NULL ELSE {v} END AS {name}"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_valid": p1_valid}
+#: Byte of the k-th field: the raw parts before it and their separators. A quoting fault shows at the end of an open quote, else behind the longest sound start.
+_P1_START = "list_sum(list_transform(parts[:{0} - 1], lambda x: strlen(x) + 1))"
+_P1_ERRORS = (
+    _P1
+    + f"""
+SELECT line_id, reason, CASE reason
+    WHEN 'quoting' THEN CASE WHEN substr(line, length(good) + 1, 1) = '"' AND (good = '' OR right(good, 1) IN (sep, '"')) THEN strlen(line) ELSE strlen(good) END
+    WHEN 'columns' THEN CASE WHEN n > 5 THEN {_P1_START.format(6)} ELSE strlen(line) END
+    WHEN 'amount' THEN coalesce({_P1_START.format("list_position(names, 'amount')")}, 0)
+    ELSE coalesce({_P1_START.format("list_position(names, 'txn_date')")}, 0) END::bigint AS error_at
+FROM (SELECT *, {_per_sep(lambda c: f"""regexp_extract(line, '^("([^"]|"")*"|[^"{c}][^"{c}]*|)({c}("([^"]|"")*"|[^"{c}][^"{c}]*|))*')""")} AS good FROM p1 WHERE reason IS NOT NULL)
+"""
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_valid": p1_valid, "p1_errors": p1_errors}
 SQL: dict[str, str] = {
+    "p1_errors": _P1_ERRORS,
     "p1_found": _P1 + "SELECT line_id, reason FROM p1 WHERE reason IS NOT NULL",
     "p1_valid": _P1 + f"SELECT line_id, {_p1_text('txn_id')}, {_p1_text('account')}, cast(a AS double) AS amount, try_cast(d AS date) AS txn_date, {_p1_text('category')} FROM p1 WHERE reason IS NULL",
 }

@@ -13,7 +13,7 @@ from weirflow.operators.quality import Check, validate
 from weirflow.operators.tables import Model, Table
 from weirflow.plans.projection import Declared
 from weirflow.session import scratch, table
-from weirflow.sources.files import Format, read_file
+from weirflow.sources.files import Format, read_csv, read_file
 from weirflow.sources.inference import to_frame
 from weirflow.streaming.dispatch import dispatch_stream, log_stream
 from weirflow.streaming.ingest import file_stream, ingest
@@ -284,6 +284,29 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_file(spark, to).withColumn("p_name", F.replace("p_name", F.lit('"q", '), F.lit(""))).drop("file_name")
 
 
+_REVIEWS = "SELECT doc_id, nullif(title, '') AS title, nullif(text, '') AS text FROM documents"
+
+
+@query("csv_line_breaks", _REVIEWS)
+def csv_line_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews with line breaks and quotes inside of fields, written as one file and read in ranges of 64 KB, so records reach over the borders of ranges."""
+    to = scratch(spark, "csv") + "/reviews"
+    docs = table(spark, sf, "documents").select("doc_id", "title", "text")
+    docs.coalesce(1).write.csv(to, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
+    kept = {"null_if": [""], "infer": False, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return read_csv(spark, to, kept, span=1 << 16).select(F.col("doc_id").cast("long"), "title", "text")
+
+
+@query("csv_own_headers", _PART)
+def csv_own_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one folder whose columns come in different orders."""
+    to = scratch(spark, "csv")
+    part = _part(spark, sf)
+    part.filter("p_partkey % 2 = 0").write.csv(f"{to}/a", header=True)
+    part.filter("p_partkey % 2 = 1").select("p_retailprice", "p_partkey", "p_name").write.csv(f"{to}/b", header=True)
+    return read_csv(spark, to, {"recursiveFileLookup": "true"}).select("p_partkey", "p_name", "p_retailprice")
+
+
 @query("csv_named_format", _PART.replace("p_name,", "nullif(p_name, 'red widget') AS p_name,"))
 def csv_named_format(spark: SparkSession, sf: str) -> DataFrame:
     """Bars between fields, a line before the header, and a token for null."""

@@ -112,6 +112,8 @@ def opened(uri: str):  # noqa: ANN201
     """File system and inner path of a place in the shared folder, for readers outside of the JVM."""
     from pyarrow import fs
 
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.operators.record_parse import tokenize_ranges
+from weirflow.session import opened
+
 KINDS = {".csv": "csv", ".json": "json", ".xlsx": "excel", ".xls": "excel", ".parquet": "parquet"}
 
 
@@ -42,21 +46,56 @@ def kind_of(path: str) -> str:
 _SELECTING = {"pathglobfilter", "recursivefilelookup", "modifiedbefore", "modifiedafter", "basepath"}
 
 
-def encodings_of(spark: SparkSession, path: str, wanted: str = "utf-8", options: dict[str, Any] | None = None) -> list[tuple[str, list[str], dict[str, str]]]:
-    """Encoding, paths and options for each group of files: the wanted encoding, or latin-1 for every file that isn't UTF-8 throughout.
+@dataclass(frozen=True)
+class Csv:
+    """One CSV file: whether it is UTF-8 throughout, whether a quoted field may hold a line break, and where its records begin."""
+
+    path: str
+    size: int
+    encoding: str
+    breaks: bool
+    header: str | None
+    data_at: int
+
 
-    No byte of a longer sequence is a line break, so a file is UTF-8 if each of its lines is: one pass over all lines, split and unpacked as the reader does it.
+def csv_files(spark: SparkSession, path: str, wanted: str = "utf-8", options: dict[str, Any] | None = None, skip: int = 0, header: bool = True, quote: str = '"') -> list[Csv]:
+    """Every file with lines: one pass over all lines of all files, and one ranged read of each head. One row per file reaches the driver.
+
+    No byte of a longer sequence is a line break, so a file is UTF-8 if each of its lines is, and a file is read as latin-1 that isn't.
+    A field goes on over a line break only if some line holds an odd number of quotes.
     """
-    if wanted.lower().replace("-", "") != "utf8":
-        return [(wanted, [path], {})]
     selecting = {k: str(v) for k, v in (options or {}).items() if k.lower() in _SELECTING}
     lines = spark.read.options(**selecting).text(path)
-    files = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect()
-    groups = {e: sorted(_literal(r["file"]) for r in files if r["utf8"] == (e == "UTF-8")) for e in ("UTF-8", "ISO-8859-1")}
-    if not all(groups.values()):
-        return [("ISO-8859-1" if groups["ISO-8859-1"] else "UTF-8", [path], {})]
-    base = {} if re.search(r"[{}\[\]*?\\]", path) or "basepath" in map(str.lower, selecting) else {"basePath": path}
-    return [(e, paths, base) for e, paths in groups.items()]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit(""))) if quote else F.lit(0)
+    meta = F.col("_metadata")
+    files = lines.groupBy(meta["file_path"].alias("file"), meta["file_size"].alias("size")).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("breaks"))
+    utf8 = wanted.lower().replace("-", "") == "utf8"
+
+    def heads(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                encoding = wanted if not utf8 else "UTF-8" if r.utf8 else "ISO-8859-1"
+                head, at = _head(r.file, skip + bool(header))
+                first = head[-1].decode(encoding, "replace").lstrip("\ufeff") if header and len(head) > skip else None
+                out.append([r.file, r.size, encoding, r.breaks, first, at])
+            yield pd.DataFrame(out, columns=["file", "size", "encoding", "breaks", "header", "data_at"])
+
+    found = files.mapInPandas(heads, "file string, size long, encoding string, breaks boolean, header string, data_at long")
+    return [Csv(*r) for r in found.orderBy("file").collect()]
+
+
+def _head(uri: str, lines: int, step: int = 1 << 16) -> tuple[list[bytes], int]:
+    """The first lines of a file, without their ends, and the byte behind them."""
+    place, inner = opened(unquote(uri))
+    held = b""
+    with place.open_input_stream(inner) as f:  # unpacked as its suffix says
+        while held.count(b"\n") < lines and (more := f.read(step)):
+            held += more
+    head = held.split(b"\n")[:lines]
+    return [x.rstrip(b"\r") for x in head], min(len(held), sum(len(x) + 1 for x in head))
 
 
 def _literal(uri: str) -> str:
@@ -85,8 +124,13 @@ def _inferred(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, config: dict[str, Any] | None = None) -> DataFrame:
-    """Options by the names of formats: delimiter, skip_header (lines before the header), encoding, null_if, quote_char, escape_char, header."""
+def read_csv(spark: SparkSession, path: str, config: dict[str, Any] | None = None, span: int = 32 << 20) -> DataFrame:
+    """Options by the names of formats: delimiter, skip_header (lines before the header), encoding, null_if, quote_char, escape_char, header.
+
+    Files are split among tasks by lines; those in which a quoted field may hold a line break, or lines are skipped, by the records
+    that the tokenizer finds in ranges of ``span`` bytes. Every file is read by its own header and encoding. Packed files, and
+    separators or quotes that the tokenizer doesn't know, are split by file only where fields hold line breaks.
+    """
     c = dict(config or {})
     options = {_CSV_KEYS[k]: c.pop(k) for k in list(c) if k in _CSV_KEYS}
     wanted = str(options.pop("encoding", "utf-8"))
@@ -95,11 +139,26 @@ def read_csv(spark: SparkSession, path: str, config: dict[str, Any] | None = Non
     header = c.pop("header", True) not in (False, None, "None")
     c.pop("compression", None)  # told from the suffix
     infer = c.pop("infer", True)
-    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", **options, **{k: str(v) for k, v in c.items()}}
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", **options, **{k: str(v) for k, v in c.items()}}
+    sep = options.get("sep", ",")
+    groups: dict[tuple, list[Csv]] = {}
+    for f in csv_files(spark, path, wanted, options, skip, header, options["quote"]):
+        groups.setdefault((f.encoding, f.breaks or skip > 0, f.header), []).append(f)
     parts = []
-    for encoding, paths, more in encodings_of(spark, path, wanted, options):
-        with_all = {**options, **more, "encoding": encoding}
-        parts.append(_after_lines(spark, paths, skip, header, with_all) if skip else _plain(spark, paths, header, with_all))
+    for (encoding, by_records, head), files in groups.items():
+        quote = options["quote"]
+        known = len(sep) == len(quote) == 1 and (sep + quote).isascii() and options["escape"] in (quote, '"') and not any(f.path.endswith((".gz", ".bz2", ".zst")) for f in files)
+        if skip and not known:
+            raise ValueError(f"lines can't be skipped in {files[0].path}: it is packed, or its separator or quote isn't one ASCII character")
+        if by_records and known:
+            parts.append(_by_records(spark, files, head, options, span))
+        else:
+            selecting = {k: v for k, v in options.items() if k.lower() != "pathglobfilter"}
+            one = len(files) == 1 and unquote(files[0].path).endswith(path.removeprefix("file://").rstrip("/"))
+            base = {} if one or re.search(r"[{}\[\]*?\\]", path) or "basepath" in map(str.lower, options) else {"basePath": path}
+            parts.append(_plain(spark, [_literal(f.path) for f in files], header, {**selecting, **base, "encoding": encoding, "multiLine": str(by_records).lower()}))
+    if not parts:
+        return spark.createDataFrame([], "file_name string")
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     df = df.select(*[f"`{n}`" for n in df.columns if n != "file_name"], "file_name")
     tokens = ["", *([nulls] if isinstance(nulls, str) else [str(x) for x in nulls or ["NULL", "null", "NaN", "nan", "N/A", "NA", "n/a", "None"]])]
@@ -120,23 +179,19 @@ def _typed_keeping(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in plain], "file_name")
 
 
-def _after_lines(spark: SparkSession, paths: list[str], skip: int, header: bool, options: dict[str, str]) -> DataFrame:
-    """Lines after the first ``skip`` of each file. A file's lines are numbered by their place, without a global sort."""
-    selecting = {k: v for k, v in options.items() if k.lower() in _SELECTING}
-    # the text reader gives bytes as they are, whatever the encoding
-    value = F.col("value") if options["encoding"].upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), options["encoding"]).alias("value")
-    lines = spark.read.options(**selecting).text(paths).select(value, F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("no"))
-    first = F.row_number().over(Window.partitionBy("file_name").orderBy("at", "no"))
-    edge = lines.withColumn("k", first).filter(F.col("k") <= skip + 1)
-    heads = edge.filter(F.col("k") == skip + 1).select("file_name", F.col("value").alias("head"), F.col("no").alias("head_no"))
-    head = heads.select("head").first()
-    if head is None:
-        return spark.createDataFrame([], "file_name string")
+def _by_records(spark: SparkSession, files: list[Csv], head: str | None, options: dict[str, str], span: int) -> DataFrame:
+    """Records by the tokenizer, of files with one header, each from where its records begin. A quote that is never closed is an error, not a silent row."""
     sep = options.get("sep", ",")
-    names = [n.strip().strip('"') for n in head[0].split(sep)] if header else [str(i) for i in range(len(head[0].split(sep)))]
+    raw = tokenize_ranges(spark, [(unquote(f.path), f.size, f.data_at) for f in files], sep, span, encoding=files[0].encoding, quote=options["quote"])
+    if head is None:
+        width = max(len(next(csv.reader([h[0].decode(files[0].encoding, "replace")], delimiter=sep), [])) if (h := _head(f.path, 1)[0]) else 0 for f in files[:1])
+        names = [str(i) for i in range(width)]
+    else:
+        names = [n.strip() for n in next(csv.reader([head], delimiter=sep, quotechar=options["quote"]), [])]
     schema = ", ".join(f"`{n}` string" for n in names)
-    rest = lines.join(heads, "file_name").filter(F.col("no") > F.col("head_no") if header else F.col("no") >= F.col("head_no")).filter(F.col("value") != "")
-    parsed = rest.select(F.from_csv("value", schema, {"sep": sep, "quote": options["quote"], "escape": options["escape"]}).alias("r"), "file_name")
+    whole = F.when(F.col("more") | (F.col("part") > 0), F.raise_error(F.concat(F.lit("a quote isn't closed behind byte "), F.col("start").cast("string"), F.lit(" of "), F.col("path")))).otherwise(F.regexp_replace("raw", "\r+$", ""))
+    rows = raw.select(whole.alias("value"), F.regexp_extract("path", "[^/]+$", 0).alias("file_name")).filter("value <> ''")
+    parsed = rows.select(F.from_csv("value", schema, {"sep": sep, "quote": options["quote"], "escape": options["escape"]}).alias("r"), "file_name")
     return parsed.select("r.*", "file_name")
 
 
