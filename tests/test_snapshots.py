@@ -1,8 +1,9 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
-from weirflow.operators.attribute_history import snapshot_history, update_history
+from weirflow.operators.attribute_history import runs, snapshot_history, update_history
 from weirflow.operators.snapshot_diff import snapshot_changes
 
 SNAP = "snap date, k1 string, k2 string, a string, b double, upd timestamp, key string, checked string"
@@ -76,8 +77,8 @@ def test_snapshot_history_against_brute_force(spark, seed):
 UPDATES = "acct string, at timestamp, amt double, ccy string, row_id long, key string, bucket int"
 
 
-@pytest.mark.parametrize(("seed", "bucket"), [(0, 86_400), (1, 3600), (2, 10_000_000)])
-def test_update_history_against_brute_force(spark, seed, bucket):
+@pytest.mark.parametrize(("seed", "per_range"), [(0, 1_000_000), (1, 90), (2, 13)])
+def test_update_history_against_brute_force(spark, seed, per_range):
     r = random.Random(seed)
     t0 = dt.datetime(2026, 1, 1)
     rows = []
@@ -95,10 +96,24 @@ def test_update_history_against_brute_force(spark, seed, bucket):
         seq = sorted((t, v[1]) for (x, t), v in last.items() if x == k)
         starts = [t for n, (t, v) in enumerate(seq) if not n or seq[n - 1][1] != v]
         want |= {(k, a, b) for a, b in zip(starts, [*starts[1:], None])}
-    got = [tuple(x) for x in update_history(spark.createDataFrame(rows, UPDATES), ["acct"], "at", ["amt", "ccy"], "row_id", bucket).collect()]
+    got = [tuple(x) for x in update_history(spark.createDataFrame(rows, UPDATES), ["acct"], "at", ["amt", "ccy"], "row_id", per_range).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_runs_of_bits():
+    r = np.random.default_rng(0)
+    pairs = [(p, x) for p in range(20) for x in np.flatnonzero(r.random(300) < r.choice([0.05, 0.5, 0.98]))] + [(30, x) for x in range(200)]
+    want = []
+    for p, x in pairs:
+        if want and want[-1][0] == p and want[-1][2] == x - 1:
+            want[-1][2] = x
+        else:
+            want.append([p, x, x])
+    by = r.permutation(len(pairs))
+    pair, pos = (np.array(c)[by] for c in zip(*pairs))
+    assert [list(map(int, x)) for x in zip(*runs(pair, pos))] == [list(map(int, x)) for x in want]
+
+
 def test_empty_tables_and_single_snapshots(spark):
     none = spark.createDataFrame([], SNAP)
     assert snapshot_changes(none, ["k1"], "snap", ["a"]).count() == 0
