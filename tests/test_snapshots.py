@@ -2,9 +2,10 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from weirflow.operators.attribute_history import runs, snapshot_history, update_history
-from weirflow.operators.snapshot_diff import snapshot_changes
+from weirflow.operators.snapshot_diff import SnapshotStore, merge_runs, snapshot_changes
 
 SNAP = "snap date, k1 string, k2 string, a string, b double, upd timestamp, key string, checked string"
 DAYS = [dt.date(2026, 1, 1) + dt.timedelta(days=3 * i) for i in range(70)]
@@ -100,6 +101,32 @@ def test_update_history_against_brute_force(spark, seed, per_range):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_merge_by_blocks(block):
+    r = random.Random(block)
+    for _ in range(30):
+        old, new = ({f"k{r.randint(0, 40):03d}": r.choice("ab") for _ in range(r.randint(0, 40))} for _ in range(2))
+        want = sorted([(k, "removed") for k in old.keys() - new.keys()] + [(k, "added") for k in new.keys() - old.keys()] + [(k, "changed") for k in old.keys() & new.keys() if old[k] != new[k]])
+        runs_ = [pa.array(x, pa.string()) for d in (old, new) for x in (sorted(d), [d[k] for k in sorted(d)])]
+        got = [(k, c) for keys, kinds in merge_runs(*runs_, block=block) for k, c in zip(keys.to_pylist(), kinds.to_pylist())]
+        assert sorted(got) == want
+
+
+def test_snapshots_are_kept_sorted(spark, tmp_path):
+    days = DAYS[:4]
+    rows = table(5, days)
+    df = spark.createDataFrame(rows, SNAP)
+    want = {(k, str(d), c) for k, d, c in (tuple(r) for r in snapshot_changes(df, ["k1", "k2"], "snap", ["a", "b"], "upd").collect())}
+    got = set()
+    for d in days:
+        store = SnapshotStore(spark, f"file://{tmp_path}/s", ["k1", "k2"], ["a", "b"], "upd")  # opened again for each delivery
+        got |= {(r["record_key"], str(d), r["change"]) for r in store.add(df.filter(df["snap"] == d), str(d), rows_per_range=5).collect()}
+    assert got == want and len(store._state()["bounds"]) >= 3
+    assert {tuple(r) for r in store.between(str(days[0]), str(days[1])).collect()} == {(k, c) for k, d, c in want if d == str(days[1])}
+    with pytest.raises(ValueError, match="already"):
+        store.add(df, str(days[0]))
+
+
 def test_runs_of_bits():
     r = np.random.default_rng(0)
     pairs = [(p, x) for p in range(20) for x in np.flatnonzero(r.random(300) < r.choice([0.05, 0.5, 0.98]))] + [(30, x) for x in range(200)]
