@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from weirflow.llm.overlap import Hashes, fingerprints, joint_fingerprints, parts, run_around, shared_runs, word_hashes, words
+from weirflow.llm.overlap import Hashes, fingerprints, joint_fingerprints, longest_run, parts, shared_runs, word_hashes, words
 
 
 def brute(texts, items, least=12):
@@ -49,10 +49,9 @@ def test_fingerprints_of_many_texts_hold_those_of_each():
     assert parts(["a" * 5, "b", "c" * 9, "d"], 6) == [(0, 2), (2, 3), (3, 4)]
 
 
-def test_run_around():
-    a, b = np.arange(20, dtype=np.uint64), np.arange(5, 15, dtype=np.uint64)
-    assert run_around(a, 7, b, 2) == (5, 10)
-    assert run_around(a, 0, b, 0) == (0, 0)
+def test_longest_run():
+    assert longest_run(np.array([], dtype=bool)) == (0, 0) and longest_run(np.array([False, False])) == (0, 0)
+    assert longest_run(np.array([True, False, True, True, False, True, True])) == (2, 2)
 
 
 def fixture(seed=1):
@@ -71,23 +70,33 @@ def fixture(seed=1):
     return texts, [*items, (999, None)]
 
 
-@pytest.mark.parametrize("held", [20_000_000, 0])
-def test_shared_runs_against_brute_force(spark, held):
+@pytest.mark.parametrize(("salts", "broadcast"), [(8, "10m"), (1, "-1"), (3, "-1")])
+def test_shared_runs_against_brute_force(spark, salts, broadcast):
     texts, items = fixture()
     t = spark.createDataFrame([(k, x, 1) for k, x in texts], "key long, text string, item int")
     i = spark.createDataFrame(items, "key long, text string")
-    got = shared_runs(t, i, held_chars=held)
-    assert {(r["key"], r["item"]) for r in got.collect()} == brute(texts, items)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = shared_runs(t, i, salts=salts)
+        found = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r["key"], r["item"]) for r in found} == brute(texts, items) and len(found) == len(brute(texts, items))
     assert got.columns == ["key", "item", "start", "length"]
+    by = dict(texts)
+    held = dict(items)
+    for r in found:
+        run = words(by[r["key"]])[r["start"] : r["start"] + r["length"]]
+        assert len(run) >= 12 and " ".join(run) in " ".join(words(held[r["item"]]))
 
 
-@pytest.mark.parametrize("held", [20_000_000, -1])
-def test_shared_runs_of_empty_tables(spark, held):
+def test_shared_runs_of_empty_tables(spark):
     texts, items = fixture()
     schema = "key long, text string"
     none = spark.createDataFrame([], schema)
-    assert shared_runs(none, spark.createDataFrame(items, schema), held_chars=held).count() == 0
-    assert shared_runs(spark.createDataFrame(texts, schema), none, held_chars=held).count() == 0
+    assert shared_runs(none, spark.createDataFrame(items, schema)).count() == 0
+    assert shared_runs(spark.createDataFrame(texts, schema), none).count() == 0
 
 
 def test_shorter_runs_are_refused(spark):

@@ -4,9 +4,11 @@ Of all k-grams of words the least hash in every window of ``window`` consecutive
 k + window - 1 words in a row share a whole window and so a fingerprint; with 6 and 7 that is every run of twelve words.
 Each hit is extended word by word to both sides, and counts if the run is long enough.
 
-The fingerprints of the evaluation texts are held against a limit of size. Within it they go to all executors and no text
-is shuffled; beyond it both sides are joined on the fingerprint (salted, so one that a third of all texts hold is spread), and
-only texts with a hit are looked at again.
+1. Texts and items give their fingerprints, which are joined. Each item's fingerprints are repeated under a few salts,
+   so one that a third of all texts hold is spread; a side that Spark finds small goes to all executors, whatever side that is.
+2. The hits of one text and item are united by diagonal (position in the text less position in the item), before any text moves.
+3. Each text with hits is read once more, and cut for each diagonal to the words that lie beside the item: never more words than the item has.
+4. These are held against the item's words, and the longest run of equal words counts.
 
 Words: markup tags are blanks, entities are decoded, invisible characters dropped, case, accents and width disregarded; words are
 unbroken runs of letters or digits.
@@ -20,13 +22,14 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.session import cut
+
 K, WINDOW = 6, 7
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z!?][^<>]*>", re.S)
 WORD = re.compile(r"[^\W_]+")
@@ -130,35 +133,18 @@ def joint_fingerprints(texts: list[np.ndarray], k: int = K, window: int = WINDOW
     return g[at], owner[at], at - starts[owner[at]]
 
 
-def run_around(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
-    """Start in a and length of the run of equal words that holds a[i] and b[j]."""
-    if a[i] != b[j]:
-        return i, 0
-    n = min(i, j)
-    back = a[i - n : i][::-1] == b[j - n : j][::-1]
-    lo = n if back.all() else int(back.argmin())
-    m = min(len(a) - i, len(b) - j)
-    on = a[i : i + m] == b[j : j + m]
-    hi = m if on.all() else int(on.argmin())
-    return i - lo, lo + hi
-
-
-def _longest(h: np.ndarray, hits: list[tuple[int, object, int]], texts: dict, least: int) -> dict:
-    """Item -> (start, length) of its longest run of at least ``least`` words. hits: position, item, its position."""
-    best: dict = {}
-    done: set = set()
-    for i, item, j in hits:
-        if (item, j - i) in done and item in best and best[item][0] <= i < best[item][0] + best[item][1]:
-            continue
-        start, n = run_around(h, i, texts[item], j)
-        done.add((item, j - i))
-        if n >= least and n > best.get(item, (0, 0))[1]:
-            best[item] = (start, n)
-    return best
+def longest_run(equal: np.ndarray) -> tuple[int, int]:
+    """Start and length of the longest (first) run of true values."""
+    edges = np.diff(np.concatenate([[0], equal.astype(np.int8), [0]]))
+    starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return 0, 0
+    k = int((stops - starts).argmax())
+    return int(starts[k]), int(stops[k] - starts[k])
 
 
 def _prints(texts: DataFrame) -> DataFrame:
-    """key, print (signed), pos of every text (key, text)."""
+    """key, print (signed), pos, size (words of the text) of every text (key, text)."""
 
     def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -167,80 +153,82 @@ def _prints(texts: DataFrame) -> DataFrame:
         for b in batches:
             keys, held = b["key"].to_numpy(), b["text"].tolist()
             for lo, hi in parts(held):
-                g, owner, pos = joint_fingerprints([word_hashes(t, cache) for t in held[lo:hi]])
+                hashes = [word_hashes(t, cache) for t in held[lo:hi]]
+                g, owner, pos = joint_fingerprints(hashes)
                 if len(g):
-                    yield pd.DataFrame({"key": keys[lo:hi][owner], "print": g.view(np.int64), "pos": pos})
+                    size = np.array([len(h) for h in hashes])
+                    yield pd.DataFrame({"key": keys[lo:hi][owner], "print": g.view(np.int64), "pos": pos, "size": size[owner]})
 
-    return texts.mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, print bigint, pos bigint")
+    return texts.mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, print bigint, pos bigint, size bigint")
 
 
-def _lookup(texts: DataFrame, items: list[tuple[object, str]], least: int, item_kind: str) -> DataFrame:
-    """Texts against items that every executor holds."""
+def _beside(texts: DataFrame, item_kind: str) -> DataFrame:
+    """The words of each text that lie beside an item, by diagonal. texts: key, text, hits (item, size, diagonal)."""
 
     def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
         cache = Hashes()
-        held = {k: word_hashes(t, cache) for k, t in items}
-        index = defaultdict(list)
-        for k, h in held.items():
-            for g, p in zip(*fingerprints(h)):
-                index[int(g)].append((k, int(p)))
-        known = np.array(sorted(index), dtype=np.uint64)
         for b in batches:
-            keys, rows, texts_ = b["key"].tolist(), [], b["text"].tolist()
-            for lo, hi in parts(texts_) if len(known) else []:
-                hashes = [word_hashes(t, cache) for t in texts_[lo:hi]]
-                g, owner, pos = joint_fingerprints(hashes)
-                if not len(g):
-                    continue
-                spot = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                hits: dict[int, list] = defaultdict(list)
-                for x in np.flatnonzero(known[spot] == g).tolist():
-                    hits[int(owner[x])] += [(int(pos[x]), k, p) for k, p in index[int(g[x])]]
-                for i, found in hits.items():
-                    rows += [(keys[lo + i], k, s, n) for k, (s, n) in _longest(hashes[i], found, held, least).items()]
+            rows, held = [], 0
+            for key, text, hits in b[["key", "text", "hits"]].itertuples(index=False):
+                h = word_hashes(text, cache).view(np.int64)
+                for x in hits:
+                    lo = max(0, x["diagonal"])
+                    own = h[lo : x["diagonal"] + x["size"]]
+                    rows.append((key, x["item"], lo, lo - x["diagonal"], own))
+                    held += len(own)
+                    if held > 2_000_000:
+                        yield pd.DataFrame(rows, columns=["key", "item", "at", "item_at", "words"])
+                        rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["key", "item", "start", "length"])
-
-    return texts.mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, item {item_kind}, start bigint, length bigint")
+                yield pd.DataFrame(rows, columns=["key", "item", "at", "item_at", "words"])
 
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "text", "hits").mapInPandas(run, f"key {kind}, item {item_kind}, at bigint, item_at bigint, words array<bigint>")
 
-def _joined(texts: DataFrame, items: DataFrame, least: int, salts: int = 8) -> DataFrame:
-    """Texts against items of any number: fingerprints are joined, then the texts with hits are looked at again."""
-    mine = _prints(texts).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
-    theirs = _prints(items).select(F.col("key").alias("item"), "print", F.col("pos").alias("item_pos")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = mine.join(theirs, ["print", "salt"]).select("key", "item", "pos", "item_pos")
-    found = hits.join(texts, "key").join(items.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item")
 
-    def check(batches):  # noqa: ANN001, ANN202
+def _item_words(items: DataFrame) -> DataFrame:
+    def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
         cache = Hashes()
         for b in batches:
-            rows = []
-            for item, key, pos, item_pos, text, item_text in b[["item", "key", "pos", "item_pos", "text", "item_text"]].itertuples(index=False):
-                start, n = run_around(word_hashes(text, cache), pos, word_hashes(item_text, cache), item_pos)
-                if n >= least:
-                    rows.append((key, item, start, n))
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "item", "start", "length"])
+            yield pd.DataFrame({"item": b["key"], "item_words": [word_hashes(t, cache).view(np.int64) for t in b["text"]]})
 
-    kinds = f"key {texts.schema['key'].dataType.simpleString()}, item {items.schema['key'].dataType.simpleString()}, start bigint, length bigint"
-    runs = found.mapInPandas(check, kinds)
-    best = F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("b")
-    return runs.groupBy("key", "item").agg(best).select("key", "item", "b.start", "b.length")
+    return items.mapInPandas(run, f"item {items.schema['key'].dataType.simpleString()}, item_words array<bigint>")
 
 
-def shared_runs(texts: DataFrame, items: DataFrame, least: int = K + WINDOW - 1, held_chars: int = 20_000_000) -> DataFrame:
+def shared_runs(texts: DataFrame, items: DataFrame, least: int = K + WINDOW - 1, salts: int = 8) -> DataFrame:
     """key, item, start, length (in words of the text) of the longest run of at least ``least`` words of each pair that has one.
 
-    texts, items: key, text. held_chars: up to so many characters the items go to all executors.
+    texts, items: key, text. salts: under how many a fingerprint of the items is repeated.
     """
     if least < K + WINDOW - 1:
         raise ValueError(f"runs under {K + WINDOW - 1} words aren't guaranteed")
     texts, items = texts.select("key", "text").filter("text IS NOT NULL"), items.select("key", "text").filter("text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars <= held_chars:
-        return _lookup(texts, [(r["key"], r["text"]) for r in items.collect()], least, items.schema["key"].dataType.simpleString())
-    return _joined(texts, items, least)
+    kind, item_kind = texts.schema["key"].dataType.simpleString(), items.schema["key"].dataType.simpleString()
+    # written once, so Spark knows how large they are
+    theirs = cut(_prints(items).select(F.col("key").alias("item"), "print", F.col("pos").alias("item_pos"), F.col("size").alias("item_size")).distinct(), "fingerprints")
+    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    mine = _prints(texts).withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(salts)).cast("int"))
+    hits = mine.join(theirs, ["print", "salt"]).select("key", "item", F.col("item_size").alias("size"), (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    held = hits.groupBy("key").agg(F.collect_list(F.struct("item", "size", "diagonal")).alias("hits"))
+    beside = _beside(texts.join(held, "key"), item_kind).join(cut(_item_words(items), "item_words"), "item")
+
+    def extend(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for key, item, at, item_at, own, other in b[["key", "item", "at", "item_at", "words", "item_words"]].itertuples(index=False):
+                n = min(len(own), max(0, len(other) - item_at))
+                start, length = longest_run(own[:n] == other[item_at : item_at + n])
+                if length >= least:
+                    rows.append((key, item, at + start, length))
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "item", "start", "length"])
+
+    runs = beside.mapInPandas(extend, f"key {kind}, item {item_kind}, start bigint, length bigint")
+    best = F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("b")
+    return runs.groupBy("key", "item").agg(best).select("key", "item", "b.start", "b.length")

