@@ -367,7 +367,7 @@ class Table:
         keys = model.unique_key
         has_order = ordered(shown)
         name, loaded = self._stage_batch(opened(shown, now) if created and snapshot else shown, m.not_null)
-        staged = self._folder([name])
+        staged = self.staged = self._folder([name])
         touched: tuple[DataFrame, DataFrame] | None = None
         if model.materialization == "table":
             self._refuse_repeats(name, m.keys)

@@ -94,13 +94,11 @@ class Runner:
         out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.data for _, _, p in parts])
         traced = lineage(parts[0][2].lineage, {n: df.columns for n, df, _ in parts})
         table = self.store.table(asset.source.get("table", asset.name))
-        data = out.persist()
-        try:
-            written = table.materialize(data, asset.model or Model(), columns, now=run.at, asset=asset.name, run_id=run.run_id, track=asset.change_tracking)
-            checks = validate(data, [*implied(columns), *asset.checks], columns)
-        finally:
-            data.unpersist()
-        return Done(out, written, checks, traced)
+        written = table.materialize(out, asset.model or Model(), columns, now=run.at, asset=asset.name, run_id=run.run_id, track=asset.change_tracking)
+        # the batch is checked and handed on as it was staged, so it isn't computed again
+        staged = table.staged if set(out.columns) <= set(table.staged.columns) else out
+        data = staged.select(*[f"`{c}`" for c in out.columns])
+        return Done(data, written, validate(data, [*implied(columns), *asset.checks], columns), traced)
 
     def materialize(self, name: str, have: dict[str, DataFrame], needs: list[str], run: Run) -> Done:
         asset = self.pipeline.assets[name]

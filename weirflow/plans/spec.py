@@ -12,7 +12,7 @@ from weirflow.operators.quality import Check
 from weirflow.operators.tables import Model
 from weirflow.plans.flow import Flow, combine, parse_flow
 from weirflow.plans.projection import Declared
-from weirflow.registry import rules
+from weirflow.registry import rules, sources, triggers
 from weirflow.sources.files import Format
 from weirflow.sources.templates import substitute
 
@@ -49,7 +49,7 @@ class Asset:
     metadata: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        if self.type not in ASSET_TYPES:
+        if self.type not in ASSET_TYPES and self.type not in sources:
             raise ValueError(f"asset '{self.name}': unknown type '{self.type}'")
         if self.model and self.type != "database":
             raise ValueError(f"asset '{self.name}': 'model' is for database assets only")
@@ -82,7 +82,7 @@ class Sensor:
     config: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        if self.type not in TRIGGER_TYPES:
+        if self.type not in TRIGGER_TYPES and self.type not in triggers:
             raise ValueError(f"sensor '{self.name}': unknown type '{self.type}'")
         if self.type == "schedule" and not self.cron:
             raise ValueError(f"sensor '{self.name}': a schedule needs cron")

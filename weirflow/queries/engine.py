@@ -199,12 +199,6 @@ def change_log(spark: SparkSession, sf: str) -> DataFrame:
     return _logged(spark, sf).changes().groupBy("op", "run_id").agg(F.count("*").alias("events"))
 
 
-@query("change_log_fetch", "SELECT id, asset_name, run_id FROM (SELECT DISTINCT id, asset_name, run_id FROM change_log) WHERE id > 100 ORDER BY id LIMIT 100")
-def change_log_fetch(spark: SparkSession, sf: str) -> DataFrame:
-    """The next hundred changes after an id: the batch size of a dispatch tick."""
-    return table(spark, sf, "change_log").select("id", "asset_name", "run_id").distinct().filter("id > 100").orderBy("id").limit(100)
-
-
 @query("cdc_stream_dispatch", _LOG)
 def cdc_stream_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     """The log as a stream, delivered in micro-batches to a folder."""

@@ -153,7 +153,6 @@ chain("distinct_all", "lineitem", "frame.distinct()", "SELECT DISTINCT l_returnf
 chain("distinct_subset", "events", 'frame.order_by("event_id").distinct(["event_type"])', _first("event_type", "event_id"), EV)
 chain("latest_per_key", "cash_balance", 'frame.order_by(desc("update_timestamp"), desc("row_id")).dedup(["account_cd"], keep="first")', _first("account_cd", "update_timestamp DESC NULLS LAST, row_id DESC", "row_id, account_cd, update_timestamp, amt", "cash_balance"), "row_id account_cd update_timestamp amt")
 chain("topk", "orders", 'frame.order_by(desc("o_totalprice"), "o_orderkey").limit(25)', "SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
-chain("order_nulls_last", "documents", 'frame.order_by(desc("rating"), asc("doc_id")).limit(990)', "SELECT doc_id, rating FROM documents ORDER BY rating DESC NULLS LAST, doc_id LIMIT 990", "doc_id rating")
 
 # --- groups --------------------------------------------------------------------------------------------------------
 
@@ -304,8 +303,8 @@ def window_session(spark: SparkSession, sf: str) -> DataFrame:
     return sessions(table(spark, sf, "events"), "ts", "6 hours", ["user_id"], F.count("*").alias("n")).drop("session_end")
 
 
-@query("order_nulls_last_all", "SELECT doc_id, rating, row_number() OVER (ORDER BY rating DESC NULLS LAST, doc_id) AS position FROM documents")
-def order_nulls_last_all(spark: SparkSession, sf: str) -> DataFrame:
+@query("order_nulls_last", "SELECT doc_id, rating, row_number() OVER (ORDER BY rating DESC NULLS LAST, doc_id) AS position FROM documents")
+def order_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     """Every row with its place in the order: files of the sorted frame in turn, each file's rows by index, so no window gathers the table."""
     ordered = transform(table(spark, sf, "documents").select("doc_id", "rating"), 'frame.order_by(desc("rating"), asc("doc_id"))').df()
     rows = cut(ordered, "ordered").withColumns({"file": F.col("_metadata.file_name"), "at": F.col("_metadata.row_index")})

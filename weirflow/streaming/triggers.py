@@ -61,18 +61,24 @@ class Cron:
             out |= set(range(first, last + 1, int(step or 1)))
         return out
 
-    def matches(self, t: datetime) -> bool:
-        minute, hour, day, month, weekday = self.sets
+    def on_day(self, t: datetime) -> bool:
+        _, _, day, month, weekday = self.sets
         on_day, on_weekday = t.day in day, t.isoweekday() % 7 in weekday
-        right_day = on_day and on_weekday if self.any_day or self.any_weekday else on_day or on_weekday
-        return t.minute in minute and t.hour in hour and t.month in month and right_day
+        return t.month in month and (on_day and on_weekday if self.any_day or self.any_weekday else on_day or on_weekday)
+
+    def matches(self, t: datetime) -> bool:
+        return t.minute in self.sets[0] and t.hour in self.sets[1] and self.on_day(t)
 
     def after(self, t: datetime) -> datetime:
+        """The first moment behind t: day by day, and within the first day that fits by its hours and minutes."""
         t = t.replace(second=0, microsecond=0) + timedelta(minutes=1)
-        for _ in range(366 * 24 * 60 * 5):
-            if self.matches(t):
-                return t
-            t += timedelta(minutes=1)
+        midnight = t.replace(hour=0, minute=0)
+        for days in range(366 * 5):
+            day = midnight + timedelta(days=days)
+            if self.on_day(day):
+                found = next((m for h in sorted(self.sets[1]) for k in sorted(self.sets[0]) if (m := day.replace(hour=h, minute=k)) >= t), None)
+                if found:
+                    return found
         raise ValueError("the cron expression never comes")
 
 
