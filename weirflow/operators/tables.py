@@ -93,6 +93,7 @@ class Manifest:
     rows: int = 0
     gone_rows: int = 0
     logs: list[str] = field(default_factory=list)
+    log_ends: list[int] = field(default_factory=list)
     next_id: int = 1
     version: int = 0
 
@@ -209,8 +210,15 @@ class Table:
         return self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{self.path}/{f}" for f in m.logs])
 
     def pending(self, last_id: int, n: int) -> DataFrame:
-        """The next n changes after an id."""
-        return self.changes().filter(F.col("id") > last_id).orderBy("id").limit(n)
+        """The next n changes after an id. Numbers are dense, so only the log folders that hold them are read."""
+        m = self.manifest()
+        if m is None or n < 1:
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        first = [0, *m.log_ends]
+        wanted = [f for f, lo, hi in zip(m.logs, first, m.log_ends) if hi > last_id and lo < last_id + n]
+        if not wanted:
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self._folder(wanted, LOG_SCHEMA).filter(F.col("id").between(last_id + 1, last_id + n)).orderBy("id")
 
     # --- schema
 
@@ -337,6 +345,7 @@ class Table:
         rows.select(*columns).write.parquet(f"{self.path}/{name}")
         self.files.remove(staged)
         m.logs.append(name)
+        m.log_ends.append(at - 1)
         m.next_id = at
 
     def materialize(self, batch: DataFrame, model: Model, declared: list[Declared] | None = None, *, now: datetime, asset: str = "", run_id: str = "", track: bool = False, insert_only: bool = False) -> dict[str, Any]:

@@ -227,17 +227,24 @@ def _oriented(spark: SparkSession, data: Any, orient: str) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str, config: dict[str, Any] | None = None) -> DataFrame:
-    """Needs pandas with an Excel reader; a workbook is read whole by the driver."""
-    import pandas as pd
+    """The sheet's rows under the names of its first row (sheet_name: name or number from 0; skip_header: rows before the names; header: None for numbers).
 
-    c = dict(config or {})
-    if "skip_header" in c:
-        c["skiprows"] = c.pop("skip_header")
-    pdf = pd.read_excel(path.removeprefix("file://"), **c)
-    pdf = pdf.astype(object).where(pdf.notna(), None)
+    A workbook is one packed file of bounded size, so one process reads it; several of a folder are read apart.
+    """
     from weirflow.sources.inference import to_frame
+    from weirflow.sources.workbook import sheet_rows
 
-    return to_frame(spark, pdf.to_dict("records")).withColumn("file_name", F.lit(path.rsplit("/", 1)[-1]))
+    c = dict(config or {})
+    skip = int(c.pop("skip_header", c.pop("skiprows", 0)) or 0)
+    header = c.pop("header", True)
+    header = not (header is None or header is False or header == "None")
+    place, inner = opened(path)
+    with place.open_input_file(inner) as f:
+        rows = sheet_rows(f, c.pop("sheet_name", 0))[skip:]
+    width = max(map(len, rows), default=0)
+    rows = [[*r, *[None] * (width - len(r))] for r in rows]
+    names = [str(n) if n is not None else f"Unnamed: {i}" for i, n in enumerate(rows.pop(0))] if header and rows else [str(i) for i in range(width)]
+    return to_frame(spark, [dict(zip(names, r)) for r in rows if any(x is not None for x in r)]).withColumn("file_name", F.lit(path.rsplit("/", 1)[-1]))
 
 
 def read_parquet(spark: SparkSession, path: str, config: dict[str, Any] | None = None) -> DataFrame:
