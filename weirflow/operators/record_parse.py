@@ -141,7 +141,7 @@ def _tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _blank_free(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t]+|[ \t]+$", "")
+    return F.trim(c, F.lit(" \t"))
 
 
 def headers(rows: DataFrame) -> DataFrame:
@@ -177,15 +177,15 @@ def parse_records(
     field that is wrong. Of a failed record the columns are null. The header of a file is joined by file and
     block of lines, so a file that holds a third of all rows is spread over many tasks.
     """
-    content = F.regexp_replace(F.col(raw), "\r+$", "")
+    content = F.rtrim(F.col(raw), F.lit("\r"))
     rows = lines.select(
         F.col(key).alias("id"),
         F.coalesce(F.concat(F.lit("f"), F.col(file)), F.lit("n")).alias("file"),
         F.coalesce(F.col(number), F.lit(0)).cast("long").alias("no"),
         content.alias("line"),
     )
-    bare = F.regexp_replace("line", "^\ufeff", "")
-    rows = rows.filter(F.col("line").isNotNull() & (F.trim(F.regexp_replace(bare, r"\s", " ")) != "") & ~bare.startswith("#"))
+    bare = F.when(F.col("line").startswith("\ufeff"), F.substring("line", 2, 1 << 30)).otherwise(F.col("line"))
+    rows = rows.filter(F.col("line").isNotNull() & bare.rlike(r"\S") & ~bare.startswith("#"))
     rows = rows.withColumn("block", F.pmod(F.expr(f"no div {block}"), F.lit(salts)).cast("int"))
     records = rows.join(headers(rows), ["file", "block"]).filter(~F.col("id").eqNullSafe(F.col("header")))
     tokens = records.select("id", "names", "line", "sep").mapInArrow(_tokenize_batches, _token_schema(rows))
