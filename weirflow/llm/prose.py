@@ -31,6 +31,8 @@ from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -368,6 +370,12 @@ class Prose:
         return shares, np.full(len(x), limit), np.where(told, np.array(names, dtype=object)[best], None)
 
 
+def stats_matrix(column: pa.ListArray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics of the texts that have any, missing ones as nan; and which texts these are."""
+    at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(at), d), at
+
+
 def robust_prose(measured: DataFrame, rounds: int = 2, shrink: float = 50) -> dict[str, Prose]:
     """Per language, from all texts: medians and deviations first, then mean and covariance of the texts within the gate. "": all languages together."""
     d = len(STATISTICS)
@@ -383,22 +391,21 @@ def robust_prose(measured: DataFrame, rounds: int = 2, shrink: float = 50) -> di
         now = dict(prose)
 
         def sums(batches):  # noqa: ANN001, ANN202
-            import pandas as pd
-
             total: dict[str, np.ndarray] = {}
             for b in batches:
-                x = np.array(b["stats"].tolist(), dtype=float).reshape(len(b), d)
+                x, _ = stats_matrix(b.column("stats"), d)
+                told = b.column("told").dictionary_encode()
+                code = told.indices.to_numpy(zero_copy_only=False)
                 whole = ~np.isnan(np.delete(x, [] if spoken else [AT["common_words"]], axis=1)).any(axis=1)
-                for g in b["told"].unique():
-                    own = x[(b["told"] == g).to_numpy() & whole]
-                    own = np.nan_to_num(own)
+                for i, g in enumerate(told.dictionary.to_pylist()):
+                    own = np.nan_to_num(x[(code == i) & whole])
                     own = own[now[g].contributions(own).sum(axis=1) <= limit]
                     one = np.hstack([np.ones((len(own), 1)), own])
                     total[g] = total.get(g, 0) + one.T @ one
             if total:
-                yield pd.DataFrame({"told": list(total), "m": [m.ravel().tolist() for m in total.values()]})
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([m.ravel().tolist() for m in total.values()], pa.list_(pa.float64()))], names=["told", "m"])
 
-        parts = held.select("told", "stats").mapInPandas(sums, "told string, m array<double>")
+        parts = held.select("told", "stats").mapInArrow(sums, "told string, m array<double>")
         width = (d + 1) ** 2
         gathered = {r["told"]: np.array(r["m"]).reshape(d + 1, d + 1) for r in parts.groupBy("told").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(width)]).alias("m")).collect()}
         gathered = {g: m for g, m in gathered.items() if m[0, 0] >= 2}
@@ -427,20 +434,22 @@ def outliers(docs: DataFrame, common: dict[str, frozenset[str]], key: str = "doc
     def run(batches):  # noqa: ANN001, ANN202
         d = len(STATISTICS)
         for b in batches:
-            n = len(b)
-            out = {c: np.full(n, None, dtype=object) for c in ("distance", "limit", "shares", "kind")}
-            at = np.flatnonzero(b["stats"].notna())
-            if len(at):
-                x = np.array(b["stats"].iloc[at].tolist(), dtype=float).reshape(len(at), d)
-                told = b["told"].iloc[at].to_numpy()
-                missing = np.isnan(x) @ (1 << np.arange(d))
-                for g, m in {(g, m) for g, m in zip(told, missing)}:
-                    own = np.flatnonzero((told == g) & (missing == m))
-                    shares, limit, kind = prose[g].judge(x[own])
-                    out["distance"][at[own]], out["limit"][at[own]], out["kind"][at[own]] = np.nansum(shares, axis=1), limit, kind
-                    for i, c in zip(at[own], shares.tolist()):
-                        out["shares"][i] = c
-            yield b.assign(**out)[["key", "told", "lines", "stats", "distance", "limit", "shares", "kind"]]
+            n = b.num_rows
+            x, at = stats_matrix(b.column("stats"), d)
+            told = b.column("told").dictionary_encode()
+            code = told.indices.fill_null(-1).to_numpy(zero_copy_only=False)[at]
+            shares = np.full((len(at), d), np.nan)
+            limits = np.full(len(at), np.nan)
+            kinds = np.full(n, None, dtype=object)
+            missing = np.isnan(x) @ (1 << np.arange(d))
+            for g, m in {*zip(code.tolist(), missing.tolist())}:
+                own = np.flatnonzero((code == g) & (missing == m))
+                shares[own], limits[own], kinds[at[own]] = prose[told.dictionary[g].as_py()].judge(x[own])
+            held = b.column("stats").is_valid()
+            offsets = np.concatenate([[0], np.cumsum(held.to_numpy(zero_copy_only=False) * d)]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(shares.ravel(), from_pandas=True), mask=pc.invert(held))
+            spread = lambda v: pa.array(np.bincount(at, v, n), mask=held.to_numpy(zero_copy_only=False) == 0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "told", "lines", "stats")), spread(np.nansum(shares, axis=1)), spread(limits), parts, pa.array(kinds, pa.string())], names=["key", "told", "lines", "stats", "distance", "limit", "shares", "kind"])
 
     kind = picked.schema["key"].dataType.simpleString()
-    return measured.mapInPandas(run, f"key {kind}, told string, lines int, stats array<double>, distance double, limit double, shares array<double>, kind string")
+    return measured.mapInArrow(run, f"key {kind}, told string, lines int, stats array<double>, distance double, limit double, shares array<double>, kind string")
