@@ -28,11 +28,13 @@ SYMBOL_BITS = math.log2(40)
 MOST = 600
 
 
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
 def shape(value: Column) -> Column:
     """One symbol per character."""
-    v = F.regexp_replace(value, "[a-z]", "\u0001")
-    v = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[A-Z]", "A"), "[0-9]", "9"), "\u0001", "a")
-    return F.regexp_replace(F.regexp_replace(v, " ", "\u0002"), r"[^\x02-\x7e]", "o")
+    known = F.translate(value, _LOWER + _UPPER + _DIGITS + " ", "a" * 26 + "A" * 26 + "9" * 10 + "\u0002")
+    return F.when(known.rlike(r"[^\x02-\x7e]"), F.regexp_replace(known, r"[^\x02-\x7e]", "o")).otherwise(known)
 
 
 def skeletons(values: DataFrame) -> DataFrame:
