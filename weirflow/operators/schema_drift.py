@@ -38,14 +38,29 @@ _KIND = """CASE
 MAX_FIELDS = 20_000
 
 
-def path_values(rows: DataFrame, payload: str, keep: dict[str, str]) -> DataFrame:
-    """The kept columns under new names, and fields: map of field -> struct(kind, text); null if the payload is no object."""
+def _cells(text: str, depth: int, prefix: str = "''", level: int = 1) -> str:
+    """SQL: the cells (name, type, text) of a JSON object, with those of the objects in it down to ``depth`` levels."""
+    b, e, c = f"b{level}", f"e{level}", f"c{level}"
+    # the object is bound as the one element of an array: else both parses would be inlined and run once per field
+    bound = f"array(named_struct('v', try_cast(try_parse_json({text}) AS map<string,variant>), 'r', from_json({text}, 'map<string,string>')))"
+    name = f"{e}.key" if depth == 1 and level == 1 else f"concat({prefix}, replace({e}.key, '.', '\\\\.'))"
+    own = f"transform(map_entries({b}.r), {e} -> named_struct('name', {name}, 'type', schema_of_variant({b}.v[{e}.key]), 'text', {e}.value))"
+    out = f"transform({bound}, {b} -> CASE WHEN {b}.v IS NOT NULL THEN {own} END)[0]"
+    if level == depth:
+        return out
+    inner = _cells(f"{c}.text", depth, f"concat({c}.name, '.')", level + 1)
+    return f"transform(array({out}), x{level} -> concat(x{level}, flatten(transform(filter(x{level}, {c} -> startswith({c}.type, 'OBJECT')), {c} -> coalesce({inner}, array())))))[0]"
+
+
+def path_values(rows: DataFrame, payload: str, keep: dict[str, str], depth: int = 1) -> DataFrame:
+    """The kept columns under new names, and fields: map of field -> struct(kind, text); null if the payload is no object.
+
+    depth: down to how many levels the fields of objects in the record are fields of their own, named by their path (``a.b``; a point
+    in a name is escaped).
+    """
     kept = [F.col(c).alias(n) for n, c in keep.items()]
-    # the record is bound as the one element of an array: else both parses would be inlined and run once per field
-    bound = f"array(named_struct('v', try_cast(try_parse_json(`{payload}`) AS map<string,variant>), 'r', from_json(`{payload}`, 'map<string,string>')))"
-    cells = "transform(map_entries(b.r), e -> named_struct('name', e.key, 'type', schema_of_variant(b.v[e.key]), 'text', e.value))"
-    fields = f"map_from_entries(transform({cells}, c -> struct(c.name, named_struct('kind', {_KIND}, 'text', c.text))))"
-    return rows.select(*kept, F.expr(f"transform({bound}, b -> CASE WHEN b.v IS NOT NULL THEN {fields} END)[0]").alias("fields"))
+    fields = f"map_from_entries(transform({_cells(f'`{payload}`', depth)}, c -> struct(c.name, named_struct('kind', {_KIND}, 'text', c.text))))"
+    return rows.select(*kept, F.expr(fields).alias("fields"))
 
 
 def file_types(records: DataFrame) -> DataFrame:
@@ -70,14 +85,17 @@ def _neighbours(records: DataFrame, types: DataFrame) -> DataFrame:
     return t.join(files, ["feed", "file_no"])
 
 
-def renames(records: DataFrame, new: DataFrame, gone: DataFrame, order: str, salts: int = 16) -> DataFrame:
-    """feed, file_no, field, old_field. new, gone: feed, file_no (the later file), field."""
+def renames(records: DataFrame, new: DataFrame, gone: DataFrame, order: str) -> DataFrame:
+    """feed, file_no, field, old_field. new, gone: feed, file_no (the later file), field.
+
+    What is wanted of which file is written first, so Spark knows how large it is and sends it to the records where it is small; else a
+    file with a third of all records is split by the adaptive skew join.
+    """
     both = new.groupBy("feed", "file_no").agg(F.collect_set("field").alias("new")).join(gone.groupBy("feed", "file_no").agg(F.collect_set("field").alias("gone")), ["feed", "file_no"])
-    wanted = both.select("feed", F.col("file_no").alias("pair"), "file_no", F.lit("new").alias("side"), F.col("new").alias("names")).unionByName(both.select("feed", F.col("file_no").alias("pair"), (F.col("file_no") - 1).alias("file_no"), F.lit("gone").alias("side"), F.col("gone").alias("names")))
-    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sides = F.array(F.struct("file_no", F.lit("new").alias("side"), F.col("new").alias("names")), F.struct((F.col("file_no") - 1).alias("file_no"), F.lit("gone").alias("side"), F.col("gone").alias("names")))
+    wanted = cut(both.select("feed", F.col("file_no").alias("pair"), F.explode(sides).alias("s")).select("feed", "pair", "s.*"), "wanted")
     keyed = records.select("feed", "file_no", F.col("fields")[order]["text"].alias("order"), "fields").filter("`order` IS NOT NULL")
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(salts)).cast("int"))
-    cells = keyed.join(wanted, ["feed", "file_no", "salt"]).select("feed", "pair", "order", "side", F.explode("names").alias("field"), "fields").select("feed", "pair", "order", "side", "field", F.col("fields")[F.col("field")]["text"].alias("text"))
+    cells = keyed.join(wanted, ["feed", "file_no"]).select("feed", "pair", "order", "side", F.explode("names").alias("field"), "fields").select("feed", "pair", "order", "side", "field", F.col("fields")[F.col("field")]["text"].alias("text"))
     cells = cells.filter("text IS NOT NULL").groupBy("feed", "pair", "order", "side", "field").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     # per order only the few new and gone fields meet
     sides = cells.groupBy("feed", "pair", "order").agg(*[F.collect_list(F.when(F.col("side") == s, F.struct("field", "low", "high"))).alias(s) for s in ("new", "gone")])
