@@ -85,6 +85,16 @@ def test_two_names_of_one_column_in_a_record(spark):
     assert [(r["amount"], r["failed"], r["rest"]) for r in sorted(got, key=lambda r: r["rec_id"])] == [(5, [], {}), (5, [], {}), (6, ["amt"], {"amt": "7"}), (6, [], {}), (8, [], {}), (4, [], {})]
 
 
+def test_fields_of_objects_in_records(spark):
+    files = [("f", 1, [{"order_id": "1", "a": {"b": 1, "d": {"e": True}}, "x.y": 5}]), ("f", 2, [{"order_id": "1", "a": {"b": "t", "c": None, "d": {}}, "x.y": 5}, "no object"])]
+    keep = {"feed": "feed", "file_no": "file_no"}
+    got = lambda depth: {tuple(r) for r in drift_changes(path_values(frame(spark, files), "payload", keep, depth), "order_id").collect()}
+    assert got(1) == set()
+    assert got(2) == {("f", 2, "retyped", "a.b", ""), ("f", 2, "added", "a.c", "")}
+    assert got(3) == got(2) | {("f", 2, "removed", "a.d.e", "")}
+    assert {k for r in path_values(frame(spark, files), "payload", keep, 3).collect() for k in r["fields"] or {}} == {"order_id", "a", "a.b", "a.c", "a.d", "a.d.e", "x\\.y"}
+
+
 def test_names_that_clash(spark, tmp_path):
     files = [("f", 1, [{"order_id": "1", "feed": "x", "Qty": 1, "failed": 2}]), ("f", 2, [{"order_id": "2", "qty": 5, "rec_id": 3}])]
     df = typed_table(frame(spark, files), "payload", "rec_id", "feed", "file_no", "order_id")

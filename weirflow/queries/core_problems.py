@@ -249,6 +249,11 @@ def p6_types(spark: SparkSession, sf: str) -> DataFrame:
     return file_types(p6_records(spark, sf))
 
 
+def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Types by file of all paths, those inside of objects too."""
+    return file_types(path_values(table(spark, sf, "order_feed"), "payload", {"feed": "feed", "file_no": "file_no"}, depth=3))
+
+
 def p6_table(spark: SparkSession, sf: str) -> DataFrame:
     policy = settings(spark, sf, "orders_raw")["on_schema_change"]
     out = typed_table(table(spark, sf, "order_feed"), "payload", "rec_id", "feed", "file_no", "order_id", policy)
@@ -312,8 +317,13 @@ b AS (SELECT z.rec_id, z.field, z.text, CASE WHEN NOT first THEN z.field ELSE z.
 SELECT v.*, coalesce(string_agg(shown, ',' ORDER BY shown) FILTER (bad), '') AS failed, coalesce(string_agg(b.field || '=' || b.text, chr(10) ORDER BY b.field) FILTER (bad), '') AS rest
 FROM v LEFT JOIN b USING (rec_id) GROUP BY ALL
 """
-SQL |= {"p6_table": _P6_TABLE}
-QUERIES |= {"p6_found": p6_found, "p6_types": p6_types, "p6_table": p6_table}
+#: The same over paths: the cells of the record, and of the objects in it.
+_P6_PATHS = _P6.replace("WITH c AS (SELECT feed, file_no, payload, unnest(json_keys(payload)) AS field FROM order_feed)", """WITH c0 AS (SELECT feed, file_no, payload, unnest(json_keys(payload)) AS field FROM order_feed),
+c1 AS (SELECT feed, file_no, '{"x":' || json_extract(payload, '$."' || field || '"')::varchar || '}' AS inner_, field FROM c0 WHERE json_type(payload, '$."' || field || '"') = 'OBJECT'),
+c2 AS (SELECT feed, file_no, json_extract(inner_, '$.x')::varchar AS payload, unnest(json_keys(json_extract(inner_, '$.x'))) AS own, field FROM c1),
+c AS (SELECT feed, file_no, payload, field, field AS path FROM c0 UNION ALL SELECT feed, file_no, payload, own, field || '.' || own FROM c2)""").replace("SELECT feed, file_no, field, json_extract_string(payload, '$.order_id') AS ord", "SELECT feed, file_no, path AS shown, json_extract_string(payload, '$.order_id') AS ord").replace("k AS (SELECT feed, file_no, field, ord", "k AS (SELECT feed, file_no, shown AS field, ord")
+SQL |= {"p6_table": _P6_TABLE, "p6_paths": _P6_PATHS + "SELECT * FROM t"}
+QUERIES |= {"p6_found": p6_found, "p6_types": p6_types, "p6_paths": p6_paths, "p6_table": p6_table}
 SQL |= {"p6_found": _P6_FOUND, "p6_types": _P6 + "SELECT * FROM t"}
 
 

@@ -27,7 +27,7 @@ from weirflow.sources.discovery import Cursor, listed, object_files
 from weirflow.sources.feeds import Api
 from weirflow.sources.files import Format, kind_of, read_file
 from weirflow.sources.templates import render, template_function, template_functions
-from weirflow.streaming.dispatch import Dispatcher, LogStream, http_sink, websocket_sink
+from weirflow.streaming.dispatch import Dispatcher, LogStream, dispatch_stream, http_sink, log_stream, websocket_sink
 from weirflow.streaming.triggers import Cron, Service
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,6 +456,15 @@ def cdc_websocket_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(e["op"],) for e in sent], "op string").groupBy("op").agg(F.count("*").alias("n"))
 
 
+@query("cdc_stream_dispatch", _EVENTS + f"SELECT {_EVENT} FROM events")
+def cdc_stream_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream, delivered in micro-batches to a folder."""
+    t = _logged(spark, sf)
+    to = scratch(spark, "delivered")
+    dispatch_stream(log_stream(spark, t), lambda df, i: df.write.mode("overwrite").parquet(f"{to}/batch={i}"), scratch(spark, "position")).awaitTermination()
+    return spark.read.parquet(to).drop("batch", "captured_at")
+
+
 @query("cdc_kafka_stream", _EVENTS + "SELECT id, pk AS key, op FROM events")
 def cdc_kafka_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The log as keyed records, sent by the executors; here a folder takes the topic's place."""
