@@ -118,8 +118,6 @@ columns("extract_parts", "events", {"event_id": 'ref("event_id")', **{f"p_{p}":
 columns("hash_key", "orders", {"o_orderkey": 'ref("o_orderkey")', "k": 'hash_key(ref("o_orderkey"), ref("o_orderstatus"), ref("o_custkey"))'}, "SELECT o_orderkey, md5(concat_ws('|', cast(o_orderkey AS VARCHAR), o_orderstatus, cast(o_custkey AS VARCHAR))) AS k FROM orders")
 columns("hash_key_of_nulls", "documents", {"doc_id": 'ref("doc_id")', "k": 'hash_key(ref("lang"), ref("rating"))'}, "SELECT doc_id, md5(coalesce(lang, '<NA>') || '|' || coalesce(cast(rating AS VARCHAR), '<NA>')) AS k FROM documents")
 columns("agg_broadcast", "events", {"event_id": 'ref("event_id")', "over_mean": 'ref("value") - mean_of(ref("value"))', "share": 'ref("value") / sum_of(ref("value"))', "low": 'min_of(ref("value"))', "high": 'max_of(ref("value"))', "n": 'count_of(ref("value"))'}, "SELECT event_id, value - (SELECT avg(value) FROM events) AS over_mean, value / (SELECT sum(value) FROM events) AS share, (SELECT min(value) FROM events) AS low, (SELECT max(value) FROM events) AS high, (SELECT count(value) FROM events) AS n FROM events")
-columns("uuid_key", "region", {"r_regionkey": 'ref("r_regionkey")', "k": "uuid_key()"}, "")
-columns("now_today", "region", {"r_regionkey": 'ref("r_regionkey")', "n": "now()", "t": "today()", "u": "pd.Timestamp.utcnow()", "d": "pd.Timestamp.utcnow().date()"}, "")
 columns("system_columns", "region", {"r_regionkey": 'ref("r_regionkey")', "run": "context.run.run_id", "asset": "context.asset_key", "team": 'context.run.tags["team"]'}, "SELECT r_regionkey, 'run-1' AS run, 'system_columns' AS asset, 'core' AS team FROM region")
 
 # --- windows -------------------------------------------------------------------------------------------------------

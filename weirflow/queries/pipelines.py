@@ -549,16 +549,16 @@ def to_datetime_formats(spark: SparkSession, sf: str) -> DataFrame:
     return project(table(spark, sf, "account_file"), declared).data.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
 
 
-@query("clocks", "SELECT c_custkey, true AS same_day, true AS same_date, true AS near FROM customer")
-def clocks(spark: SparkSession, sf: str) -> DataFrame:
+@query("now_today", "SELECT c_custkey, true AS same_day, true AS same_date, true AS near FROM customer")
+def now_today(spark: SparkSession, sf: str) -> DataFrame:
     """One clock for a whole frame: the moment lies in the day, under both spellings."""
     declared = [Declared("c_custkey", None, 'ref("c_custkey")'), Declared("n", None, "now()"), Declared("t", None, "today()"), Declared("u", None, "pd.Timestamp.utcnow()"), Declared("d", None, "pd.Timestamp.utcnow().date()")]
     out = project(table(spark, sf, "customer"), declared).data
     return out.select("c_custkey", (F.to_date("n") == F.to_date("t")).alias("same_day"), (F.to_date("d") == F.to_date("t")).alias("same_date"), (F.abs(F.unix_seconds(F.col("n").cast("timestamp")) - F.unix_seconds(F.col("u").cast("timestamp"))) < 60).alias("near"))
 
 
-@query("uuid_key_form", "SELECT count(*) AS n, count(*) AS different, count(*) AS well_formed FROM lineitem")
-def uuid_key_form(spark: SparkSession, sf: str) -> DataFrame:
+@query("uuid_key", "SELECT count(*) AS n, count(*) AS different, count(*) AS well_formed FROM lineitem")
+def uuid_key(spark: SparkSession, sf: str) -> DataFrame:
     out = project(table(spark, sf, "lineitem"), [Declared("k", None, "uuid_key()")]).data
     return out.agg(F.count("*").alias("n"), F.count_distinct("k").alias("different"), F.count_if(F.col("k").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("well_formed"))
 
