@@ -86,6 +86,21 @@ def test_closed_versions_are_not_written_again(spark, tmp_path):
     assert rows.count() == 110 and rows.filter("is_current").count() == 100
 
 
+def test_a_write_that_was_overtaken_is_refused(spark, table):
+    other = Table(spark, table.path)
+    table.materialize(load(spark, [(1, "a")]), Model("table"), now=T0)
+    stage = other._stage
+
+    def slow(*args, **kwargs):
+        table.materialize(load(spark, [(2, "b")]), Model("incremental"), now=T0)
+        return stage(*args, **kwargs)
+
+    other._stage = slow
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        other.materialize(load(spark, [(3, "c")]), Model("incremental"), now=T0)
+    assert got(table.read()) == [(1, "a"), (2, "b")]
+
+
 def test_compaction(spark, tmp_path):
     table = Table(spark, f"file://{tmp_path}/c", loose=0.3)
     merge = Model("incremental", ["k"], "merge")

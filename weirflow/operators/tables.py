@@ -172,6 +172,9 @@ class Table:
         return self.manifest() is not None
 
     def _commit(self, m: Manifest) -> None:
+        now = self.manifest()
+        if (now.version if now else 0) != m.version:
+            raise RuntimeError(f"{self.path} was written meanwhile; the batch is to be written again")
         m.version += 1
         self.files.replace(f"{self.path}/manifest.json", json.dumps(asdict(m)))
 

@@ -66,7 +66,7 @@ def own_dir(spark: SparkSession) -> str:
     """The folder of this process below the shared folder."""
     at = f"{shared_dir(spark)}/weirflow/{spark.sparkContext.applicationId}-{os.getpid()}"
     if not _made:
-        atexit.register(clear_scratch)
+        atexit.register(clear_scratch, os.getpid())
     _made.add(at)
     return at
 
@@ -76,9 +76,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def clear_scratch() -> None:
-    """Remove all intermediate data of this process; frames made from it can't be read any more. Runs at the end of the process."""
-    for at in list(_made):
+def clear_scratch(owner: int | None = None) -> None:
+    """Remove all intermediate data of this process; frames made from it can't be read any more. Runs at the end of the process, not of its forks."""
+    for at in list(_made) if owner in (None, os.getpid()) else []:
         _made.discard(at)
         try:
             remove_tree(at)
