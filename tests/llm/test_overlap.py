@@ -99,6 +99,14 @@ def test_shared_runs_of_empty_tables(spark):
     assert shared_runs(spark.createDataFrame(texts, schema), none).count() == 0
 
 
+def test_texts_without_key_and_repeated_keys(spark):
+    schema = "key long, text string"
+    run = " ".join(f"w{i}" for i in range(15))
+    texts = spark.createDataFrame([(None, run), (1, "x " + run), (1, run + " y z"), (2, run)], schema)
+    items = spark.createDataFrame([(None, run), (7, run), (7, run + " more")], schema)
+    assert sorted((r["key"], r["item"], r["length"]) for r in shared_runs(texts, items).collect()) == [(1, 7, 15), (2, 7, 15)]
+
+
 def test_shorter_runs_are_refused(spark):
     none = spark.createDataFrame([], "key long, text string")
     with pytest.raises(ValueError, match="aren't guaranteed"):

@@ -13,7 +13,7 @@ Each hit is extended word by word to both sides, and counts if the run is long e
 Words: markup tags are blanks, entities are decoded, invisible characters dropped, case, accents and width disregarded; words are
 unbroken runs of letters or digits.
 
-Defined results of ``shared_runs``: null, empty and shorter texts share nothing; texts that come twice are reported under each
+Defined results of ``shared_runs``: null, empty and shorter texts, and those without a key, share nothing; of a repeated key the longest run counts; texts that come twice are reported under each
 id; an empty table on either side gives no rows; very long texts are read whole; other columns aren't read.
 """
 
@@ -206,7 +206,7 @@ def shared_runs(texts: DataFrame, items: DataFrame, least: int = K + WINDOW - 1,
     """
     if least < K + WINDOW - 1:
         raise ValueError(f"runs under {K + WINDOW - 1} words aren't guaranteed")
-    texts, items = texts.select("key", "text").filter("text IS NOT NULL"), items.select("key", "text").filter("text IS NOT NULL")
+    texts, items = (x.select("key", "text").filter("text IS NOT NULL AND key IS NOT NULL") for x in (texts, items))
     kind, item_kind = texts.schema["key"].dataType.simpleString(), items.schema["key"].dataType.simpleString()
     # written once, so Spark knows how large they are
     theirs = cut(_prints(items).select(F.col("key").alias("item"), "print", F.col("pos").alias("item_pos"), F.col("size").alias("item_size")).distinct(), "fingerprints")
