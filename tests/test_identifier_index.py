@@ -36,6 +36,15 @@ def test_empty_and_null_only(spark):
     assert surplus_copies(spark.createDataFrame([("a", "", None, 1, ""), ("a", "", None, 2, "")], SCHEMA)).collect()[0]["row_id"] == 2
 
 
+def test_rows_without_a_number(spark):
+    """A null row id counts as the highest, and large ones stay exact beside it."""
+    day = dt.datetime(2026, 1, 1)
+    big = 1 << 60
+    rows = [("a", "x", day, None, ""), ("a", "x", day, big + 1, ""), ("a", "x", day, big, ""), ("a", "y", day, None, ""), ("a", "y", day, None, "")]
+    got = sorted((tuple(r) for r in surplus_copies(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert got == sorted([("a", None), ("a", big + 1), ("a", None)], key=repr)
+
+
 def batch(spark, start, offset):
     return spark.range(start, start + 100).select(F.lit("s").alias("source"), F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), F.col("id").alias("ord"), (F.col("id") + offset).alias("row_id"))
 

@@ -111,6 +111,13 @@ def test_policies(spark):
         typed_table(df, "payload", "rec_id", "feed", "file_no", "order_id", "fail")
 
 
+def test_rows_without_feed_or_number(spark):
+    files = [(None, 1, [{"order_id": "1", "a": 1}]), (None, 2, [{"order_id": "1", "b": 1}]), ("f", None, [{"order_id": "1", "c": 1}]), ("f", 1, [{"order_id": "1", "a": 1}])]
+    assert changes(spark, files) == set()
+    got = typed_table(frame(spark, files), "payload", "rec_id", "feed", "file_no", "order_id").collect()
+    assert sorted(((r["a"], r["b"], r["c"], r["failed"]) for r in got), key=repr) == sorted([(1, None, None, []), (None, 1, None, []), (None, None, 1, []), (1, None, None, [])], key=repr)
+
+
 def test_empty(spark):
     assert changes(spark, []) == set()
     assert typed_table(frame(spark, []), "payload", "rec_id", "feed", "file_no", "order_id").count() == 0

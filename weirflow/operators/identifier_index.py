@@ -16,7 +16,7 @@ the chance of any false match is below 10^-18.
 
 Defined results of ``surplus_copies``:
 * rows with a null in the identifier are never surplus and never indexed;
-* of equal identifiers the row with the lowest (order, row id) stays; a null order comes last;
+* of equal identifiers the row with the lowest (order, row id) stays; a null order or row id (or one of 2^63 - 1) comes last;
 * an empty table gives no rows; columns besides the named ones aren't read.
 """
 
@@ -85,6 +85,11 @@ def _blocks(ids: np.ndarray, source: str | None = None) -> list[list]:
     return [[source, None, i, ids[at : at + BLOCK_IDS].tobytes(), "novel"] for i, at in enumerate(range(0, len(ids), BLOCK_IDS))]
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Without null row ids, which arrays can't hold beside exact numbers; ``surplus`` gives them back."""
+    return rows.select("source", "h1", "h2", "ord", F.coalesce("row_id", F.lit(LAST)).alias("row_id"))
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which rows are surplus beside another one of the same block."""
 
@@ -134,14 +139,14 @@ class IdentifierIndex:
         """Split a batch (source, h1, h2, ord, row_id) into surplus copies and novel identifiers, and keep both."""
         at = f"{self.root}/local/batch={self.batches}"
         self.files.remove(at)
-        batch.select("source", "h1", "h2", "ord", "row_id").mapInArrow(_local, LOCAL_SCHEMA).write.partitionBy("surplus").parquet(at)
+        _numbered(batch).mapInArrow(_local, LOCAL_SCHEMA).write.partitionBy("surplus").parquet(at)
         self._absorb(self.spark.read.schema(LOCAL_SCHEMA).parquet(at).filter("NOT surplus"))
 
     def absorb_in_turn(self, rows: DataFrame, batch: Column, batches: int) -> None:
         """The same for several batches, told by a column that is their number: rows are read and reduced once for all."""
         at = f"{self.root}/local/batch={self.batches}"
         self.files.remove(at)
-        local = rows.select("source", "h1", "h2", "ord", "row_id").mapInArrow(_local, LOCAL_SCHEMA)
+        local = _numbered(rows).mapInArrow(_local, LOCAL_SCHEMA)
         local.withColumn("turn", batch).write.partitionBy("surplus", "turn").parquet(at)
         kept = self.spark.read.schema(f"{LOCAL_SCHEMA}, turn int").parquet(at).filter("NOT surplus")
         for i in range(batches):
@@ -199,7 +204,7 @@ class IdentifierIndex:
             return self.spark.createDataFrame([], "source string, row_id bigint")
         looked_up = self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.root}/out").filter(f"kind = 'surplus' AND batch < {self.batches}")
         local = self.spark.read.schema(f"{LOCAL_SCHEMA}, batch int").option("basePath", f"{self.root}/local").parquet(f"{self.root}/local").filter(f"surplus AND batch < {self.batches}")
-        return looked_up.select("source", "row_id").unionByName(local.select("source", "row_id"))
+        return looked_up.select("source", "row_id").unionByName(local.select("source", "row_id")).select("source", F.nullif("row_id", F.lit(LAST)).alias("row_id"))
 
 
 def surplus_copies(messages: DataFrame, batches: int = 4, merge_at: int = 3, rows_per_group: int = 500_000, index: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@
 
 Defined results:
 * a payload that is null, no JSON object, or names a field twice has no fields (``typed_table`` reports it as failed);
+* rows without feed or file number belong to no file that changes; ``typed_table`` keeps them;
 * a file whose number minus 1 isn't there has no changes; files are told by number, in whatever order they came;
 * a field with several kinds in one file counts as decimal if all are numbers, else as text;
 * repeated records don't matter; an order that has two different texts for a field in one file equals nothing;
