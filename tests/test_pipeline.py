@@ -191,6 +191,28 @@ def test_a_batch_that_fails_comes_again(spark, tmp_path):
     assert envelope("a", [])["count"] == 0
 
 
+def test_a_drain_reads_the_log_once_for_all_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("weirflow.streaming.dispatch.HELD_EVENTS", 20, raising=False)
+    table = TableStore(spark, f"file://{tmp_path}").table("t")
+    for i, n in enumerate((60, 101)):
+        table.materialize(spark.range(n), Model("table"), now=dt.datetime(2026, 1, 1 + i), track=True)
+    reads, sent = [], []
+    pending = table.pending
+    monkeypatch.setattr(table, "pending", lambda *a: reads.append(a) or pending(*a))
+
+    def put(message):
+        if len(sent) == 10 and len(reads) == 1:
+            raise OSError("down")
+        sent.append([e["id"] for e in message["events"]])
+
+    d = Dispatcher(table, "t", Stream("http", "x"), put, batch_size=2)
+    with pytest.raises(OSError):
+        d.drain()
+    assert d.position() == 20 and d.drain() == 81 and d.drain() == 0
+    assert sent == [[i, i + 1] for i in range(1, 101, 2)] + [[101]]
+    assert len(reads) == 2
+
+
 def test_websocket_sink():
     class Socket(list):
         def __enter__(self):

@@ -212,6 +212,11 @@ class Table:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{self.path}/{f}" for f in m.logs])
 
+    def last_id(self) -> int:
+        """The number of the latest change, 0 before the first."""
+        m = self.manifest()
+        return m.next_id - 1 if m else 0
+
     def pending(self, last_id: int, n: int) -> DataFrame:
         """The next n changes after an id. Numbers are dense, so only the log folders that hold them are read."""
         m = self.manifest()

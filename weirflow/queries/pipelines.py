@@ -415,26 +415,34 @@ def change_log_fetch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cdc_http_dispatch", _EVENTS + "SELECT id, op, pk, 'cdc.customers' AS topic, cast((id - 1) // 500 AS BIGINT) AS batch FROM events")
 def cdc_http_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of five hundred to an HTTP endpoint that fails once; what it takes in the end."""
-    sent: list[dict] = []
+    """Batches of five hundred to an HTTP endpoint that fails once; what it takes in the end, put down in a file as it comes."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
     calls: list[int] = []
+    kept = pa.schema({"id": pa.int64(), "op": pa.string(), "pk": pa.string(), "topic": pa.string(), "batch": pa.int64()})
 
     def post(url: str, json: dict, timeout: float) -> Answer:  # noqa: A002 - as the client names it
         calls.append(1)
         if len(calls) == 2:
             raise OSError("no answer")
-        sent.append(json)
+        taken = len(calls) - 1 - (len(calls) > 2)
+        rows = [{**{k: e[k] for k in ("id", "op", "pk")}, "topic": json["topic"], "batch": taken} for e in json["data"]["events"]]
+        file.write_batch(pa.RecordBatch.from_pylist(rows, kept))
         return Answer(None)
 
     stream = Stream("http", "http://sink", {"batch_size": 500})
     t = _logged(spark, sf)
-    d = Dispatcher(t, "customers", stream, http_sink(stream, post))
-    try:
-        d.drain()
-    except OSError:
-        Dispatcher(t, "customers", stream, http_sink(stream, post)).drain()
-    rows = [(e["id"], e["op"], e["pk"], m["topic"], i) for i, m in enumerate(sent) for e in m["data"]["events"]]
-    return spark.createDataFrame(rows, "id long, op string, pk string, topic string, batch long")
+    to = scratch(spark, "taken")
+    place, inner = opened(to)
+    place.create_dir(inner)
+    with place.open_output_stream(f"{inner}/events.parquet") as out, pq.ParquetWriter(out, kept) as file:
+        d = Dispatcher(t, "customers", stream, http_sink(stream, post))
+        try:
+            d.drain()
+        except OSError:
+            Dispatcher(t, "customers", stream, http_sink(stream, post)).drain()
+    return spark.read.schema("id long, op string, pk string, topic string, batch long").parquet(to)
 
 
 @query("cdc_websocket_dispatch", _EVENTS + "SELECT op, count(*) AS n FROM events GROUP BY ALL")

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.operators.tables import LOG_SCHEMA, Table
 from weirflow.plans.spec import Stream
 from weirflow.registry import sinks
 
+#: Events in a part of the log, of which a drain holds one at a time.
+HELD_EVENTS = 25_000
+
 
 def envelope(topic: str, events: list[dict[str, Any]], sensor: str = "", tags: dict[str, str] | None = None) -> dict[str, Any]:
     return {"topic": topic, "source": "cdc", "sensor": sensor, "tags": tags or {}, "count": len(events), "events": events}
@@ -110,17 +114,25 @@ class Dispatcher:
         text = self.table.files.read(self.cursor)
         return json.loads(text)["last_id"] if text else 0
 
+    def _send(self, rows: Iterable[Row]) -> int:
+        """Rows in the order of their numbers, batch by batch; the number of events sent."""
+        total, rows = 0, iter(rows)
+        while batch := list(islice(rows, self.batch_size)):
+            self.put(envelope(self.topic, [{**r.asDict(), "captured_at": r["captured_at"].isoformat()} for r in batch]))
+            self.table.files.write(self.cursor, json.dumps({"last_id": batch[-1]["id"]}))
+            total += len(batch)
+        return total
+
     def tick(self) -> int:
         """One batch; the number of events sent."""
-        rows = self.table.pending(self.position(), self.batch_size).collect()  # at most batch_size rows
-        if rows:
-            self.put(envelope(self.topic, [{**r.asDict(), "captured_at": r["captured_at"].isoformat()} for r in rows]))
-            self.table.files.write(self.cursor, json.dumps({"last_id": rows[-1]["id"]}))
-        return len(rows)
+        return self._send(self.table.pending(self.position(), self.batch_size).collect())  # at most batch_size rows
 
     def drain(self) -> int:
-        total = 0
-        while n := self.tick():
+        """All that is pending, in the batches of ticks; the log is read and sorted once, and comes to the driver part by part."""
+        total, n = 0, 1
+        while n and (left := self.table.last_id() - (at := self.position())) > 0:
+            parts = -(-left // HELD_EVENTS)
+            n = self._send(self.table.pending(at, left).repartitionByRange(parts, "id").sortWithinPartitions("id").toLocalIterator())
             total += n
         return total
 
